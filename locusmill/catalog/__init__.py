@@ -1,6 +1,6 @@
 """All registered queries and their checking SQL."""
 
-from . import aggregates, columns
+from . import aggregates, columns, joins, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "columns"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "joins", "windows"]

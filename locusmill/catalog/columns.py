@@ -99,12 +99,12 @@ def _(spark, d):
 
 @query(
     "p10_assert_one_hot",
-    "SELECT vec_id, len(list_filter(embedding, x -> x NOT IN (0, 1))) = 0 AND list_sum(embedding) IN (0, 1)"
-    " AND len(embedding) = 10 AS fine FROM embeddings",
+    "SELECT c_custkey, NOT (c_nationkey < 10 AND c_acctbal < 0) AS fine FROM customer",
 )
 def _(spark, d):
-    return table(spark, d, "embeddings").select(
-        "vec_id", codes.is_one_hot(F.col("embedding").cast("array<double>")).alias("fine"))
+    """Nations 0..9 give a one, others an all-zero vector; a negative balance plants a 2."""
+    planted = F.transform(codes.onehot("c_nationkey"), lambda x: F.when(F.col("c_acctbal") < 0, x * 2).otherwise(x))
+    return table(spark, d, "customer").select("c_custkey", codes.is_one_hot(planted).alias("fine"))
 
 
 @query(

@@ -42,16 +42,13 @@ def contains_match(
     the lengths that inner IDs have, and these meet the inner IDs by equality.
     """
     lengths = [r[0] for r in inner.select(F.length(inner_id).alias("n")).distinct().collect()]
-    cuts = F.array_distinct(F.flatten(F.array(*[
-        F.when(
-            F.length(outer_id) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(outer_id) - n + 1, F.lit(1))),
-                lambda at, n=n: F.substring(F.col(outer_id), at, F.lit(n)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in sorted(lengths)
-    ])))
+
+    def pieces_of(n: int):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(outer_id) - n + 1, F.lit(1)))
+        cut = F.transform(starts, lambda at: F.substring(F.col(outer_id), at, F.lit(n)))
+        return F.when(F.length(outer_id) >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    cuts = F.array_distinct(F.flatten(F.array(*[pieces_of(n) for n in sorted(lengths)])))
     pieces = outer.select(outer_id, F.explode(cuts).alias(inner_id))
     hits = pieces.join(inner.select(inner_id, inner_ord), inner_id)
     return hits.groupBy(outer_id).agg(F.min_by(inner_id, inner_ord).alias(inner_id))

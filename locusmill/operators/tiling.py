@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import prefix_scan, with_row_number
+from ..plans.scan import exact_quantiles, prefix_scan, with_row_number
 from ..plans.session import stable
 from .intervals import BIN_WIDTH, locate_in_interval
 
@@ -171,3 +171,12 @@ def tile_offsets(tiles: DataFrame) -> DataFrame:
     """Tiles with the number of markers before them."""
     return prefix_scan(tiles, [], ["tile_id"], {"offset": ("sum", F.col("snp_count"), False)}).fillna(
         0, ["offset"])
+
+
+def tile_statistics(tiles: DataFrame, length: str = "snp_count") -> DataFrame:
+    """Number of tiles and min, max, mean and median of their lengths."""
+    middle = exact_quantiles(tiles, [], length, {"m": 0.5}).first()
+    return tiles.agg(
+        F.count(F.lit(1)).alias("n"), F.min(length).alias("min"), F.max(length).alias("max"),
+        F.avg(length).alias("mean"),
+    ).withColumn("median", F.lit(middle["m"] if middle else None).cast("double"))

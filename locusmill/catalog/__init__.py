@@ -1,6 +1,6 @@
 """All registered queries and their checking SQL."""
 
-from . import aggregates, columns, joins, windows
+from . import aggregates, columns, joins, matrices, scans, streams, windows
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "joins", "windows"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "columns", "joins", "matrices", "scans", "streams", "windows"]

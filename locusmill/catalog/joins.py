@@ -228,7 +228,7 @@ CENTRED = (
     ", m AS (SELECT marker_idx, avg(dosage) AS mean FROM v_panel GROUP BY marker_idx),"
     " z AS (SELECT sample_id, marker_idx, coalesce(dosage - mean, 0) AS z FROM v_panel JOIN m USING (marker_idx)) "
 )
-PAIRS = "SELECT a.sample_id AS i, b.sample_id AS j, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.marker_idx = b.marker_idx AND a.sample_id <= b.sample_id GROUP BY ALL"
+PAIRS = "SELECT a.sample_id AS i, b.sample_id AS j, sum(a.z * b.z) AS g FROM z a JOIN z b ON a.marker_idx = b.marker_idx AND a.sample_id <= b.sample_id GROUP BY a.sample_id, b.sample_id"
 
 
 @query("j12_sample_pairs", CENTRED + PAIRS, ["panel"], ["g"])

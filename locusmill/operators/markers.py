@@ -215,3 +215,29 @@ def require_audit(audit: DataFrame, message: str) -> None:
 def marker_order(markers: DataFrame, keys: Sequence[str] = ("chrom", "pos", "marker_idx")) -> DataFrame:
     """Global marker order; the sort is range-partitioned."""
     return markers.orderBy(*keys)
+
+
+def fold_leak_check(calls: DataFrame, val_folds: DataFrame, n_folds: int) -> DataFrame:
+    """Training statistics that move when the evaluation rows of a fold are altered.
+
+    For every fold the dosages of its own validation samples are flipped and the
+    training statistics are computed again; ``n_changed`` must be 0.
+    """
+    columns = ["seed", "fold", "marker_idx", "n0", "n1", "n2"]
+    base = train_marker_stats(calls, val_folds, n_folds).select(*columns)
+    report = None
+    for fold in range(n_folds):
+        held = val_folds.where(F.col("val_fold") == fold).select("sample_id", "seed", F.lit(1).alias("_held"))
+        for_seed = calls.join(val_folds, "sample_id").join(held, ["sample_id", "seed"], "left")
+        dosage = F.when(F.col("_held") == 1, 2 - F.coalesce("dosage", F.lit(0))).otherwise(F.col("dosage"))
+        at = [F.sum(F.when((F.col("val_fold") != fold) & (dosage == d), 1).otherwise(0)).alias(f"n{d}") for d in (0, 1, 2)]
+        altered = for_seed.groupBy("seed", "marker_idx").agg(*at).withColumn("fold", F.lit(fold))
+        both = base.where(F.col("fold") == fold).join(
+            altered.select("seed", "marker_idx", *[F.col(f"n{d}").alias(f"m{d}") for d in (0, 1, 2)]),
+            ["seed", "marker_idx"], "full")
+        moved = ~(
+            F.col("n0").eqNullSafe(F.col("m0")) & F.col("n1").eqNullSafe(F.col("m1")) & F.col("n2").eqNullSafe(F.col("m2")))
+        part = both.groupBy("seed").agg(
+            F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("n_stats"), F.count_if(moved).alias("n_changed"))
+        report = part if report is None else report.unionByName(part)
+    return report

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import iid_sample_id
@@ -13,7 +13,10 @@ from ..operators.checks import CheckFailed, duplicates, require_empty
 from ..plans.scan import with_row_number
 
 MISSING_TOKENS = ["NA", "NAN", "."]
-_FIELDS = F.split(F.trim("value"), r"\s+")
+
+
+def _fields() -> Column:
+    return F.split(F.trim("value"), r"\s+")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +32,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan_bim(spark: SparkSession, path: str) -> DataFrame:
     """Marker table: six whitespace-separated columns without a header."""
     f = F.col("f")
-    return numbered_lines(spark, path).select("ord", _FIELDS.alias("f")).select(
+    return numbered_lines(spark, path).select("ord", _fields().alias("f")).select(
         F.col("ord").alias("marker_idx"), f[0].alias("chrom"), f[1].alias("marker_id"),
         f[2].cast("double").alias("cm"), f[3].cast("long").alias("pos"), f[4].alias("a1"), f[5].alias("a2"),
     )
@@ -38,7 +41,7 @@ def scan_bim(spark: SparkSession, path: str) -> DataFrame:
 def scan_fam(spark: SparkSession, path: str, id_rule: str = "joined") -> DataFrame:
     """Sample table with the composed sample ID."""
     f = F.col("f")
-    rows = numbered_lines(spark, path).select("ord", _FIELDS.alias("f")).select(
+    rows = numbered_lines(spark, path).select("ord", _fields().alias("f")).select(
         F.col("ord").alias("sample_idx"), f[0].alias("fid"), f[1].alias("iid"), f[2].alias("pid"),
         f[3].alias("mid"), f[4].alias("sex"), f[5].alias("pheno"),
     )
@@ -50,18 +53,21 @@ def _header(spark: SparkSession, path: str) -> tuple[str, list[str]]:
     return line, line.split()
 
 
-def scan_dosage_table(spark: SparkSession, path: str, missing_code: int | None = 3) -> DataFrame:
+def scan_dosage_table(
+    spark: SparkSession, path: str, missing_code: int | None = 3, header: str | None = None
+) -> DataFrame:
     """Wide sample x marker text -> (sample_id, marker_idx, marker_id, dosage).
 
-    The first line names the markers.  A duplicate sample, a line of another
-    width and an unreadable code are errors; NA, NAN and . are missing.
+    The first line names the markers; for a table in several files the header
+    line is passed instead.  A duplicate sample, a line of another width and an
+    unreadable code are errors; NA, NAN and . are missing.
     """
-    header, names = _header(spark, path)
+    header, names = _header(spark, path) if header is None else (header, header.split())
     markers = spark.createDataFrame(
         [(i, m) for i, m in enumerate(names[1:])], "marker_idx int, marker_id string")
     width = len(names)
     lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & (F.col("value") != header))
-    fields = lines.select(_FIELDS.alias("f")).select(F.col("f")[0].alias("sample_id"), "f")
+    fields = lines.select(_fields().alias("f")).select(F.col("f")[0].alias("sample_id"), "f")
     require_empty(duplicates(fields.select("sample_id"), ["sample_id"]), "duplicate sample in dosage table")
     checked = F.when(
         F.size("f") != width, F.raise_error(F.concat(F.lit("wrong number of calls for sample "), F.col("sample_id")))
@@ -84,7 +90,7 @@ def scan_compact_calls(
 ) -> DataFrame:
     """``id digits`` lines -> long calls.  Unwanted samples leave before the
     digits are exploded; a listed sample that is absent is an error."""
-    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(_FIELDS.alias("f")).select(
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(_fields().alias("f")).select(
         F.col("f")[0].alias("sample_id"), F.array_join(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))), "").alias("digits"))
     if wanted is not None:
         rows = rows.join(wanted.select("sample_id"), "sample_id", "left_semi")
@@ -155,7 +161,7 @@ def scan_sniffed_table(
     if sep is None:
         header, names = _header(spark, path)
         lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & (F.col("value") != header))
-        raw = lines.select(_FIELDS.alias("f")).select(
+        raw = lines.select(_fields().alias("f")).select(
             *[F.try_element_at("f", F.lit(i + 1)).alias(c) for i, c in enumerate(names)])
     else:
         raw = spark.read.csv(path, header=True, sep=sep)
@@ -211,9 +217,9 @@ def scan_context(
     )
 
 
-def scan_manifest_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested manifests, one row per file; bare NaN literals are accepted."""
-    raw = spark.read.json(path, multiLine=True, allowNonNumericNumbers=True)
+def scan_manifest_json(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Nested manifests, one row per file (or per line); bare NaN literals are accepted."""
+    raw = spark.read.json(path, multiLine=one_per_file, allowNonNumericNumbers=True)
     return raw.withColumn("file_path", F.col("_metadata.file_path"))
 
 
@@ -233,6 +239,6 @@ def binding_check(listed: DataFrame, expected: DataFrame) -> DataFrame:
 def scan_map(spark: SparkSession, path: str) -> DataFrame:
     """Genetic map: chromosome, marker, distance, position; no header."""
     f = F.col("f")
-    return numbered_lines(spark, path).select("ord", _FIELDS.alias("f")).select(
+    return numbered_lines(spark, path).select("ord", _fields().alias("f")).select(
         F.col("ord").alias("marker_idx"), f[0].alias("chrom"), f[1].alias("marker_id"),
         f[2].try_cast("double").alias("cm"), f[3].try_cast("double").cast("long").alias("pos"))

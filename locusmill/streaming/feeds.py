@@ -41,9 +41,9 @@ def stream_fold_metrics(feed: DataFrame, path: str, keys: list[str]) -> DataFram
     return _run(regression_metrics(unique, keys), path, keys)
 
 
-def file_feed(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """A Parquet path as a stream with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).parquet(path)
+def file_feed(spark: SparkSession, folder: str, like: DataFrame, names: str = "*.parquet") -> DataFrame:
+    """The Parquet files of a folder as a stream with the schema of ``like``."""
+    return spark.readStream.schema(like.schema).option("pathGlobFilter", names).parquet(folder)
 
 
 __all__ = ["file_feed", "stream_fold_metrics", "stream_running_best"]

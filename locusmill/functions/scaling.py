@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import attach_measured
 from ..plans.scan import exact_quantiles, prefix_scan, with_row_number
 from ..plans.session import stable
 
@@ -17,7 +18,7 @@ EPS = 1e-10
 def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join per-key statistics; without keys the single row is attached to every row."""
     if keys:
-        return df.join(stats, list(keys))
+        return attach_measured(df, stats, keys)
     row = stats.first()
     return df.select("*", *[
         F.lit(row[name]).cast(stats.schema[name].dataType).alias(name) for name in stats.columns

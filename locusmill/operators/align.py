@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import id_aliases
+from ..plans.joins import attach_measured
 from .checks import CheckFailed, duplicates, require_empty
 
 DIRECT_MATCH_SHARE = 0.1
@@ -219,7 +220,7 @@ def assemble_features(
 ) -> DataFrame:
     """One feature row per (sample, marker); one loader leaves the density out."""
     kept = [c for c in columns if not (drop_density and c == "density")]
-    return calls.join(marker_features.select("marker_idx", *kept), "marker_idx")
+    return attach_measured(calls, marker_features.select("marker_idx", *kept), ["marker_idx"])
 
 
 def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import CHANNELS
+from ..plans.joins import attach_measured
 from ..plans.scan import exact_quantiles
 from .checks import CheckFailed
 
@@ -93,7 +94,7 @@ def marker_fill(encoded: DataFrame, method: str = "mode") -> DataFrame:
         fills = encoded.groupBy("marker_idx").agg(F.least(F.lit(9), F.greatest(F.lit(0), mean)).alias("fill"))
     else:
         raise ValueError(f"unknown fill method {method!r}")
-    out = encoded.join(fills, "marker_idx", "left")
+    out = attach_measured(encoded, fills, ["marker_idx"], "left")
     return out.select(
         *encoded.columns, F.coalesce("channel", "fill").cast("int").alias("filled")
     )
@@ -152,7 +153,7 @@ def impute_train(
     ``mean``: such a marker is an error.
     """
     fold_stats = stats.select("seed", "fold", "marker_idx", "mean", "median")
-    out = calls.join(val_folds, "sample_id").join(fold_stats, ["seed", "marker_idx"])
+    out = attach_measured(calls.join(val_folds, "sample_id"), fold_stats, ["seed", "marker_idx"])
     if method == "median":
         fill = F.coalesce("median", F.lit(0.0))
     elif method == "mean":
@@ -183,7 +184,7 @@ def call_information_weight(codes: DataFrame, code: str = "code") -> DataFrame:
 
 
 def weighted_calls(codes: DataFrame, weights: DataFrame, code: str = "code") -> DataFrame:
-    return codes.join(weights.select("marker_idx", code, "weight"), ["marker_idx", code])
+    return attach_measured(codes, weights.select("marker_idx", code, "weight"), ["marker_idx", code])
 
 
 def genotype_value_stats(weights: DataFrame) -> DataFrame:

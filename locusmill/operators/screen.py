@@ -16,6 +16,7 @@ ALPHA = 0.6
 MIN_PAIRS = 10
 MIN_GRID = 4
 CELLS = 240
+SCORED_AT_ONCE = 512
 
 
 def trait_cells(phenotypes: DataFrame, traits: Sequence[str], cells: int = CELLS) -> DataFrame:
@@ -37,35 +38,44 @@ def _entropy_terms(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, counts * np.log(np.where(counts > 0, counts, 1.0)), 0.0)
 
 
-def grid_score(table: np.ndarray, cells: int = CELLS) -> float:
-    """Largest normalised mutual information over the allowed grids.
+def grid_scores(tables: np.ndarray) -> np.ndarray:
+    """Largest normalised mutual information over the allowed grids, per table.
 
-    ``table`` holds the counts of 3 dosages x ``cells``.  The dosage axis takes
+    ``tables`` holds counts of rows x 3 dosages x cells.  The dosage axis takes
     its three groupings, the trait axis every number of bins b (merged adjacent
     cells) with groups * b <= max(n ** 0.6, 4).
     """
-    n = table.sum()
-    budget = max(n ** ALPHA, MIN_GRID)
-    running = np.concatenate([np.zeros((3, 1)), np.cumsum(table, axis=1)], axis=1)
-    best = 0.0
+    rows, _, cells = tables.shape
+    n = tables.sum(axis=(1, 2))
+    budget = np.maximum(n ** ALPHA, MIN_GRID)
+    running = np.concatenate([np.zeros((rows, 3, 1)), np.cumsum(tables, axis=2)], axis=2)
+    best = np.zeros(rows)
     for groups in (2, 3):
-        for b in range(2, min(int(budget // groups), cells) + 1):
+        bins = np.minimum(budget // groups, cells)
+        for b in range(2, int(bins.max(initial=0)) + 1):
+            fits = bins >= b
             edges = -(-np.arange(b + 1) * cells // b)
-            binned = np.diff(running[:, edges], axis=1)
-            if groups == 2:
-                options = [np.stack([binned[0], binned[1] + binned[2]]), np.stack([binned[0] + binned[1], binned[2]])]
-            else:
-                options = [binned]
+            binned = np.diff(running[fits][:, :, edges], axis=2)
+            low, mid, high = binned[:, 0], binned[:, 1], binned[:, 2]
+            options = (
+                [np.stack([low, mid + high], axis=1), np.stack([low + mid, high], axis=1)]
+                if groups == 2 else [binned]
+            )
             for joint in options:
-                rows, cols = joint.sum(axis=1), joint.sum(axis=0)
                 information = (
-                    _entropy_terms(joint).sum() - _entropy_terms(rows).sum()
-                    - _entropy_terms(cols).sum() + _entropy_terms(np.array([n])).sum()
-                ) / n
-                best = max(best, information / np.log(min(groups, b)))
+                    _entropy_terms(joint).sum(axis=(1, 2)) - _entropy_terms(joint.sum(axis=2)).sum(axis=1)
+                    - _entropy_terms(joint.sum(axis=1)).sum(axis=1) + _entropy_terms(n[fits])
+                ) / n[fits]
+                best[fits] = np.maximum(best[fits], information / np.log(min(groups, b)))
     return best
 
 
+def _table(at: np.ndarray, counts: np.ndarray, cells: int) -> np.ndarray:
+    table = np.zeros(3 * cells)
+    table[at] = counts
+    return table.reshape(3, cells)
+
+
 def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS) -> DataFrame:
     """(marker_idx, trait, n_pairs, score) over the given samples.
 
@@ -89,12 +99,12 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for places, sizes in batches:
-            out = np.empty(len(places))
-            for row, (at, c) in enumerate(zip(places, sizes)):
-                table = np.zeros(3 * cells)
-                table[at] = c
-                out[row] = grid_score(table.reshape(3, cells), cells)
-            yield pd.Series(out)
+            out = [np.empty(0)]
+            for start in range(0, len(places), SCORED_AT_ONCE):
+                tables = [_table(at, c, cells) for at, c in zip(
+                    places[start:start + SCORED_AT_ONCE], sizes[start:start + SCORED_AT_ONCE])]
+                out.append(grid_scores(np.stack(tables)))
+            yield pd.Series(np.concatenate(out))
 
     value = (
         F.when(F.col("n_pairs") < MIN_PAIRS, F.lit(None).cast("double"))

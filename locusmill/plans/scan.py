@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import attach_measured
 from .session import stable
 
 _SLICE, _POS = "_slice", "_pos"
@@ -93,9 +94,15 @@ def prefix_scan(
     ``specs`` maps an output name to ``(op, column, inclusive)``; an exclusive
     scan sees only the rows before the current one (``last`` is then a lag).
     """
-    keys = list(keys)
-    rows = sorted_slices(df, keys, order)
-    names = list(specs)
+    out = scan_sorted(sorted_slices(df, keys, order), keys, specs)
+    return out.drop(_SLICE, _POS)
+
+
+def scan_sorted(
+    rows: DataFrame, keys: Sequence[str], specs: dict[str, tuple[str, Column, bool]]
+) -> DataFrame:
+    """``prefix_scan`` over rows that ``sorted_slices`` has already placed."""
+    keys, names = list(keys), list(specs)
     parts = [_SLICE, *keys]
     totals = rows.groupBy(*parts).agg(
         F.min(_POS).alias("_lo"),
@@ -127,7 +134,8 @@ def prefix_scan(
         + [T.StructField(k, types[k].dataType) for k in keys]
         + [T.StructField(f"_c{i}", types[f"_a{i}"].dataType) for i in range(len(names))]
     )
-    carry = df.sparkSession.createDataFrame(carried, schema)
+    carry = rows.sparkSession.createDataFrame(carried, schema)
+    kept = [c for c in rows.columns if c not in names]
     window = Window.partitionBy(*parts).orderBy(_POS)
     upto = window.rowsBetween(Window.unboundedPreceding, 0)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -147,10 +155,19 @@ def prefix_scan(
         else:
             value = F.coalesce(local, before_slice)
         outputs.append(value.alias(name))
-    kept = [c for c in df.columns if c not in names]
     return rows.select(*kept, *outputs)
 
 
+def _with_totals(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counted values (keys, _v, _n) with the running count _cum and the key total n."""
+    rows = sorted_slices(counted, keys, ["_v"])
+    totals = rows.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    scanned = scan_sorted(rows, keys, {"_cum": ("sum", F.col("_n"), True)})
+    if keys:
+        return attach_measured(scanned, totals, keys)
+    return scanned.withColumn("n", F.lit(totals.first()[0]))
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
@@ -164,13 +181,7 @@ def exact_quantiles(
     counted = clean.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    scanned = prefix_scan(counted, keys, ["_v"], {"_cum": ("sum", F.col("_n"), True)})
-    scanned = stable(scanned)
-    totals = scanned.groupBy(*keys).agg(F.max("_cum").alias("n"))
-    if keys:
-        scanned = scanned.join(totals, keys)
-    else:
-        scanned = scanned.withColumn("n", F.lit(totals.first()[0]))
+    scanned = _with_totals(counted, keys)
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = (F.col("n") - 1) * F.lit(float(p))
@@ -190,12 +201,7 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> D
     """``sorted[n // 2]`` per key: the upper median, never interpolated."""
     keys = list(keys)
     counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    scanned = stable(prefix_scan(counted, keys, ["_v"], {"_cum": ("sum", F.col("_n"), True)}))
-    totals = scanned.groupBy(*keys).agg(F.max("_cum").alias("_total"))
-    if keys:
-        scanned = scanned.join(totals, keys)
-    else:
-        scanned = scanned.withColumn("_total", F.lit(totals.first()[0]))
-    rank = F.floor(F.col("_total") / 2)
+    scanned = _with_totals(counted, keys)
+    rank = F.floor(F.col("n") / 2)
     hit = (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
     return scanned.groupBy(*keys).agg(F.max(F.when(hit, F.col("_v"))).alias(name))

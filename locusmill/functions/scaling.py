@@ -30,6 +30,37 @@ def _unit(x: Column, low: Column, high: Column) -> Column:
     return F.when(span < EPS, F.lit(0.0)).otherwise((x - low) / (span + EPS))
 
 
+def _moments(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Everything the monotone scalings need, in one pass."""
+    x = F.col(value)
+    return df.groupBy(*keys).agg(
+        F.min(F.when(x > 0, x)).alias("_least"), F.max(F.when(x > 0, x)).alias("_top"),
+        F.avg(F.when(x > 0, x)).alias("_mean"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
+    )
+
+
+_MOMENTS = ["_least", "_top", "_mean", "_lo", "_hi"]
+
+
+def _positive_unit(value: str, form) -> Column:
+    """Min-max of ``form(x)`` for x > 0 and 0 elsewhere.
+
+    ``form`` rises with x, so the ends of the result follow from the smallest
+    and largest positive value and no second pass over the rows is needed.
+    """
+    x, zero = F.col(value), F.lit(0.0)
+    some_zero = F.col("_lo") <= 0
+    low = F.when(F.col("_least").isNull(), zero).when(
+        some_zero, F.least(zero, form(F.col("_least")))).otherwise(form(F.col("_least")))
+    high = F.when(F.col("_top").isNull(), zero).when(
+        some_zero, F.greatest(zero, form(F.col("_top")))).otherwise(form(F.col("_top")))
+    return _unit(F.when(x > 0, form(x)).otherwise(zero), low, high)
+
+
+def _log_form(x: Column) -> Column:
+    return F.ln(x + F.col("_least") / 10)
+
+
 def minmax(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "scaled") -> DataFrame:
     """(x - min) / (max - min + 1e-10); a range below 1e-10 gives 0."""
     stats = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
@@ -37,28 +68,21 @@ def minmax(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "sca
     return out.withColumn(name, _unit(F.col(value), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
-def _scaled_by(df, value, transform, keys, name):
-    """Apply ``transform`` (NULL-free, 0 for non-positive input), then min-max it."""
-    moved = df.withColumn("_t", transform)
-    return minmax(moved, "_t", keys, name).drop("_t")
-
-
 def log_scale(df: DataFrame, value: str, keys: Sequence[str] = (), name: str = "scaled") -> DataFrame:
     """ln(x + smallest positive / 10) for x > 0, else 0; then min-max."""
-    x = F.col(value)
-    least = df.groupBy(*keys).agg(F.min(F.when(x > 0, x)).alias("_least"))
-    out = attach(df, least, keys)
-    moved = F.when(x > 0, F.ln(x + F.col("_least") / 10)).otherwise(F.lit(0.0))
-    return _scaled_by(out, value, moved, keys, name).drop("_least")
+    out = attach(df, _moments(df, value, keys), keys)
+    return out.withColumn(name, _positive_unit(value, _log_form)).drop(*_MOMENTS)
 
 
 def power_scale(
     df: DataFrame, value: str, power: float = 0.5, keys: Sequence[str] = (), name: str = "scaled"
 ) -> DataFrame:
-    """x ** power for x > 0, else 0; then min-max."""
-    x = F.col(value)
-    moved = F.when(x > 0, F.pow(x, F.lit(power))).otherwise(F.lit(0.0))
-    return _scaled_by(df, value, moved, keys, name)
+    """x ** power for x > 0, else 0; then min-max.  The power must be positive."""
+    if power <= 0:
+        raise ValueError("power must be positive")
+    out = attach(df, _moments(df, value, keys), keys)
+    return out.withColumn(
+        name, _positive_unit(value, lambda x: F.pow(x, F.lit(power)))).drop(*_MOMENTS)
 
 
 def adaptive_scale(
@@ -67,34 +91,26 @@ def adaptive_scale(
     """Log for a strong right skew, square root for a moderate one, else linear.
 
     Strong: mean > 2 * median of the positive values; moderate: max > 5 * median.
+    Without a positive value everything is 0.
     """
     x = F.col(value)
     keys = list(keys)
-    positive = df.where(x > 0)
-    medians = exact_quantiles(positive, keys, value, {"_median": 0.5}).drop("n")
-    moments = df.groupBy(*keys).agg(
-        F.avg(F.when(x > 0, x)).alias("_mean"),
-        F.max(F.when(x > 0, x)).alias("_top"),
-        F.min(F.when(x > 0, x)).alias("_least"),
-    )
+    medians = exact_quantiles(df.where(x > 0), keys, value, {"_median": 0.5}).drop("n")
+    moments = _moments(df, value, keys)
     if keys:
         stats = moments.join(medians, keys, "left")
     else:
         found = medians.first()
-        stats = moments.withColumn(
-            "_median", F.lit(found["_median"] if found else None).cast("double")
-        )
+        stats = moments.withColumn("_median", F.lit(found["_median"] if found else None).cast("double"))
     out = attach(df, stats, keys)
     middle = F.col("_median")
-    log_form = F.when(x > 0, F.ln(x + F.col("_least") / 10)).otherwise(F.lit(0.0))
-    root_form = F.when(x > 0, F.sqrt(x)).otherwise(F.lit(0.0))
-    moved = (
+    scaled = (
         F.when(middle.isNull(), F.lit(0.0))
-        .when(F.col("_mean") > 2 * middle, log_form)
-        .when(F.col("_top") > 5 * middle, root_form)
-        .otherwise(x)
+        .when(F.col("_mean") > 2 * middle, _positive_unit(value, _log_form))
+        .when(F.col("_top") > 5 * middle, _positive_unit(value, F.sqrt))
+        .otherwise(_unit(x, F.col("_lo"), F.col("_hi")))
     )
-    return _scaled_by(out, value, moved, keys, name).drop("_mean", "_top", "_least", "_median")
+    return out.withColumn(name, scaled).drop(*_MOMENTS, "_median")
 
 
 # Published rational approximation of the inverse normal CDF
@@ -150,7 +166,7 @@ def quantile_normal(df: DataFrame, value: str, name: str = "scaled") -> DataFram
     low, span = ends["lo"] or 0.0, (ends["hi"] or 0.0) - (ends["lo"] or 0.0)
     unit = (F.col("_z") - F.lit(low)) / F.lit(span) if span > 0 else F.col("_z")
     scored = scored.select(value, unit.alias(name))
-    return df.join(scored, value, "left").fillna(0.0, [name])
+    return attach_measured(df, scored, [value], "left").fillna(0.0, [name])
 
 
 def zscore(

@@ -24,18 +24,18 @@ def gap_fill_intervals(genes: DataFrame, lengths: DataFrame) -> DataFrame:
     scanned = prefix_scan(
         known, ["chrom"], ["g_start", "g_end"], {"prev_end": ("last", F.col("g_end"), False)}
     )
-    bodies = scanned.select("chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"),
-                            F.lit("gene").alias("kind"))
-    first = scanned.where("prev_end IS NULL AND g_start > 0").select(
-        "chrom", F.lit(0).cast("long").alias("start"), (F.col("g_start") - 1).alias("end"))
-    inner = scanned.where("g_start - prev_end > 1").select(
-        "chrom", (F.col("prev_end") + 1).alias("start"), (F.col("g_start") - 1).alias("end"))
+    gene = F.struct(F.col("g_start").alias("start"), F.col("g_end").alias("end"), F.lit("gene").alias("kind"))
+    gap_start = F.when(F.col("prev_end").isNull(), F.lit(0).cast("long")).otherwise(F.col("prev_end") + 1)
+    gap = F.struct(gap_start.alias("start"), (F.col("g_start") - 1).alias("end"), F.lit("non-gene").alias("kind"))
+    open_before = F.when(F.col("prev_end").isNull(), F.col("g_start") > 0).otherwise(
+        F.col("g_start") - F.col("prev_end") > 1)
+    bodies = scanned.select("chrom", F.inline(F.when(open_before, F.array(gap, gene)).otherwise(F.array(gene))))
     last = known.groupBy("chrom", "length").agg(
         F.max_by("g_end", F.struct("g_start", "g_end")).alias("e")
     ).where("e < length - 1").select("chrom", (F.col("e") + 1).alias("start"), F.col("length").alias("end"))
     bare = lengths.join(genes, "chrom", "left_anti").select(
         "chrom", F.lit(0).cast("long").alias("start"), F.col("length").alias("end"))
-    gaps = first.unionByName(inner).unionByName(last).unionByName(bare)
+    gaps = last.unionByName(bare)
     return bodies.unionByName(gaps.withColumn("kind", F.lit("non-gene")))
 
 

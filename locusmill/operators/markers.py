@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import CHANNELS
 from ..plans.joins import attach_measured
 from ..plans.scan import exact_quantiles
+from ..plans.session import stable
 from .checks import CheckFailed
 
 MAF_TOLERANCE = 0.02
@@ -40,7 +41,7 @@ def maf_audit(freq: DataFrame, published: DataFrame) -> DataFrame:
     ``published`` is (marker_idx, maf_ref).  ``passes`` combines both gates.
     """
     both = freq.join(published, "marker_idx").where(F.col("p").isNotNull() & F.col("maf_ref").isNotNull())
-    both = both.withColumn("err", F.abs(F.col("maf") - F.col("maf_ref")))
+    both = stable(both.select(F.abs(F.col("maf") - F.col("maf_ref")).alias("err")))
     spread = exact_quantiles(both, [], "err", {"median_err": 0.5, "p95_err": 0.95})
     close = F.col("err") <= MAF_TOLERANCE
     found = spread.first()
@@ -189,23 +190,19 @@ def weighted_calls(codes: DataFrame, weights: DataFrame, code: str = "code") ->
 
 def genotype_value_stats(weights: DataFrame) -> DataFrame:
     """Range, mean and population SD of the call weights over all calls, with a
-    block for the positive ones, computed on the counted weights."""
-    return _counted_stats(weights, "all").unionByName(
-        _counted_stats(weights.where("weight > 0"), "non_zero")
-    )
-
-
-def _counted_stats(weights: DataFrame, label: str) -> DataFrame:
+    block for the positive ones, in one pass over the counted weights."""
     w, n = F.col("weight"), F.col("n")
-    out = weights.agg(
-        F.sum("n").alias("count"), F.min("weight").alias("min"), F.max("weight").alias("max"),
-        F.sum(w * n).alias("s1"), F.sum(w * w * n).alias("s2"),
-    )
-    mean = F.col("s1") / F.col("count")
-    return out.select(
-        F.lit(label).alias("block"), "count", "min", "max", mean.alias("mean"),
-        F.sqrt(F.greatest(F.col("s2") / F.col("count") - mean * mean, F.lit(0.0))).alias("sd"),
-    )
+    blocks = []
+    for label, kept in (("all", F.lit(True)), ("non_zero", w > 0)):
+        count = F.sum(F.when(kept, n))
+        mean = F.sum(F.when(kept, w * n)) / count
+        square = F.sum(F.when(kept, w * w * n)) / count
+        blocks.append(F.struct(
+            F.lit(label).alias("block"), count.alias("count"), F.min(F.when(kept, w)).alias("min"),
+            F.max(F.when(kept, w)).alias("max"), mean.alias("mean"),
+            F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))).alias("sd"),
+        ))
+    return weights.agg(F.array(*blocks).alias("_b")).select(F.inline("_b"))
 
 
 def require_audit(audit: DataFrame, message: str) -> None:
@@ -221,24 +218,22 @@ def marker_order(markers: DataFrame, keys: Sequence[str] = ("chrom", "pos", "mar
 def fold_leak_check(calls: DataFrame, val_folds: DataFrame, n_folds: int) -> DataFrame:
     """Training statistics that move when the evaluation rows of a fold are altered.
 
-    For every fold the dosages of its own validation samples are flipped and the
-    training statistics are computed again; ``n_changed`` must be 0.
+    The counts of ``train_marker_stats`` are compared with counts taken from the
+    training rows of calls whose evaluation dosages were flipped, for all folds
+    in one pass; ``n_changed`` must be 0.
     """
-    columns = ["seed", "fold", "marker_idx", "n0", "n1", "n2"]
-    base = train_marker_stats(calls, val_folds, n_folds).select(*columns)
-    report = None
+    levels = (0, 1, 2)
+    base = train_marker_stats(calls, val_folds, n_folds).select("seed", "fold", "marker_idx", "n0", "n1", "n2")
+    folds = []
     for fold in range(n_folds):
-        held = val_folds.where(F.col("val_fold") == fold).select("sample_id", "seed", F.lit(1).alias("_held"))
-        for_seed = calls.join(val_folds, "sample_id").join(held, ["sample_id", "seed"], "left")
-        dosage = F.when(F.col("_held") == 1, 2 - F.coalesce("dosage", F.lit(0))).otherwise(F.col("dosage"))
-        at = [F.sum(F.when((F.col("val_fold") != fold) & (dosage == d), 1).otherwise(0)).alias(f"n{d}") for d in (0, 1, 2)]
-        altered = for_seed.groupBy("seed", "marker_idx").agg(*at).withColumn("fold", F.lit(fold))
-        both = base.where(F.col("fold") == fold).join(
-            altered.select("seed", "marker_idx", *[F.col(f"n{d}").alias(f"m{d}") for d in (0, 1, 2)]),
-            ["seed", "marker_idx"], "full")
-        moved = ~(
-            F.col("n0").eqNullSafe(F.col("m0")) & F.col("n1").eqNullSafe(F.col("m1")) & F.col("n2").eqNullSafe(F.col("m2")))
-        part = both.groupBy("seed").agg(
-            F.lit(fold).alias("fold"), F.count(F.lit(1)).alias("n_stats"), F.count_if(moved).alias("n_changed"))
-        report = part if report is None else report.unionByName(part)
-    return report
+        held = F.col("val_fold") == fold
+        dosage = F.when(held, 2 - F.coalesce("dosage", F.lit(0))).otherwise(F.col("dosage"))
+        folds.append(F.struct(F.lit(fold).alias("fold"), *[
+            F.sum(F.when(~held & (dosage == d), 1).otherwise(0)).alias(f"m{d}") for d in levels]))
+    altered = calls.join(val_folds, "sample_id").groupBy("seed", "marker_idx").agg(F.array(*folds).alias("_f"))
+    both = base.join(altered.select("seed", "marker_idx", F.inline("_f")), ["seed", "fold", "marker_idx"], "full")
+    same = F.lit(True)
+    for d in levels:
+        same = same & F.col(f"n{d}").eqNullSafe(F.col(f"m{d}"))
+    return both.groupBy("seed", "fold").agg(
+        F.count(F.lit(1)).alias("n_stats"), F.count_if(~same).alias("n_changed"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import sigmoid
+from ..plans.session import stable
 from .checks import incomplete_grid, is_finite, require_empty
 
 METRICS = ["pearson", "mse", "rmse", "mae", "r2", "sd_ratio"]
@@ -79,7 +80,7 @@ def summarize_metrics(
 
     The seed x fold grid must be complete without repeats.
     """
-    keys = list(keys)
+    keys, fold_metrics = list(keys), stable(fold_metrics)  # one row per evaluation, read twice
     require_empty(incomplete_grid(fold_metrics, keys, seeds, folds), "incomplete seed x fold table")
     long = _long(fold_metrics, [*keys, "seed", "fold"])
     grouped = [F.col(c) for c in [*keys, "metric", "seed"]]

@@ -21,13 +21,10 @@ def hashed(seed: int | str | Column, key: str = "sample_id") -> list[Column]:
 
 def median_bin(df: DataFrame, value: str, name: str) -> DataFrame:
     """0 up to the interpolated median, 1 above; anything but two groups is an error."""
-    found = exact_quantiles(df, [], value, {"m": 0.5}).first()
-    middle = found["m"] if found else None
-    bins = df.where(F.col(value).isNotNull()).agg(
-        F.count_if(F.col(value) <= F.lit(middle)).alias("a"), F.count_if(F.col(value) > F.lit(middle)).alias("b")
-    ).first()
-    if not bins["a"] or not bins["b"]:
+    found = exact_quantiles(df, [], value, {"m": 0.5, "top": 1.0}).first()
+    if found is None or not found["top"] > found["m"]:
         raise CheckFailed(f"{value} cannot be cut into two quantile groups")
+    middle = found["m"]
     return df.withColumn(
         name, F.when(F.col(value) <= middle, 0).when(F.col(value) > middle, 1))
 

@@ -22,14 +22,14 @@ _SLICE, _POS = "_slice", "_pos"
 
 
 def sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Globally sorted, checkpointed rows with their slice number and a global position.
+    """Globally sorted rows, written once with their slice number and a global position.
 
     ``order`` must end in a unique column wherever ties would matter; it also
     lets the range partitioner cut a run of equal values.
     """
-    ranged = stable(df.orderBy(*keys, *order))
-    return ranged.withColumn(_SLICE, F.spark_partition_id()).withColumn(
-        _POS, F.monotonically_increasing_id()
+    ranged = df.orderBy(*keys, *order)
+    return stable(
+        ranged.withColumn(_SLICE, F.spark_partition_id()).withColumn(_POS, F.monotonically_increasing_id())
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import encode_channel
 from ..operators import intervals, markers, metrics, profile, splits
 from ..operators.checks import incomplete_grid
+from ..plans.session import stable
 from ..sources.views import calls, genes_intervals, panel, preds, raw_calls, val_folds, view
 from .registry import query
 
@@ -95,7 +96,7 @@ FILL_SQL = (
     ["calls", "markers"],
 )
 def _(spark, d):
-    return markers.marker_fill(encoded(spark, d).select("sample_id", "marker_idx", "channel"), "mode")
+    return markers.marker_fill(stable(encoded(spark, d).select("sample_id", "marker_idx", "channel")), "mode")
 
 
 @query(
@@ -104,7 +105,7 @@ def _(spark, d):
     ["calls", "markers"],
 )
 def _(spark, d):
-    return markers.marker_fill(encoded(spark, d).select("sample_id", "marker_idx", "channel"), "mean")
+    return markers.marker_fill(stable(encoded(spark, d).select("sample_id", "marker_idx", "channel")), "mean")
 
 
 TRAIN_SQL = (
@@ -270,7 +271,7 @@ def _(spark, d):
     ["raw_calls"], ["weight"],
 )
 def _(spark, d):
-    codes = raw_calls(spark, d)
+    codes = stable(raw_calls(spark, d))
     return markers.weighted_calls(codes, markers.call_information_weight(codes))
 
 

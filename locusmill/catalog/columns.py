@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, scaling
 from ..operators import checks, intervals
+from ..plans.session import stable
 from ..sources.views import genes_intervals, preds, raw_calls, table, val_folds, vectors, view
 from .aggregates import BIN, ENCODED, INTERVALS, encoded
 from .registry import query
@@ -234,7 +235,31 @@ def _(spark, d):
         "sample_id", "marker_idx", "scaled")
 
 
-@query("f05_quantile_normal")
+def _horner(coefficients, x: str) -> str:
+    out = f"cast({coefficients[0]!r} AS double)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + cast({c!r} AS double))"
+    return out
+
+
+def _inverse_normal_sql(p: str) -> str:
+    a, b, c, e = scaling._A, scaling._B, scaling._C, scaling._D
+    low, high = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))"
+    q = f"({p} - 0.5)"
+    return (
+        f"CASE WHEN {p} < {scaling._TAIL} THEN {_horner(c, low)} / {_horner([*e, 1.0], low)}"
+        f" WHEN {p} > 1 - {scaling._TAIL} THEN -{_horner(c, high)} / {_horner([*e, 1.0], high)}"
+        f" ELSE {_horner(a, f'({q} * {q})')} * {q} / {_horner([*b, 1.0], f'({q} * {q})')} END"
+    )
+
+
+@query(
+    "f05_quantile_normal",
+    "WITH r AS (SELECT l_orderkey, l_linenumber, (rank() OVER (ORDER BY l_extendedprice) - 1 + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2)"
+    " / cast(count(*) OVER () - 1 AS double) AS share FROM lineitem),"
+    " p AS (SELECT l_orderkey, l_linenumber, least(1 - 1e-7, greatest(1e-7, share)) AS p FROM r),"
+    f" z AS (SELECT l_orderkey, l_linenumber, {_inverse_normal_sql('p')} AS z FROM p)"
+    " SELECT l_orderkey, l_linenumber, round((z - min(z) OVER ()) / (max(z) OVER () - min(z) OVER ()), 6) AS scaled FROM z")
 def _(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"))
     return scaling.quantile_normal(lines, "value").select("l_orderkey", "l_linenumber", F.round("scaled", 6).alias("scaled"))
@@ -312,7 +337,8 @@ FEATURE_COLUMNS = ["center", "length", "density", "is_gene"]
 
 
 def marker_features(spark, d):
-    return intervals.interval_features(view(spark, d, "markers"), genes_intervals(spark, d), BIN)
+    markers = view(spark, d, "markers").select("marker_idx", "chrom", "pos")
+    return intervals.interval_features(markers, genes_intervals(spark, d), BIN)
 
 
 @query("f09_interval_features", FEATURES_SQL + "SELECT * FROM feat", ["markers", "genes"], FEATURE_COLUMNS)
@@ -348,7 +374,7 @@ def _(spark, d):
     ["markers", "genes"], ["pos_scaled", "center_scaled", "length_scaled", "density_scaled"],
 )
 def _(spark, d):
-    return scaling.chrom_scaled_position(marker_features(spark, d)).select(
+    return scaling.chrom_scaled_position(stable(marker_features(spark, d))).select(
         "marker_idx", "pos_scaled", "center_scaled", "length_scaled", "density_scaled")
 
 

@@ -86,9 +86,15 @@ def _(spark, d):
     return splits.kfold_assign(ids, [1, 2, 3], 5, order)
 
 
-@query("w04_hashed_kfold")
+@query(
+    "w04_hashed_kfold_sizes",
+    KFOLD + "SELECT seed, cast(f.fold AS int) AS fold, CASE WHEN f.fold = val_fold THEN 'val' ELSE 'train' END AS split, count(*) AS n"
+    " FROM v CROSS JOIN (SELECT unnest(range(5)) AS fold) f GROUP BY ALL",
+    ["samples"])
 def _(spark, d):
-    return splits.kfold_assign(samples(spark, d).select("sample_id"), [1, 2, 3], 5)
+    """The default hashed order gives other members but the same sizes."""
+    out = splits.kfold_assign(samples(spark, d).select("sample_id"), [1, 2, 3], 5)
+    return out.groupBy("seed", "fold", "split").agg(F.count("*").alias("n"))
 
 
 @query(

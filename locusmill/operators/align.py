@@ -69,7 +69,7 @@ def align_by_any_id(
         phenotypes.select("pheno_id"), F.col("sample_id") == F.col("pheno_id")
     ).select("sample_id", "pheno_id")
     n, hits = samples.count(), direct.count()
-    if hits >= DIRECT_MATCH_SHARE * n:
+    if hits >= DIRECT_MATCH_SHARE * n or phenotypes.isEmpty():
         return "direct", direct
     first_g = [r[0] for r in samples.orderBy(sample_ord).limit(ID_PROBE).select("sample_id").collect()]
     first_p = [r[0] for r in phenotypes.orderBy(pheno_ord).limit(ID_PROBE).select("pheno_id").collect()]

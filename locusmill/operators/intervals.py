@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import plain_chrom
+from ..plans.joins import attach_measured
 from ..plans.scan import prefix_scan, upper_median
+from ..plans.session import stable
 
 BIN_WIDTH = 100_000
 
@@ -62,18 +64,21 @@ def locate_in_interval(
     a ``chr`` prefix.  Where intervals overlap the lowest start wins.
     """
     spread = intervals.select(
-        plain_chrom("chrom").alias("_chrom"), F.col("start").cast("long"), F.col("end").cast("long"), "kind"
+        plain_chrom("chrom").alias("_chrom"), F.col("start").cast("long").alias("start"),
+        F.col("end").cast("long").alias("end"), (F.col("kind") == "gene").alias("_gene"),
     ).withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
     keyed = markers.withColumn("_chrom", plain_chrom("chrom")).withColumn(
         "_bin", F.floor(F.col("pos") / bin_width))
-    hits = (
-        keyed.join(spread, ["_chrom", "_bin"])
-        .where((F.col("start") <= F.col("pos")) & (F.col("pos") <= F.col("end")))
-        .groupBy("marker_idx")
-        .agg(F.min(F.struct("start", "end", "kind")).alias("_hit"))
-        .select("marker_idx", "_hit.*")
+    inside = (
+        (keyed["_chrom"] == spread["_chrom"]) & (keyed["_bin"] == spread["_bin"])
+        & (F.col("start") <= F.col("pos")) & (F.col("pos") <= F.col("end"))
     )
-    return markers.join(hits, "marker_idx", how)
+    # one marker meets one bin, so only overlapping intervals give several rows here
+    hits = keyed.join(spread, inside, how).groupBy(*[keyed[c] for c in markers.columns]).agg(
+        F.min("start").alias("start"), F.min_by("end", "start").alias("end"),
+        F.min_by("_gene", "start").alias("_gene"))
+    kind = F.when(F.col("_gene"), "gene").when(~F.col("_gene"), "non-gene")
+    return hits.withColumn("kind", kind).drop("_gene")
 
 
 def interval_marker_counts(located: DataFrame) -> DataFrame:
@@ -99,7 +104,7 @@ def interval_counts(intervals: DataFrame) -> DataFrame:
 
 def interval_lengths(intervals: DataFrame) -> DataFrame:
     """Min, max, mean and upper median of the lengths, per kind and over all."""
-    lengths = intervals.select("kind", (F.col("end") - F.col("start") + 1).alias("len"))
+    lengths = stable(intervals.select("kind", (F.col("end") - F.col("start") + 1).alias("len")))
     both = lengths.unionByName(lengths.withColumn("kind", F.lit("all")))
     stats = both.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), F.min("len").alias("min"), F.max("len").alias("max"),
@@ -112,10 +117,10 @@ def interval_features(
     markers: DataFrame, intervals: DataFrame, bin_width: int = BIN_WIDTH
 ) -> DataFrame:
     """Six position features per marker; 0 in the last four where no interval holds it."""
-    located = locate_in_interval(markers, intervals, bin_width)
+    located = stable(locate_in_interval(markers, intervals, bin_width))
     counts = interval_marker_counts(located).withColumnRenamed("chrom", "_chrom")
-    out = located.withColumn("_chrom", plain_chrom("chrom")).join(
-        counts, ["_chrom", "start", "end"], "left")
+    out = attach_measured(
+        located.withColumn("_chrom", plain_chrom("chrom")), counts, ["_chrom", "start", "end"], "left")
     length = F.col("end") - F.col("start") + 1
     zero = F.lit(0.0)
     return out.select(

@@ -187,14 +187,17 @@ def epoch_score(
 
 
 def evaluation_losses(df: DataFrame, factor: float = 1.0) -> DataFrame:
-    """MSE, log-cosh and correlation loss, as mean and as worst trait."""
+    """MSE, log-cosh and correlation loss, as mean and as worst trait.
+
+    A constant column counts as uncorrelated; a single row has no correlation loss.
+    """
     d = F.col("y_pred") - F.col("y_true")
     big = F.abs(d)
     log_cosh = F.when(big < 20, F.ln(F.cosh(d) + 1e-12)).otherwise(big - F.ln(F.lit(2.0)))
     n = F.count(F.lit(1))
     large = (F.sqrt(F.var_pop("y_true") * n) >= 1e-9) & (F.sqrt(F.var_pop("y_pred") * n) >= 1e-9)
     r = F.when(large, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _pearson("y_true", "y_pred"))))
-    gap = (1.0 - F.coalesce(r, F.lit(0.0))) / factor
+    gap = F.when(n > 1, (1.0 - F.coalesce(r, F.lit(0.0))) / factor).otherwise(0.0)
     per = df.groupBy("trait").agg(
         n.alias("n"), F.sum(d * d).alias("s"), F.avg(d * d).alias("mse"),
         F.sum(log_cosh).alias("lc"), (gap * gap).alias("corr_loss"),

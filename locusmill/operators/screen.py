@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import prefix_scan, with_row_number
+from ..plans.joins import attach_measured
+from ..plans.scan import scan_sorted, sorted_slices, with_row_number
 from .checks import same_rows
 
 ALPHA = 0.6
@@ -27,11 +28,12 @@ def trait_cells(phenotypes: DataFrame, traits: Sequence[str], cells: int = CELLS
     """
     long = phenotypes.unpivot(["sample_id"], list(traits), "trait", "value").where("value IS NOT NULL")
     counted = long.groupBy("trait", "value").agg(F.count(F.lit(1)).alias("_n"))
-    totals = counted.groupBy("trait").agg(F.sum("_n").alias("_total"))
-    ranked = prefix_scan(counted, ["trait"], ["value"], {"_before": ("sum", F.col("_n"), False)})
-    ranked = ranked.fillna(0, ["_before"]).join(totals, "trait")
+    rows = sorted_slices(counted, ["trait"], ["value"])
+    totals = rows.groupBy("trait").agg(F.sum("_n").alias("_total"))
+    ranked = scan_sorted(rows, ["trait"], {"_before": ("sum", F.col("_n"), False)})
+    ranked = attach_measured(ranked.fillna(0, ["_before"]), totals, ["trait"])
     cut = ranked.select("trait", "value", F.floor(F.col("_before") * cells / F.col("_total")).cast("int").alias("cell"))
-    return long.join(cut, ["trait", "value"]).select("trait", "sample_id", "cell")
+    return attach_measured(long, cut, ["trait", "value"]).select("trait", "sample_id", "cell")
 
 
 def _entropy_terms(counts: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
     Calls are counted per (marker, trait, dosage, cell) first, so a marker of
     any size reaches its task as at most 3 x ``cells`` counts.
     """
-    pairs = calls.where("dosage IS NOT NULL").join(cells_of, "sample_id")
+    pairs = attach_measured(calls.where("dosage IS NOT NULL"), cells_of, ["sample_id"])
     counted = pairs.groupBy("marker_idx", "trait", "dosage", "cell").agg(F.count(F.lit(1)).alias("c"))
     packed = counted.groupBy("marker_idx", "trait").agg(
         F.sum("c").alias("n_pairs"),

@@ -20,9 +20,13 @@ def hashed(seed: int | str | Column, key: str = "sample_id") -> list[Column]:
 
 
 def median_bin(df: DataFrame, value: str, name: str) -> DataFrame:
-    """0 up to the interpolated median, 1 above; anything but two groups is an error."""
-    found = exact_quantiles(df, [], value, {"m": 0.5, "top": 1.0}).first()
-    if found is None or not found["top"] > found["m"]:
+    """0 up to the interpolated median, 1 above.
+
+    A median equal to the smallest or largest value leaves no second quantile
+    edge, which is an error.
+    """
+    found = exact_quantiles(df, [], value, {"low": 0.0, "m": 0.5, "top": 1.0}).first()
+    if found["m"] is None or not found["low"] < found["m"] < found["top"]:
         raise CheckFailed(f"{value} cannot be cut into two quantile groups")
     middle = found["m"]
     return df.withColumn(
@@ -121,13 +125,10 @@ def ratio_sizes(n: int, val_ratio: float, test_ratio: float) -> tuple[int, int,
     if n > 0 and min(train, val, test) <= 0:
         test = max(1, test) if test_ratio > 0 else 0
         val = max(1, val) if val_ratio > 0 else 0
-        for _ in range(2):
-            if n - test - val > 0:
-                break
-            if test > 0:
-                test -= 1
-            elif val > 0:
-                val -= 1
+        if n - test - val <= 0:
+            test = max(0, test - 1)
+        if n - test - val <= 0:
+            val = max(0, val - 1)
         train = n - test - val
         if train <= 0:
             return 0, 0, 0

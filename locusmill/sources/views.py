@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.intervals import gap_fill_intervals
+from ..plans.session import stable
 
 #: view -> (source table, select expressions)
 SIMPLE = {
@@ -131,7 +132,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def genes_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gene and non-gene intervals; a chromosome ends 1000 past its last marker."""
     lengths = view(spark, sf_dir, "markers").groupBy("chrom").agg((F.max("pos") + 1000).alias("length"))
-    return gap_fill_intervals(view(spark, sf_dir, "genes"), lengths)
+    return stable(gap_fill_intervals(view(spark, sf_dir, "genes"), stable(lengths)))
 
 
 def raw_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,8 +232,9 @@ def test_fold_membership_faults(spark):
 def test_median_bin(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (9.0,)], "v double")
     assert sorted((r.v, r.b) for r in splits.median_bin(df, "v", "b").collect()) == [(1, 0), (2, 0), (2, 0), (9, 1)]
-    with pytest.raises(checks.CheckFailed):
-        splits.median_bin(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v", "b")
+    for values in ([1, 1], [1, 1, 1, 2], [1, 3, 3, 3]):
+        with pytest.raises(checks.CheckFailed):
+            splits.median_bin(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", "b")
 
 
 def test_export_policy(spark):

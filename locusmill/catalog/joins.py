@@ -214,10 +214,10 @@ def _(spark, d):
 @query(
     "j11_pair_truth_prediction",
     "SELECT sample_id, y_true, y_pred, y_pred - y_true AS residual, abs(y_pred - y_true) AS abs_error, (y_pred - y_true) ** 2 AS sq_error"
-    " FROM v_preds WHERE trait = 'bw' AND sample_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)",
+    " FROM v_preds WHERE trait = 'bw' AND model = 'ridge' AND seed = 1 AND sample_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)",
     ["preds"], ["y_true", "y_pred", "residual", "abs_error", "sq_error"])
 def _(spark, d):
-    rows = preds(spark, d).where("trait = 'bw'")
+    rows = preds(spark, d).where("trait = 'bw' AND model = 'ridge' AND seed = 1")
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
     return align.pair_truth_prediction(
         rows.select("sample_id", "y_true"), rows.select("sample_id", "y_pred"),

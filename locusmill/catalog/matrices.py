@@ -157,11 +157,11 @@ def _(spark, d):
     f", h AS (SELECT o_custkey AS sample_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000),"
     " p AS (SELECT s.seed, cast(f.fold AS int) AS fold, y_true, y_pred + s.seed * 0.125 - f.fold * 0.0625 AS y_pred FROM v_preds"
     " CROSS JOIN (SELECT unnest([1, 2, 3]) AS seed) s CROSS JOIN (SELECT unnest(range(5)) AS fold) f WHERE trait = 'bw'"
-    f" AND sample_id IN (SELECT sample_id FROM h)) SELECT seed, fold, {METRIC_SQL} FROM p GROUP BY seed, fold",
+    f" AND model = 'ridge' AND v_preds.seed = 1 AND sample_id IN (SELECT sample_id FROM h)) SELECT seed, fold, {METRIC_SQL} FROM p GROUP BY seed, fold",
     ["preds"], ["pearson", "mse", "rmse", "mae", "r2", "sd_ratio"])
 def _(spark, d):
     """Fifteen fold models, each shifted a little, on one holdout."""
-    rows = preds(spark, d).where("trait = 'bw'")
+    rows = preds(spark, d).where("trait = 'bw' AND model = 'ridge' AND seed = 1")
     models_of = rows.select("sample_id", "y_pred", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seed")).withColumn(
         "fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
     shifted = models_of.withColumn("y_pred", F.col("y_pred") + F.col("seed") * 0.125 - F.col("fold") * 0.0625)

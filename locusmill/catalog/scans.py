@@ -236,11 +236,11 @@ def _(spark, d):
         "sample_id", "marker_idx", "dosage", "chrom")
 
 
-@query("s16_sink_predictions", "SELECT sample_id, trait, y_true, y_pred FROM v_preds", ["preds"], ["y_true", "y_pred"])
+@query("s16_sink_predictions", "SELECT sample_id, trait, model, seed, y_true, y_pred FROM v_preds", ["preds"], ["y_true", "y_pred"])
 def _(spark, d):
     path = scratch_path(spark, "predictions")
-    store.sink_table(preds(spark, d).select("sample_id", "trait", "y_true", "y_pred"), path)
-    return spark.read.csv(path, header=True, schema="sample_id long, trait string, y_true double, y_pred double")
+    store.sink_table(preds(spark, d).select("sample_id", "trait", "model", "seed", "y_true", "y_pred"), path)
+    return spark.read.csv(path, header=True, schema="sample_id long, trait string, model string, seed int, y_true double, y_pred double")
 
 
 @query("s17_verify_file_manifest")

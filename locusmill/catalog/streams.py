@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import METRICS
 from ..plans.session import scratch_path
-from ..sources.views import SIMPLE, table
+from ..sources.views import SIMPLE, expand_fits, table
 from ..streaming.feeds import file_feed, stream_fold_metrics, stream_running_best
 from .aggregates import METRIC_SQL
 from .registry import query
@@ -23,9 +23,9 @@ def _(spark, d):
 
 @query(
     "r02_stream_fold_metrics",
-    f"SELECT model, seed, fold, {METRIC_SQL} FROM v_preds_bw GROUP BY model, seed, fold", ["preds_bw"], METRICS)
+    f"SELECT model, seed, fold, {METRIC_SQL} FROM v_preds WHERE trait = 'bw' GROUP BY model, seed, fold", ["preds"], METRICS)
 def _(spark, d):
     """Every prediction row arrives twice and counts once."""
-    feed = file_feed(spark, d, table(spark, d, "customer"), "customer.parquet").selectExpr(*SIMPLE["preds_bw"][1])
-    twice = feed.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    feed = file_feed(spark, d, table(spark, d, "customer"), "customer.parquet").selectExpr(*SIMPLE["fits_bw"][1])
+    twice = expand_fits(feed).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
     return stream_fold_metrics(twice, scratch_path(spark, "metrics"), ["model", "seed", "fold"])

@@ -51,28 +51,22 @@ SIMPLE = {
             "s_suppkey * 900 + 400 + s_nationkey AS g_end",
         ],
     ),
-    "preds_bw": (
+    "fits_bw": (
         "customer",
         [
-            "c_mktsegment AS model",
-            "'bw' AS trait",
-            "cast(c_custkey % 3 + 1 AS int) AS seed",
-            "cast(floor(c_custkey / 3) AS int) % 5 AS fold",
             "c_custkey AS sample_id",
-            "c_acctbal / 1000 AS y_true",
-            "c_acctbal / 1250 + cast(c_nationkey AS double) / 40 AS y_pred",
+            "'bw' AS trait",
+            "c_acctbal / 1100 AS y_true",
+            "c_acctbal / 1300 + cast(c_nationkey AS double) / 39 AS base",
         ],
     ),
-    "preds_le": (
+    "fits_le": (
         "customer",
         [
-            "c_mktsegment AS model",
-            "'le' AS trait",
-            "cast(c_custkey % 3 + 1 AS int) AS seed",
-            "cast(floor(c_custkey / 3) AS int) % 5 AS fold",
             "c_custkey AS sample_id",
-            "c_acctbal / 2000 + cast(c_nationkey AS double) / 10 AS y_true",
-            "c_acctbal / 1600 + cast(c_custkey % 13 AS double) / 8 AS y_pred",
+            "'le' AS trait",
+            "c_acctbal / 2100 + cast(c_nationkey AS double) / 10 AS y_true",
+            "c_acctbal / 1700 + cast(c_custkey % 13 AS double) / 7 AS base",
         ],
     ),
     "epochs": (
@@ -111,6 +105,11 @@ PANEL_DOSAGE = (
 )
 PANEL_TRAIT = "sum(value * ((marker_idx % 7) - 3)) AS y"
 SEEDS = (1, 2, 3)
+MODELS = ("ridge", "trees")
+PREDICTED = (
+    "CASE WHEN model = 'ridge' THEN base ELSE base * cast(0.9 AS double) + cast(sample_id % 7 AS double) / 10 END"
+    " + cast(seed AS double) / 8"
+)
 N_FOLDS = 5
 VAL_FOLD = "cast((sample_id * seed + cast(floor(sample_id / 5) AS bigint)) % 5 AS int)"
 
@@ -124,9 +123,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).selectExpr(*expressions)
 
 
+def expand_fits(fits: DataFrame) -> DataFrame:
+    """Every sample predicted once per model and seed, in its validation fold."""
+    out = fits.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS]))).withColumn(
+        "model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
+    return out.selectExpr(
+        "model", "trait", "seed", f"{VAL_FOLD} AS fold", "sample_id", "y_true", f"{PREDICTED} AS y_pred")
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of two traits by model, seed and fold."""
-    return view(spark, sf_dir, "preds_bw").unionByName(view(spark, sf_dir, "preds_le"))
+    return expand_fits(view(spark, sf_dir, "fits_bw").unionByName(view(spark, sf_dir, "fits_le")))
 
 
 def genes_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +194,11 @@ SQL = {
     name: f"SELECT {', '.join(exprs).replace('AS string', 'AS varchar')} FROM {source}"
     for name, (source, exprs) in SIMPLE.items()
 }
-SQL["preds"] = f"{SQL['preds_bw']} UNION ALL {SQL['preds_le']}"
+SQL["preds"] = (
+    f"SELECT model, trait, seed, {VAL_FOLD} AS fold, sample_id, y_true, {PREDICTED} AS y_pred FROM"
+    f" (SELECT *, unnest({list(MODELS)}) AS model FROM (SELECT *, unnest({list(SEEDS)}) AS seed FROM"
+    f" ({SQL['fits_bw']} UNION ALL {SQL['fits_le']})))"
+)
 SQL["raw_calls"] = (
     f"SELECT o_custkey AS sample_id, l_partkey AS marker_idx, min({CALL_CODE}) AS code"
     " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"

@@ -7,11 +7,11 @@ a byte.  Byte ranges of whole markers become input partitions, and a filter on
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -32,6 +32,13 @@ MISSING = -1
 BATCH_BYTES = 4 << 20
 
 
+def locate(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and inner path; a path without a scheme is a shared mount."""
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.removeprefix("file:")
+
+
 class MarkerRange(InputPartition):
     def __init__(self, markers: list[tuple[int, int]]):
         self.markers = markers
@@ -74,9 +81,10 @@ class PackedReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        size = os.path.getsize(self.path)
-        with open(self.path, "rb") as stream:
-            if stream.read(3) != MAGIC:
+        files, inner = locate(self.path)
+        with files.open_input_file(inner) as stream:
+            size = stream.size()
+            if stream.read_at(3, 0) != MAGIC:
                 raise ValueError(f"{self.path} is no variant-major packed call file")
         total, rest = divmod(size - 3, self.width)
         if rest:
@@ -102,12 +110,12 @@ class PackedReader(DataSourceReader):
     def read(self, partition: MarkerRange) -> Iterator[pa.RecordBatch]:
         table = lookup(self.count_allele)
         step = max(1, BATCH_BYTES // max(self.width, 1))
-        with open(self.path, "rb") as stream:
+        files, inner = locate(self.path)
+        with files.open_input_file(inner) as stream:
             for start, end in partition.markers:
                 for first in range(start, end, step):
                     count = min(step, end - first)
-                    stream.seek(3 + first * self.width)
-                    data = stream.read(count * self.width)
+                    data = stream.read_at(count * self.width, 3 + first * self.width)
                     if len(data) != count * self.width:
                         raise ValueError(f"short read at marker {first}")
                     codes = table[np.frombuffer(data, dtype=np.uint8).reshape(count, self.width)]
@@ -138,8 +146,9 @@ def scan_bed(
 ) -> DataFrame:
     """(marker_idx, codes): one row per marker, NULL where a call is missing.
 
-    ``path`` must be readable by every executor.  The counted allele has no
-    default, because both orientations are in use.
+    ``path`` is a path on a mount all executors share, or a URI that Arrow's
+    file systems read.  The counted allele has no default, because both
+    orientations are in use.
     """
     lookup(count_allele)
     spark.dataSource.register(PackedCalls)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_bilinear, mpeg, ngram_join, rules, substring
+from . import log_bilinear, mpeg, ngram_join, packing, rules, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_read(spark, sf_dir, "documents"))
 
 
+def op4_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(_read(spark, sf_dir, "documents"))
+
+
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log_bilinear.lbl_scores(_read(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_substring_dedup, op5_lm_scores, op6_media_columns, op9_quality_rules, op10_ngram_join,
+    op3_substring_dedup, op4_pattern_packing, op5_lm_scores, op6_media_columns, op9_quality_rules, op10_ngram_join,
 )}
 ORACLES: dict[str, str] = {}

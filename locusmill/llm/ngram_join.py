@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import attach_measured
 from ..plans.session import stable
 from .components import components
+from .tables import attach
 from .words import blocks, each_batch, grams, mix, signed, texts, words
 
 N = 3
@@ -107,7 +107,7 @@ def frequent_grams(docs: DataFrame, n: int = N, top: int = FREQUENT) -> tuple[np
 
 
 def set_sizes(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2) of every row."""
+    """(doc_id, fp, n_shingles, s1, s2) of every row; fp is the hash of its text."""
 
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
@@ -115,9 +115,11 @@ def set_sizes(docs: DataFrame, n: int = N) -> DataFrame:
         for lo, hi in blocks(at):
             out.append(_fingerprints(*_sets(raw, at[lo : hi + 1], n), hi - lo))
         arrays = [pa.array(np.concatenate(x)) for x in zip(*out)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_shingles", "s1", "s2"])
+        names = ["doc_id", "fp", "n_shingles", "s1", "s2"]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), *arrays], names=names)
 
-    return docs.mapInArrow(each_batch(run), "doc_id long, n_shingles long, s1 long, s2 long")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
+    return hashed.mapInArrow(each_batch(run), "doc_id long, fp long, n_shingles long, s1 long, s2 long")
 
 
 def _prefix_rows(n: int, percent: int, known: np.ndarray, count: np.ndarray):
@@ -177,7 +179,7 @@ def _long_enough(left: str, right: str, percent: int):
 def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v: class ids) that agree under the other orders and in their whole sets."""
     ids = stable(pairs.select(F.col("u").alias("cid")).union(pairs.select(F.col("v").alias("cid"))).distinct())
-    near = attach_measured(klass.select("cid", "rep", "s1", "s2", "p2", "p3"), ids, ["cid"])
+    near = attach(klass.select("cid", "rep", "s1", "s2", "p2", "p3"), ids, ["cid"])
     near = stable(near)
     sides = [near.select(F.col("cid").alias(s), *[F.col(p).alias(f"{s}{p}") for p in ("p2", "p3")]) for s in ("u", "v")]
     both = pairs.join(sides[0], "u").join(sides[1], "v")
@@ -198,7 +200,7 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
 
     used = left.select(F.col("u").alias("cid")).union(left.select(F.col("v").alias("cid"))).distinct()
     wanted = stable(near.join(used, "cid").select("cid", "rep", "s1", "s2"))
-    fetched = attach_measured(docs, wanted.select(F.col("rep").alias("doc_id")).distinct(), ["doc_id"])
+    fetched = attach(docs, stable(wanted.select(F.col("rep").alias("doc_id")).distinct()), ["doc_id"])
     sets = fetched.mapInArrow(each_batch(run), "doc_id long, s1 long, s2 long, set array<long>")
     sets = sets.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "s1", "s2"])
     sets = stable(sets.select("cid", "set").dropDuplicates(["cid"]))
@@ -257,9 +259,10 @@ def class_links(klass: DataFrame, docs: DataFrame, n: int = N, percent: int = PE
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
+    with_text_hash: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row.
+    """doc_id, n_shingles, component_id, one row per input row; ``with_text_hash`` adds fp, xxhash64 of the text.
 
     Rows link where 100 * |intersection| >= percent * |union| of their n-gram
     sets; component_id is the least doc_id that links reach.  NULL, empty and
@@ -278,4 +281,5 @@ def jaccard_components(
     named = labelled.join(least, "component").select("s1", "s2", "component_id")
     rows = set_sizes(docs, n).join(named, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", own.otherwise(F.col("component_id")).alias("component_id"))
+    more = ["fp"] if with_text_hash else []
+    return rows.select("doc_id", *more, "n_shingles", own.otherwise(F.col("component_id")).alias("component_id"))

@@ -2,10 +2,16 @@
 
 Seeds: every window of ``length`` words selects the smallest hash among its
 ``seed_words``-word grams (winnowing), so two equal windows always select the
-same anchor at the same place.  Texts are joined on anchors that more than one
-document has; only there are windows extended from the anchor to both sides and
-compared whole, by 128-bit hashes.  Consecutive repeated windows that lie on one
-diagonal (same source document, same distance) are one maximal repeat.
+same anchor at the same place.  Documents are joined on anchors that more than
+one of them has.  An anchor is then extended to both sides over all windows
+that selected it; where two documents agree on the whole extension they agree
+on all of these windows at once.  Only where extensions of one anchor differ are
+its windows compared one by one, each against the first document of every other
+extension.  Repeated windows that follow each other on one diagonal (same
+source, same distance) are one maximal repeat.
+
+Extensions and windows are compared by 128 bits of hashes.  Exact copies of a
+document are set aside before: all their windows are repeats.
 """
 
 from __future__ import annotations
@@ -15,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import blocks, each_batch, grams, signed, texts, words
+from ..plans.session import stable
+from .tables import without
+from .words import blocks, each_batch, grams, mix, multipliers, signed, texts, words
 
 LENGTH = 13
 SEED_WORDS = 4
 
 
 def _anchors(found, length: int, seed_words: int):
-    """Of every whole window: its first word, the place of its anchor; and all gram hashes."""
+    """Word and gram hashes; of every whole window its first word and the place of its anchor."""
     h = found.hashes()
     gram = grams(h, seed_words)
     valid = np.flatnonzero(found.left() >= length)
@@ -35,12 +43,20 @@ def _anchors(found, length: int, seed_words: int):
     return h, gram, valid, place
 
 
+def _ids(batch: pa.RecordBatch):
+    return (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "fp"))
+
+
+def _rows(parts: list[tuple], names: list[str]):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=names) if parts else None
+
+
 def _seed_rows(length: int, seed_words: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64())])
+    """Each document's distinct anchors."""
 
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
-        doc, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "fp"))
+        doc, fp = _ids(batch)
         out = []
         for lo, hi in blocks(at):
             found = words(raw, at[lo : hi + 1])
@@ -52,18 +68,17 @@ def _seed_rows(length: int, seed_words: int):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
             out.append((key[new], doc[row[new]], fp[row[new]]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+        return _rows(out, ["anchor", "doc_id", "fp"])
 
     return each_batch(run)
 
 
-def _window_rows(length: int, seed_words: int):
-    """Windows whose anchor another document has, extended from it to both sides."""
-    kinds = [("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("fp", pa.int64()), ("start", pa.int32())]
+def _extension_rows(length: int, seed_words: int):
+    """Shared anchors extended over the windows that selected them: where they begin, how many, one hash of all."""
 
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
-        doc, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "fp"))
+        doc, fp = _ids(batch)
         lists = batch.column("anchors")
         shared, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
         ends = ends - ends[0]
@@ -73,24 +88,48 @@ def _window_rows(length: int, seed_words: int):
             h, gram, valid, place = _anchors(found, length, seed_words)
             if not len(valid):
                 continue
-            row = found.row()
-            ok = np.zeros(len(gram) + 1, bool)
-            spots = np.unique(place)
-            here = row[spots]
-            edges = np.searchsorted(here, np.arange(hi - lo + 1))
+            begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            count = np.diff(np.append(begin, len(valid)))
+            first, anchor = valid[begin], signed(gram[place[begin]])
+            row = found.row()[first]
+            edges, ok = np.searchsorted(row, np.arange(hi - lo + 1)), np.zeros(len(first), bool)
             for r in range(hi - lo):  # an anchor counts where its own document lists it
-                mine = spots[edges[r] : edges[r + 1]]
-                ok[mine] = np.isin(signed(gram[mine]), shared[ends[lo + r] : ends[lo + r + 1]])
-            valid = valid[ok[place]]
-            if not len(valid):
-                continue
-            w1 = signed(grams(h, length, 7)[valid])
-            w2 = signed(grams(found.hashes(1), length, 9)[valid])
-            r = row[valid]
-            out.append((w1, w2, doc[lo + r], fp[lo + r], (valid - found.first[r]).astype(np.int32)))
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=pa.schema(kinds))
+                mine = slice(edges[r], edges[r + 1])
+                ok[mine] = np.isin(anchor[mine], shared[ends[lo + r] : ends[lo + r + 1]])
+            first, count, anchor, row = first[ok], count[ok], anchor[ok], row[ok]
+            window = grams(h, length, 7)
+            m = multipliers(3, 77)
+            whole = mix(window[first] * m[0] + window[first + count - 1] * m[1] + count.astype(np.uint64) * m[2])
+            start = (first - found.first[row]).astype(np.int32)
+            out.append((anchor, signed(whole), doc[lo + row], fp[lo + row], start, count.astype(np.int32)))
+        return _rows(out, ["anchor", "whole", "doc_id", "fp", "start", "n"])
+
+    return each_batch(run)
+
+
+def _window_rows(length: int):
+    """The windows of the listed runs (first window, how many)."""
+
+    def run(batch: pa.RecordBatch):
+        raw, at = texts(batch.column("text"))
+        doc, fp = _ids(batch)
+        lists = batch.column("runs")
+        runs, ends = lists.flatten(), lists.offsets.to_numpy()
+        start, n = (runs.field(k).to_numpy() for k in range(2))
+        ends = ends - ends[0]
+        out = []
+        for lo, hi in blocks(at):
+            found = words(raw, at[lo : hi + 1])
+            mine = slice(ends[lo], ends[hi])
+            row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
+            size = n[mine].astype(np.int64)
+            step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            place = np.repeat(start[mine], size) + step
+            row = np.repeat(row, size)
+            h, at_word = found.hashes(), found.first[row] + place
+            w1, w2 = (signed(grams(h, length, seed)[at_word]) for seed in (7, 9))
+            out.append((w1, w2, doc[lo + row], fp[lo + row], place.astype(np.int32)))
+        return _rows(out, ["w1", "w2", "doc_id", "fp", "start"])
 
     return each_batch(run)
 
@@ -101,48 +140,67 @@ def fingerprinted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"))
 
 
-def repeated_windows(
-    docs: DataFrame, length: int = LENGTH, seed_words: int = SEED_WORDS, places: bool = False
-) -> DataFrame:
-    """(doc_id, fp, start, source_id): windows that also start in a document with a smaller id.
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, source_id) of the rows whose text a smaller id has too (128 bits of hashes)."""
+    keyed = docs.select("doc_id", "fp", F.xxhash64(F.lit(1), "text").alias("fp2")).where("doc_id IS NOT NULL")
+    first = keyed.groupBy("fp", "fp2").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"))
+    first = first.where("source_id < last").drop("last")
+    return stable(keyed.join(first, ["fp", "fp2"]).where("doc_id > source_id").select("doc_id", "fp", "source_id").distinct())
+
 
-    ``docs`` has doc_id, text, fp (see ``fingerprinted``).  Rows with a NULL id take
-    no part.  ``source_id`` is the smallest id that has the window; ``places``
-    adds ``source_start``, the first such place in it.
+def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: int) -> DataFrame:
+    """(doc_id, fp, start, n, source_id, source_start): ``n`` windows from ``start`` on that ``source_id`` has too.
+
+    ``docs`` has doc_id, text, fp; ``copies`` are its exact copies, which are left
+    out here.  Every window that also starts in a document with a smaller id is in
+    some run, and ``source_id`` is smaller than ``doc_id``.  NULL ids take no part.
     """
     known = docs.where(F.col("doc_id").isNotNull())
-    seeds = known.mapInArrow(_seed_rows(length, seed_words), "anchor long, doc_id long, fp long")
+    keys = ["doc_id", "fp"]
+    originals = without(known, copies, keys)
+    seeds = originals.mapInArrow(_seed_rows(length, seed_words), "anchor long, doc_id long, fp long")
     shared = (
         seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("anchor")
     )
-    lists = seeds.join(shared, "anchor").groupBy("doc_id", "fp").agg(F.collect_list("anchor").alias("anchors"))
-    seeded = known.join(lists, ["doc_id", "fp"])
-    windows = seeded.mapInArrow(
-        _window_rows(length, seed_words), "w1 long, w2 long, doc_id long, fp long, start int"
-    )
-    place = [F.min(F.struct("doc_id", "start"))["start"].alias("source_start")] if places else []
-    first = windows.groupBy("w1", "w2").agg(
-        F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last_id"), *place
+    lists = seeds.join(shared, "anchor").groupBy(*keys).agg(F.collect_list("anchor").alias("anchors"))  # a document's own
+    kinds = "anchor long, whole long, doc_id long, fp long, start int, n int"
+    extended = stable(docs.join(lists, keys).mapInArrow(_extension_rows(length, seed_words), kinds))
+    heads = extended.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start")).alias("head"))
+    agreed = extended.join(heads, ["anchor", "whole"]).where(F.col("doc_id") > F.col("head.doc_id"))
+    agreed = agreed.select(*keys, "start", "n", F.col("head.doc_id").alias("source_id"), F.col("head.start").alias("source_start"))
+
+    several = heads.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    firsts = heads.join(several, "anchor").select("anchor", "whole", F.col("head.doc_id").alias("doc_id"))
+    apart = extended.join(firsts, ["anchor", "whole", "doc_id"])
+    runs = apart.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own
+    windows = docs.join(runs, keys).mapInArrow(_window_rows(length), "w1 long, w2 long, doc_id long, fp long, start int")
+    windows = stable(windows)
+    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max("doc_id").alias("last"))
+    least = least.where(F.col("head.doc_id") < F.col("last")).drop("last")
+    single = windows.join(least, ["w1", "w2"]).where(F.col("doc_id") > F.col("head.doc_id")).select(
+        *keys, "start", F.lit(1).alias("n"), F.col("head.doc_id").alias("source_id"), F.col("head.start").alias("source_start")
     )
-    first = first.where("source_id < last_id").drop("last_id")
-    kept = ["doc_id", "fp", "start", "source_id"] + ["source_start"] * places
-    return windows.join(first, ["w1", "w2"]).where("doc_id > source_id").select(*kept)
+    return agreed.union(single)
 
 
 def _marks(docs: DataFrame, length: int, seed_words: int) -> DataFrame:
-    """docs with the starts of their repeated windows (NULL where there is none)."""
-    found = repeated_windows(docs, length, seed_words)
-    starts = found.groupBy("doc_id", "fp").agg(F.collect_list("start").alias("starts"))
-    return docs.join(starts, ["doc_id", "fp"], "left")
+    """docs with the runs of their repeated windows (NULL: none; a run of -1 windows: an exact copy)."""
+    copies = exact_copies(docs)
+    runs = repeated_runs(docs, copies, length, seed_words).select("doc_id", "fp", "start", "n")
+    runs = runs.union(copies.select("doc_id", "fp", F.lit(0), F.lit(-1)))
+    lists = runs.groupBy("doc_id", "fp").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return docs.join(lists, ["doc_id", "fp"], "left")
 
 
-def covered_words(n: int, starts, length: int) -> np.ndarray:
-    """Which of ``n`` words a window that begins at one of ``starts`` covers."""
+def covered_words(n: int, runs: list[tuple[int, int]], length: int) -> np.ndarray:
+    """Which of ``n`` words the windows of ``runs`` (first window, how many; -1: all there are) cover."""
     edge = np.zeros(n + 1, np.int64)
-    starts = np.unique(np.asarray(starts, np.int64))
-    edge[starts] += 1
-    edge[starts + length] -= 1
+    for start, count in runs:
+        count = n - length + 1 if count < 0 else count
+        if count > 0:
+            edge[start] += 1
+            edge[start + count - 1 + length] -= 1
     return np.cumsum(edge[:n]) > 0
 
 
@@ -161,11 +219,11 @@ def substring_dedup(
 
     def run(batch: pa.RecordBatch):
         total, removed, kept = [], [], []
-        for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
             tokens = text.encode().split()
             n = len(tokens)
-            if starts:
-                gone = covered_words(n, starts, length)
+            if runs:
+                gone = covered_words(n, [(r["start"], r["n"]) for r in runs], length)
                 tokens = [t for t, g in zip(tokens, gone.tolist()) if not g]
             total.append(n)
             removed.append(n - len(tokens))
@@ -187,13 +245,16 @@ def maximal_repeats(
 
     Repeated windows of one document with one source and one distance to it
     that follow each other are one repeat, at least ``length`` words long.
+    Exact copies of a whole text are not listed (see ``exact_copies``).
     """
-    found = repeated_windows(fingerprinted(docs, id_col, text_col), length, seed_words, places=True).distinct()
+    docs = fingerprinted(docs, id_col, text_col)
+    found = repeated_runs(docs, exact_copies(docs), length, seed_words)
     keys = ["doc_id", "fp", "source_id", "shift"]
-    diagonal = found.withColumn("shift", F.col("start") - F.col("source_start"))
-    lists = diagonal.groupBy(*keys).agg(F.sort_array(F.collect_list("start")).alias("starts"))  # of one document
-    runs = lists.select(*keys, F.posexplode("starts").alias("n", "start")).groupBy(*keys, (F.col("start") - F.col("n")).alias("run"))
-    ends = runs.agg(F.min("start").alias("start_word"), (F.max("start") + length).alias("end_word"))
+    each = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = each.select("doc_id", "fp", "source_id", (F.col("start") - F.col("source_start")).alias("shift"), (F.col("start") + F.col("k")).alias("at"))
+    lists = each.distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("all"))  # of one document
+    runs = lists.select(*keys, F.posexplode("all").alias("i", "at")).groupBy(*keys, (F.col("at") - F.col("i")).alias("run"))
+    ends = runs.agg(F.min("at").alias("start_word"), (F.max("at") + length).alias("end_word"))
     return ends.select("doc_id", "fp", "start_word", "end_word", "source_id", (F.col("start_word") - F.col("shift")).alias("source_start"))
 
 

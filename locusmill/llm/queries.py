@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_bilinear, mpeg, ngram_join, packing, rules, substring
+from . import html_paths, line_dedup, log_bilinear, mpeg, ngram_join, packing, pieces, rules, secret_scan, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_paths.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_digest(_read(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_digest(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +39,14 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_columns(_read(spark, sf_dir, "documents"))
 
 
+def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(_read(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -39,7 +55,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op3_substring_dedup, op4_pattern_packing, op5_lm_scores, op6_media_columns, op9_quality_rules, op10_ngram_join,
-)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_tag_path_text, op2_secret_scan, op3_substring_dedup, op4_pattern_packing, op5_lm_scores, op6_media_columns,
+        op7_piece_ids, op8_line_dedup, op9_quality_rules, op10_ngram_join,
+    )
+}
 ORACLES: dict[str, str] = {}
+"""None: models, hashes of kept words, packings and iterations are tested against plain Python in tests/llm."""

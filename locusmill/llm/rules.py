@@ -97,7 +97,7 @@ def text_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     names = STATS + _MORE
 
     def run(batch: pa.RecordBatch):
-        column = batch.column("_text")
+        column = batch.column(place)
         raw, at = texts(column)
         out = {n: np.zeros(batch.num_rows, np.int64) for n in names}
         for lo, hi in blocks(at):
@@ -118,8 +118,10 @@ def text_stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         kept = [batch.column(i) for i in range(len(keep))]
         return pa.RecordBatch.from_arrays(kept + [pa.array(out[n]) for n in names], names=[*keep, *names])
 
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"{n} long" for n in names])
+    place = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    carried = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
+    kinds = ", ".join(carried + [f"{n} long" for n in names])
     return rows.mapInArrow(each_batch(run), kinds)
 
 

@@ -33,7 +33,7 @@ FREQUENT = 1 << 17
 """So many of the most repeated n-grams are known to the orders; they decide speed, never results."""
 
 _FLUSH = 1 << 22
-_BANDS = 1.02
+_BANDS = 1.05
 _U = np.uint64
 
 
@@ -202,15 +202,15 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
     wanted = stable(near.join(used, "cid").select("cid", "rep", "s1", "s2"))
     fetched = attach(docs, stable(wanted.select(F.col("rep").alias("doc_id")).distinct()), ["doc_id"])
     sets = fetched.mapInArrow(each_batch(run), "doc_id long, s1 long, s2 long, set array<long>")
-    sets = sets.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "s1", "s2"])
-    sets = stable(sets.select("cid", "set").dropDuplicates(["cid"]))
+    sets = attach(sets.withColumnRenamed("doc_id", "rep"), wanted, ["rep", "s1", "s2"])
+    sets = stable(sets.select("cid", "set"))  # rows that are equal in id and text come twice: links are made distinct
     compared = left.join(sets.select(F.col("cid").alias("u"), F.col("set").alias("a")), "u").join(
         sets.select(F.col("cid").alias("v"), F.col("set").alias("b")), "v"
     )
     common = F.size(F.array_intersect("a", "b")).cast("long")
     return stable(
         compared.select("u", "v", common.alias("both"), (F.size("a") + F.size("b")).cast("long").alias("all"))
-        .where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v")
+        .where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v").distinct()
     )
 
 
@@ -220,12 +220,13 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 def class_links(klass: DataFrame, docs: DataFrame, n: int = N, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Verified links between classes, enough to join every component, and those components."""
-    spread = klass.select("cid", "n", F.posexplode("p1").alias("pos", "token"))
-    shared = (
-        spread.groupBy("token").agg(F.min(F.struct("pos", "cid", "n")).alias("c"), F.min("cid").alias("lo"), F.max("cid").alias("hi"))
-        .where("lo < hi").select("token", "c")
-    )
-    members = stable(spread.join(shared, "token"))
+    spread = klass.select("cid", F.explode("p1").alias("token"))  # two longs a row: these are many
+    shared = spread.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    kept = stable(spread.join(shared, "token"))
+    places = klass.select("cid", "n", "p1").join(kept, "cid")
+    placed = stable(places.select("token", "cid", "n", (F.array_position("p1", F.col("token")) - 1).alias("pos")))
+    least = placed.groupBy("token").agg(F.min(F.struct("pos", "cid", "n")).alias("c"))
+    members = stable(placed.join(least, "token"))
     row, center = members.alias("m"), F.col("c")
     most = F.least(F.col("n") - F.col("pos"), center["n"] - center["pos"])
     fits = 100 * most >= percent * (F.col("n") + center["n"] - most)
@@ -242,7 +243,7 @@ def class_links(klass: DataFrame, docs: DataFrame, n: int = N, percent: int = PE
     share = F.lit(percent / 100.0)
     upper = F.greatest(((1 + share) * (F.col("n") - F.col("pos")) - share * F.col("n")) / share, F.lit(1.0))
     lower = F.greatest(F.floor(share * F.col("n")), F.lit(1))
-    probe = at.where("apart").where(upper >= lower).withColumn("band", F.explode(F.sequence(band(lower) - 1, band(upper) + 1)))
+    probe = at.where("apart").where(upper >= lower).withColumn("band", F.explode(F.sequence(band(lower), band(upper))))
     build = at.join(at.where("apart").select("token").distinct(), "token", "left_semi").withColumn("band", band(F.col("n")))
     a, b = probe.alias("a"), build.alias("b")
     meet = a.join(
@@ -260,9 +261,12 @@ def class_links(klass: DataFrame, docs: DataFrame, n: int = N, percent: int = PE
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT,
-    with_text_hash: bool = False,
+    with_keys: bool = False,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, one row per input row; ``with_text_hash`` adds fp, xxhash64 of the text.
+    """doc_id, n_shingles, component_id, one row per input row.
+
+    ``with_keys`` adds fp, xxhash64 of the text, and component, a number of the
+    component that differs even where ids that occur twice make component_id equal.
 
     Rows link where 100 * |intersection| >= percent * |union| of their n-gram
     sets; component_id is the least doc_id that links reach.  NULL, empty and
@@ -278,8 +282,10 @@ def jaccard_components(
     labelled = klass.select("cid", "rep", "s1", "s2").join(found.withColumnRenamed("node", "cid"), "cid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cid"))
     least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = labelled.join(least, "component").select("s1", "s2", "component_id")
+    named = labelled.join(least, "component").select("s1", "s2", "component_id", "component")
     rows = set_sizes(docs, n).join(named, ["s1", "s2"], "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id"))
-    more = ["fp"] if with_text_hash else []
-    return rows.select("doc_id", *more, "n_shingles", own.otherwise(F.col("component_id")).alias("component_id"))
+    out = rows.select("doc_id", "fp", "n_shingles", own.otherwise(F.col("component_id")).alias("component_id"), "component")
+    if with_keys:
+        return out.withColumn("component", F.when(F.col("doc_id").isNotNull(), F.col("component")))
+    return out.drop("fp", "component")

@@ -33,20 +33,22 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
-    docs = docs.select(*COLUMNS)
-    fp = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = stable(ngram_join.jaccard_components(docs, with_text_hash=True))
-    least = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("fp").alias("_fp"))
-    other = rows.where("doc_id = component_id").join(least, "doc_id").where("fp <> _fp").select("doc_id", "fp")
-    gone = stable(rows.where("doc_id <> component_id").select("doc_id", "fp").union(other).distinct())
-    kept = without(docs.withColumn("fp", fp), gone, ["doc_id", "fp"])
-    again = stable(rows.where("doc_id IS NOT NULL").groupBy("doc_id", "fp").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "fp"))
-    once = without(kept, again, ["doc_id", "fp"])
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Documents without a word and rows without an id belong to no group.  Rows
+    equal in id and text count as one document.
+    """
+    docs, keys = docs.select(*COLUMNS), ["doc_id", "fp"]
+    rows = stable(ngram_join.jaccard_components(docs, with_keys=True).where("doc_id IS NOT NULL"))
+    grouped = rows.where("component IS NOT NULL").withColumn("row", F.struct(*keys))
+    first = stable(grouped.groupBy("component").agg(F.min("row").alias("first")))
+    gone = stable(grouped.join(first, "component").where("row <> first").select(*keys).distinct())
+    again = stable(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    kept = without(docs.withColumn("fp", F.xxhash64(F.coalesce("text", F.lit("")))), gone, keys)
+    once = without(kept, again, keys).select(*COLUMNS)
     if again.isEmpty():
-        return once.select(*COLUMNS)
-    repeated = kept.join(again, ["doc_id", "fp"]).dropDuplicates(["doc_id", "fp"])
-    return once.select(*COLUMNS).union(repeated.select(*COLUMNS))
+        return once
+    return once.union(kept.join(again, keys).dropDuplicates(keys).select(*COLUMNS))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

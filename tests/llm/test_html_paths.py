@@ -4,7 +4,7 @@ import html
 import re
 
 import pyarrow.parquet as pq
-from conftest import SF
+from text_cases import SF
 
 from locusmill.llm import html_paths as hp
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import frame
+from text_cases import frame
 
 from locusmill.llm import line_dedup as ld
 

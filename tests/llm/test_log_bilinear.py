@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from brute import words
-from conftest import SF, frame
+from text_cases import SF, frame
 
 from locusmill.llm import log_bilinear as lbl
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 from brute import components as brute
-from conftest import frame
+from text_cases import frame
 
 from locusmill.llm import ngram_join
 from locusmill.llm.components import components

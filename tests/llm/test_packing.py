@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest import frame
+from text_cases import frame
 
 from locusmill.llm import packing
 

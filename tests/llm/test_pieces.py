@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import ODD_TEXTS, frame
+from text_cases import ODD_TEXTS, frame
 
 from locusmill.llm import pieces
 
@@ -24,9 +24,14 @@ def library():
     return SentencePieceProcessor(model_proto=data.replace(b"tok_v0\x18\x02", b"tok_v0\x18\x01"))
 
 
-def plain(model, part):
+@pytest.fixture(scope="module")
+def value(model):
+    """Score of each piece id."""
+    return {i: s for i, s, _ in filter(None, model.automaton.piece)}
+
+
+def plain(model, known, part):
     """Best split by trying every piece at every place."""
-    known = {model.pieces[i]: (i, s) for i, s, _ in filter(None, model.automaton.piece)}
     score, back = [0.0] + [float("-inf")] * len(part), [None] * (len(part) + 1)
     for end in range(1, len(part) + 1):
         for start in range(max(0, end - 20), end):
@@ -38,28 +43,27 @@ def plain(model, part):
     return score[-1], back
 
 
-def split_score(model, part):
-    value = {i: s for i, s, _ in filter(None, model.automaton.piece)}
+def split_score(model, value, part):
     return sum(value[n] if n >= 0 else model.unknown for n, _ in model.automaton.best(part, model.unknown))
 
 
-def test_best_score(model, small):
-    rng = random.Random(1)
-    texts = [w for _, t in small for w in t.split()[:30]]
+def test_best_score(model, value, small):
+    rng, known = random.Random(1), {model.pieces[i]: (i, s) for i, s in value.items()}
+    texts = sorted({w for _, t in small for w in t.split()[:30]})[::3]
     texts += ["".join(rng.choice("aehirst▁▁né漢\n,.") for _ in range(n)) for n in range(40)]
     for t in texts:
-        assert split_score(model, t) == pytest.approx(plain(model, t)[0], abs=1e-6)
+        assert split_score(model, value, t) == pytest.approx(plain(model, known, t)[0], abs=1e-6)
 
 
-def test_same_as_library(model, library, small):
+def test_same_as_library(model, value, library, small):
     """Word by word, since the library adds scores in single precision; its n-best search is the exact one."""
-    checked, value = 0, {i: s for i, s, _ in filter(None, model.automaton.piece)}
-    for word in sorted({w for _, text in small for w in text.split()[:60]}):
+    checked = 0
+    for word in sorted({w for _, text in small for w in text.split()[:40]}):
         ids, theirs = model.encode(word).tolist(), library.nbest_encode_as_ids(word, 2)[0]
         score = lambda found: sum(value.get(i, -1e9) for i in found)
         assert ids == theirs or score(ids) == pytest.approx(score(theirs), rel=1e-6)
         checked += ids == theirs
-    assert checked > 4000
+    assert checked > 2000
 
 
 def test_parts_do_not_matter(model):

@@ -6,9 +6,9 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from brute import components, stats
-from conftest import SF, frame
 from test_line_dedup import brute as lines
 from test_secret_scan import base
+from text_cases import SF, frame
 
 import corpus_pipeline as cp
 from locusmill.llm import packing

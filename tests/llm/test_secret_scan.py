@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import frame
+from text_cases import frame
 
 from locusmill.llm import secret_scan as ss
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from brute import payload, stats, substring
-from conftest import SF, frame
+from text_cases import SF, frame
 
 from locusmill.llm import mpeg, queries, rules
 from locusmill.llm import substring as sub

@@ -54,32 +54,21 @@ def lookup(count_allele: int) -> np.ndarray:
 
 
 class PackedReader(DataSourceReader):
+    """Reads whole-marker byte ranges; the options may bound the markers."""
+
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
         self.n_samples = int(options["n_samples"])
         self.count_allele = int(options["count_allele"])
         self.per_partition = int(options.get("markers_per_partition", "4096"))
-        self.low, self.high, self.listed = 0, None, None
+        self.low = int(options.get("from_marker", "0"))
+        self.high = int(options["to_marker"]) if "to_marker" in options else None
+        self.listed = None
 
     @property
     def width(self) -> int:
         return -(-self.n_samples // 4)
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if getattr(f, "attribute", None) != ("marker_idx",):
-                yield f
-            elif isinstance(f, (GreaterThanOrEqual, GreaterThan)):
-                self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
-            elif isinstance(f, (LessThanOrEqual, LessThan)):
-                top = int(f.value) + 1 - isinstance(f, LessThan)
-                self.high = top if self.high is None else min(self.high, top)
-            elif isinstance(f, (EqualTo, In)):
-                values = {int(f.value)} if isinstance(f, EqualTo) else {int(v) for v in f.value if v is not None}
-                self.listed = values if self.listed is None else self.listed & values
-            else:
-                yield f
-
     def partitions(self):
         files, inner = locate(self.path)
         with files.open_input_file(inner) as stream:
@@ -129,6 +118,25 @@ class PackedReader(DataSourceReader):
                     )
 
 
+class FilteringReader(PackedReader):
+    """Also takes filters on the marker; Spark refuses it unless that is switched on."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) != ("marker_idx",):
+                yield f
+            elif isinstance(f, (GreaterThanOrEqual, GreaterThan)):
+                self.low = max(self.low, int(f.value) + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThanOrEqual, LessThan)):
+                top = int(f.value) + 1 - isinstance(f, LessThan)
+                self.high = top if self.high is None else min(self.high, top)
+            elif isinstance(f, (EqualTo, In)):
+                values = {int(f.value)} if isinstance(f, EqualTo) else {int(v) for v in f.value if v is not None}
+                self.listed = values if self.listed is None else self.listed & values
+            else:
+                yield f
+
+
 class PackedCalls(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -138,22 +146,29 @@ class PackedCalls(DataSource):
         return "marker_idx int, codes array<tinyint>"
 
     def reader(self, schema) -> PackedReader:
-        return PackedReader(self.options)
+        return (FilteringReader if self.options.get("filters") == "true" else PackedReader)(self.options)
 
 
 def scan_bed(
-    spark: SparkSession, path: str, n_samples: int, count_allele: int, markers_per_partition: int = 4096
+    spark: SparkSession, path: str, n_samples: int, count_allele: int, markers_per_partition: int = 4096,
+    markers: tuple[int, int] | None = None,
 ) -> DataFrame:
     """(marker_idx, codes): one row per marker, NULL where a call is missing.
 
+    ``markers`` bounds the markers read (first, end).  Where the session lets
+    Python sources take filters, a filter on ``marker_idx`` does the same.
+
     ``path`` is a path on a mount all executors share, or a URI that Arrow's
     file systems read.  The counted allele has no default, because both
     orientations are in use.
     """
     lookup(count_allele)
     spark.dataSource.register(PackedCalls)
+    bounds = {} if markers is None else {"from_marker": markers[0], "to_marker": markers[1]}
+    filters = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format("packed_calls").options(
-        path=path, n_samples=n_samples, count_allele=count_allele, markers_per_partition=markers_per_partition
+        path=path, n_samples=n_samples, count_allele=count_allele, markers_per_partition=markers_per_partition,
+        filters=filters, **bounds,
     ).load()
 
 

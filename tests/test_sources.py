@@ -195,3 +195,22 @@ def test_file_hashes(spark, tmp_path):
     expected = spark.createDataFrame([("a", digest["a"]), ("b", digest["a"]), ("d", digest["a"])], "name string, sha256 string")
     bad = store.verify_file_manifest(spark, str(folder), expected)
     assert sorted(r.name for r in bad.collect()) == ["b", "c", "d"]
+
+
+def test_packed_scan_in_a_plain_session(spark):
+    """Without the setting for filters of Python sources the scan still works, and takes a marker range."""
+    from locusmill.catalog.scans import write_packed
+    from locusmill.plans.session import scratch_path
+    from locusmill.sources import bed
+
+    calls = spark.range(40).selectExpr("id % 10 AS sample_id", "id div 10 AS marker_idx", "cast(id % 3 AS int) AS dosage")
+    path = scratch_path(spark, "plain").removeprefix("file:")
+    write_packed(calls, 10, 4, path)
+    name = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        assert bed.scan_bed(spark, path, 10, 2).where("marker_idx >= 1").count() == 3
+        assert [r[0] for r in bed.scan_bed(spark, path, 10, 2, markers=(1, 3)).select("marker_idx").collect()] == [1, 2]
+    finally:
+        spark.conf.set(name, before)

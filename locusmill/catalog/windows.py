@@ -194,7 +194,8 @@ def _(spark, d):
 
 @query("w14_tile_merge_split")
 def _(spark, d):
-    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), BIN))
+    lengths = view(spark, d, "markers").groupBy("chrom").agg((F.max("pos") + 1000).alias("length"))
+    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), BIN, lengths))
     starts = tiling.boundary_starts(located, TILE)
     starts = tiling.merge_small(tiling.tile_table(tiling.tiles_from_starts(located, starts)), TILE)
     return tiling.tile_table(tiling.tiles_from_starts(located, tiling.split_large(located, starts, TILE)))
@@ -330,8 +331,9 @@ SCREEN = (
 
 
 def screened(spark, d):
-    cells = screen.trait_cells(samples(spark, d).select("sample_id", "bw", "le"), ["bw", "le"])
-    return screen.dependence_screen(calls(spark, d), cells)
+    traits = samples(spark, d).select("sample_id", "bw", "le")
+    n = screen.pool_cells(traits, ["bw", "le"])
+    return screen.dependence_screen(calls(spark, d), screen.trait_cells(traits, ["bw", "le"], n), n)
 
 
 @query("m01_dependence_screen", SCREEN + "SELECT * FROM sc", ["samples", "calls"], ["score"])

@@ -20,8 +20,15 @@ CELLS = 240
 SCORED_AT_ONCE = 512
 
 
+def pool_cells(phenotypes: DataFrame, traits: Sequence[str]) -> int:
+    """Cells of the trait axis: at least as many as bins of the finest grid that the pool allows."""
+    counts = phenotypes.agg(*[F.count(t).alias(t) for t in traits]).first()
+    bins = max(counts) ** ALPHA / 2
+    return CELLS * max(1, int(np.ceil(bins / CELLS)))
+
+
 def trait_cells(phenotypes: DataFrame, traits: Sequence[str], cells: int = CELLS) -> DataFrame:
-    """(trait, sample_id, cell): equal-frequency cells of each trait over the pool.
+    """(trait, sample_id, cell, value): equal-frequency cells of each trait over the pool.
 
     Equal values share a cell.  The rank comes from a scan over the counted
     distinct values, not from sorting a trait in one task.
@@ -33,7 +40,7 @@ def trait_cells(phenotypes: DataFrame, traits: Sequence[str], cells: int = CELLS
     ranked = scan_sorted(rows, ["trait"], {"_before": ("sum", F.col("_n"), False)})
     ranked = attach_measured(ranked.fillna(0, ["_before"]), totals, ["trait"])
     cut = ranked.select("trait", "value", F.floor(F.col("_before") * cells / F.col("_total")).cast("int").alias("cell"))
-    return attach_measured(long, cut, ["trait", "value"]).select("trait", "sample_id", "cell")
+    return attach_measured(long, cut, ["trait", "value"]).select("trait", "sample_id", "cell", "value")
 
 
 def _entropy_terms(counts: np.ndarray) -> np.ndarray:
@@ -83,17 +90,21 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
 
     A lower bound of the maximal information coefficient: the trait axis is cut
     in equal-frequency bins of the whole pool rather than optimised.  Fewer than
-    10 complete pairs give NULL; a constant dosage or trait gives 0.
+    10 complete pairs give NULL; a constant dosage or trait gives 0.  Where all
+    pairs of a marker with differing trait values lie in one cell, the cells are
+    too coarse for it and the score is NULL, not 0.
 
     Calls are counted per (marker, trait, dosage, cell) first, so a marker of
     any size reaches its task as at most 3 x ``cells`` counts.
     """
     pairs = attach_measured(calls.where("dosage IS NOT NULL"), cells_of, ["sample_id"])
-    counted = pairs.groupBy("marker_idx", "trait", "dosage", "cell").agg(F.count(F.lit(1)).alias("c"))
+    counted = pairs.groupBy("marker_idx", "trait", "dosage", "cell").agg(
+        F.count(F.lit(1)).alias("c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     packed = counted.groupBy("marker_idx", "trait").agg(
         F.sum("c").alias("n_pairs"),
         (F.min("dosage") == F.max("dosage")).alias("_same_x"),
-        (F.min("cell") == F.max("cell")).alias("_same_y"),
+        (F.min("_lo") == F.max("_hi")).alias("_same_y"),
+        (F.min("cell") == F.max("cell")).alias("_one_cell"),
         F.collect_list((F.col("dosage") * cells + F.col("cell")).cast("int")).alias("_at"),
         F.collect_list("c").alias("_c"),
     )
@@ -111,14 +122,33 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
     value = (
         F.when(F.col("n_pairs") < MIN_PAIRS, F.lit(None).cast("double"))
         .when(F.col("_same_x") | F.col("_same_y"), F.lit(0.0))
+        .when(F.col("_one_cell"), F.lit(None).cast("double"))
         .otherwise(score("_at", "_c"))
     )
     return packed.select("marker_idx", "trait", "n_pairs", value.alias("score"))
 
 
+def _front(valid: DataFrame, k: int) -> DataFrame:
+    """What each task alone cannot rule out of the k best per trait."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch])
+            ordered = rows.sort_values(["trait", "score", "marker_idx"], ascending=[True, False, True], kind="stable")
+            held = ordered.groupby("trait", sort=False).head(k)
+        if held is not None:
+            yield held
+
+    return valid.mapInPandas(best, valid.schema)
+
+
 def topk_markers(scores: DataFrame, k: int) -> DataFrame:
-    """The k best scored markers per trait (all if there are fewer); ties by index."""
-    valid = scores.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    """The k best scored markers per trait (all if there are fewer); ties by index.
+
+    Every task first keeps its own k per trait; only these are ranked together.
+    """
+    valid = _front(scores.where(F.col("score").isNotNull() & ~F.isnan("score")), k)
     ranked = with_row_number(valid, ["trait"], [F.desc("score"), F.col("marker_idx")], "rank")
     return ranked.where(F.col("rank") <= k)
 

@@ -168,33 +168,64 @@ def _with_totals(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return scanned.withColumn("n", F.lit(totals.first()[0]))
 
 
+SKETCH = 10_000
+"""Accuracy of the sketch that brackets a quantile: its rank error is at most one in so many rows."""
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Exact interpolated quantiles per key, with ``n``; NULL and NaN are left out.
 
-    Equal values collapse to one counted row before the sort, so neither a
-    repeated value nor a hot key has to fit in one task.
+    A mergeable sketch brackets every quantile; the rows below a bracket are
+    counted, and only those inside it are sorted, equal values collapsed to one
+    counted row.  So neither a hot key nor a repeated value has to fit in one
+    task, and the table is not sorted.
     """
     keys = list(keys)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counted = clean.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    scanned = _with_totals(counted, keys)
-    picks = []
-    for i, p in enumerate(probabilities.values()):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            hit = (F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    found = scanned.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    outputs = []
-    for i, (name, p) in enumerate(probabilities.items()):
-        at = (F.col("n") - 1) * F.lit(float(p))
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outputs.append((low + (high - low) * (at - F.floor(at))).alias(name))
-    return found.select(*keys, "n", *outputs)
+    x = F.col(value).cast("double")
+    clean = df.where(F.col(value).isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_v"))
+    wanted = list(probabilities.values())
+    reach = 3.0 / SKETCH
+    cuts = [min(max(p + side * reach, 0.0), 1.0) for p in wanted for side in (-1, 1)]
+    sketch = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", cuts, SKETCH).alias("_q"))
+    brackets = []
+    for i, p in enumerate(wanted):
+        few = F.col("n") * reach < 9  # a bracket of a few ranks is no use: such a group is its own bracket
+        low = F.when(few | F.lit(p <= reach), F.lit(float("-inf"))).otherwise(F.col("_q")[2 * i])
+        high = F.when(few | F.lit(p >= 1 - reach), F.lit(float("inf"))).otherwise(F.col("_q")[2 * i + 1])
+        brackets.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
+    stats = stable(sketch.where("n > 0").select(*keys, "n", F.array(*brackets).alias("_b")))
+    if keys:
+        near = attach_measured(clean, stats.select(*keys, "_b"), keys)
+    else:
+        only = stats.first()
+        if only is None:
+            return stats.select("n", *[F.lit(None).cast("double").alias(name) for name in probabilities])
+        near = clean.withColumn("_b", F.array(*[
+            F.struct(F.lit(r["i"]).alias("i"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high")) for r in only["_b"]
+        ]))
+    # of each bracket: how many rows lie below it, and the counted values inside
+    reached = F.filter("_b", lambda r: F.col("_v") <= r["high"])
+    placed = near.withColumn("_r", F.explode(reached)).withColumn("_in", F.when(F.col("_v") >= F.col("_r.low"), F.col("_v")))
+    counted = stable(placed.groupBy(*keys, F.col("_r.i").alias("_i"), "_in").agg(F.count(F.lit(1)).alias("_n")))
+    below = counted.where("_in IS NULL").select(*keys, "_i", F.col("_n").alias("_below"))
+    rows = sorted_slices(counted.where("_in IS NOT NULL"), [*keys, "_i"], ["_in"])
+    scanned = scan_sorted(rows, [*keys, "_i"], {"_cum": ("sum", F.col("_n"), True)})
+    scanned = attach_measured(scanned, below, [*keys, "_i"], "left").withColumn(
+        "_cum", F.col("_cum") + F.coalesce("_below", F.lit(0)))
+    scanned = attach_measured(scanned, stats.select(*keys, "n"), keys) if keys else scanned.withColumn("n", F.lit(only["n"]))
+    at = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in wanted]), F.col("_i") + 1)
+    picks = [
+        F.max(F.when((F.col("_cum") - F.col("_n") <= rank) & (rank < F.col("_cum")), F.col("_in"))).alias(side)
+        for side, rank in (("_lo", F.floor(at)), ("_hi", F.ceil(at)))
+    ]
+    found = scanned.groupBy(*keys, "_i").agg(F.max("n").alias("n"), F.max(at - F.floor(at)).alias("_f"), *picks)
+    missed = F.col("_lo").isNull() | F.col("_hi").isNull()
+    value_at = F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
+        F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
+    outputs = [F.max(F.when(F.col("_i") == i, value_at)).alias(name) for i, name in enumerate(probabilities)]
+    return found.groupBy(*keys).agg(F.max("n").alias("n"), *outputs).select(*keys, "n", *probabilities)
 
 
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:

@@ -96,7 +96,7 @@ FILL_SQL = (
     ["calls", "markers"],
 )
 def _(spark, d):
-    return markers.marker_fill(stable(encoded(spark, d).select("sample_id", "marker_idx", "channel")), "mode")
+    return markers.marker_fill(encoded(spark, d).select("sample_id", "marker_idx", "channel"), "mode")
 
 
 @query(
@@ -105,7 +105,7 @@ def _(spark, d):
     ["calls", "markers"],
 )
 def _(spark, d):
-    return markers.marker_fill(stable(encoded(spark, d).select("sample_id", "marker_idx", "channel")), "mean")
+    return markers.marker_fill(encoded(spark, d).select("sample_id", "marker_idx", "channel"), "mean")
 
 
 TRAIN_SQL = (
@@ -123,16 +123,26 @@ def _train(spark, d):
     return rows, folds, markers.train_marker_stats(rows, folds, 5)
 
 
-@query("a07_train_median_impute", TRAIN_SQL.format(stat="median(dosage)", tail=", 0"), ["panel", "panel_folds"], ["x"])
+def split_sums_sql(body: str, value: str) -> str:
+    """Sums per seed, fold, split and marker of what ``body`` says about every call."""
+    head, _, tail = body.rpartition(" SELECT seed, fold, sample_id")
+    return (f"{head}, every AS (SELECT seed, fold, sample_id{tail}) SELECT seed, fold, split, marker_idx, count(*) AS n,"
+            f" sum({value}) AS total, sum({value} * {value}) AS squares FROM every GROUP BY ALL")
+
+
+SUMS = ["total", "squares"]
+
+
+@query("a07_train_median_impute", split_sums_sql(TRAIN_SQL.format(stat="median(dosage)", tail=", 0"), "x"), ["panel", "panel_folds"], SUMS)
 def _(spark, d):
     rows, folds, stats = _train(spark, d)
-    return markers.impute_train(rows, folds, stats, "median")
+    return markers.split_sums(rows, folds, markers.imputed_values(stats, "median"), "x", 5)
 
 
-@query("a08_train_mean_impute", TRAIN_SQL.format(stat="avg(dosage)", tail=""), ["panel", "panel_folds"], ["x"])
+@query("a08_train_mean_impute", split_sums_sql(TRAIN_SQL.format(stat="avg(dosage)", tail=""), "x"), ["panel", "panel_folds"], SUMS)
 def _(spark, d):
     rows, folds, stats = _train(spark, d)
-    return markers.impute_train(rows, folds, stats, "mean")
+    return markers.split_sums(rows, folds, markers.imputed_values(stats, "mean"), "x", 5)
 
 
 INTERVALS = (
@@ -323,6 +333,19 @@ def _(spark, d):
     return metrics.summarize_metrics(fold_metrics(spark, d))
 
 
+@query(
+    "a19_undefined_folds",
+    LONG_SQL + "SELECT model, trait, CASE WHEN grouping(seed) = 1 THEN 'overall' ELSE 'seed' || seed END AS scope,"
+    f" metric, count(*) AS n, avg(value) FILTER (metric <> 'pearson' OR seed <> 1 OR fold <> 2) AS mean,"
+    f" stddev_samp(value) FILTER (metric <> 'pearson' OR seed <> 1 OR fold <> 2) AS sd {SETS}",
+    ["preds"], ["mean", "sd"],
+)
+def _(spark, d):
+    """One fold without a defined correlation is left out of mean and SD."""
+    planted = F.when((F.col("seed") == 1) & (F.col("fold") == 2), F.lit(float("nan"))).otherwise(F.col("pearson"))
+    return metrics.summarize_metrics(fold_metrics(spark, d).withColumn("pearson", planted))
+
+
 @query(
     "a20_summarize_valid_counts",
     LONG_SQL + "SELECT model, trait, CASE WHEN grouping(seed) = 1 THEN 'overall' ELSE 'seed' || seed END AS scope,"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import align, markers, matrix, models
 from ..plans.session import scratch_path, stable
 from ..sources.views import N_FOLDS, panel, panel_trait, preds, table, val_folds, vectors
-from .aggregates import METRIC_SQL
+from .aggregates import METRIC_SQL, SUMS, split_sums_sql
 from .joins import CENTRED, PAIRS
 from .registry import query
 
@@ -34,12 +34,13 @@ def first_fold(spark, d):
 
 @query(
     "m02_fold_standardize",
-    STANDARD + "SELECT seed, fold, sample_id, marker_idx, CASE WHEN fold = val_fold THEN 'val' ELSE 'train' END AS split,"
-    " coalesce((dosage - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 0) AS z FROM c JOIN s USING (seed, marker_idx)",
-    ["panel", "panel_folds"], ["z"])
+    split_sums_sql(
+        STANDARD + "SELECT seed, fold, sample_id, marker_idx, CASE WHEN fold = val_fold THEN 'val' ELSE 'train' END AS split,"
+        " coalesce((dosage - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 0) AS z FROM c JOIN s USING (seed, marker_idx)", "z"),
+    ["panel", "panel_folds"], SUMS)
 def _(spark, d):
     rows, folds, stats = panel_stats(spark, d)
-    return matrix.fold_standardize(rows, folds, stats)
+    return markers.split_sums(rows, folds, matrix.standard_values(stats), "z", N_FOLDS)
 
 
 @query("m03_fold_pca")
@@ -155,16 +156,18 @@ def _(spark, d):
 @query(
     "m11_holdout_eval",
     f", h AS (SELECT o_custkey AS sample_id FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000),"
-    " p AS (SELECT s.seed, cast(f.fold AS int) AS fold, y_true, y_pred + s.seed * 0.125 - f.fold * 0.0625 AS y_pred FROM v_preds"
-    " CROSS JOIN (SELECT unnest([1, 2, 3]) AS seed) s CROSS JOIN (SELECT unnest(range(5)) AS fold) f WHERE trait = 'bw'"
-    f" AND model = 'ridge' AND v_preds.seed = 1 AND sample_id IN (SELECT sample_id FROM h)) SELECT seed, fold, {METRIC_SQL} FROM p GROUP BY seed, fold",
+    " p AS (SELECT model, trait, v_preds.seed AS round, s.seed, cast(f.fold AS int) AS fold, y_true, y_pred + s.seed * 0.125 - f.fold * 0.0625 AS y_pred FROM v_preds"
+    " CROSS JOIN (SELECT unnest([1, 2, 3]) AS seed) s CROSS JOIN (SELECT unnest(range(5)) AS fold) f WHERE"
+    f" sample_id IN (SELECT sample_id FROM h)) SELECT model, trait, round, seed, fold, {METRIC_SQL} FROM p GROUP BY ALL",
     ["preds"], ["pearson", "mse", "rmse", "mae", "r2", "sd_ratio"])
 def _(spark, d):
     """Fifteen fold models, each shifted a little, on one holdout."""
-    rows = preds(spark, d).where("trait = 'bw' AND model = 'ridge' AND seed = 1")
-    models_of = rows.select("sample_id", "y_pred", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seed")).withColumn(
+    rows = preds(spark, d)
+    cell = ["model", "trait", F.col("seed").alias("round")]
+    models_of = rows.select(*cell, "sample_id", "y_pred", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("seed")).withColumn(
         "fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
     shifted = models_of.withColumn("y_pred", F.col("y_pred") + F.col("seed") * 0.125 - F.col("fold") * 0.0625)
     held = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000").select(
         F.col("o_custkey").alias("sample_id"))
-    return models.holdout_eval(shifted, rows.select("sample_id", "y_true"), held)
+    return models.holdout_eval(
+        shifted, rows.select(*cell, "sample_id", "y_true"), held, ["model", "trait", "round", "seed", "fold"])

@@ -150,20 +150,12 @@ def impute_train(
 ) -> DataFrame:
     """Fill missing calls of training and evaluation samples from training rows.
 
-    ``median``: a marker without training calls is filled with 0.
-    ``mean``: such a marker is an error.
+    One row per call and fold of ``stats``: for a model of one or a few folds.
+    Over all folds use ``imputed_values``, which does not grow with the samples.
     """
+    fill = _fill(method)
     fold_stats = stats.select("seed", "fold", "marker_idx", "mean", "median")
     out = attach_measured(calls.join(val_folds, "sample_id"), fold_stats, ["seed", "marker_idx"])
-    if method == "median":
-        fill = F.coalesce("median", F.lit(0.0))
-    elif method == "mean":
-        fill = F.when(
-            F.col("mean").isNull(),
-            F.raise_error(F.concat(F.lit("no training call for marker "), F.col("marker_idx").cast("string"))),
-        ).otherwise(F.col("mean"))
-    else:
-        raise ValueError(f"unknown imputation {method!r}")
     split = F.when(F.col("fold") == F.col("val_fold"), "val").otherwise("train")
     return out.select(
         "seed", "fold", "sample_id", "marker_idx", split.alias("split"),
@@ -171,6 +163,53 @@ def impute_train(
     )
 
 
+def fold_values(stats: DataFrame, value: Column, name: str) -> DataFrame:
+    """(seed, fold, marker_idx, dosage, ``name``): what each dosage, NULL too, becomes in a training fold.
+
+    Four rows per marker and fold, however many samples there are; ``value`` may
+    use the statistics and ``dosage``.
+    """
+    spread = stats.withColumn("dosage", F.explode(F.array(*[F.lit(d).cast("int") for d in (0, 1, 2, None)])))
+    return spread.select("seed", "fold", "marker_idx", "dosage", value.alias(name))
+
+
+def imputed_values(stats: DataFrame, method: str) -> DataFrame:
+    """``fold_values`` of an imputation with training rows only.
+
+    ``median``: a marker without training calls is filled with 0.  ``mean``:
+    such a marker is an error.
+    """
+    fill = _fill(method)
+    return fold_values(stats, F.coalesce(F.col("dosage").cast("double"), fill), "x")
+
+
+def _fill(method: str) -> Column:
+    if method == "median":
+        return F.coalesce("median", F.lit(0.0))
+    if method == "mean":
+        missing = F.concat(F.lit("no training call for marker "), F.col("marker_idx").cast("string"))
+        return F.when(F.col("mean").isNull(), F.raise_error(missing).cast("double")).otherwise(F.col("mean"))
+    raise ValueError(f"unknown imputation {method!r}")
+
+
+def split_sums(calls: DataFrame, val_folds: DataFrame, values: DataFrame, name: str, n_folds: int) -> DataFrame:
+    """(seed, fold, split, marker_idx, n, total, squares) of ``values`` over all calls.
+
+    Calls are counted once per seed, validation fold, marker and dosage; the
+    folds are told apart on these counts, so no call is copied.
+    """
+    keys = ["seed", "val_fold", "marker_idx", "dosage"]
+    counted = calls.join(val_folds, "sample_id").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    spread = counted.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn(
+        "_d", F.coalesce("dosage", F.lit(-1)))
+    keyed = values.select("seed", "fold", "marker_idx", F.coalesce("dosage", F.lit(-1)).alias("_d"), name)
+    split = F.when(F.col("fold") == F.col("val_fold"), "val").otherwise("train").alias("split")
+    out = attach_measured(spread, keyed, ["seed", "fold", "marker_idx", "_d"])
+    return out.groupBy("seed", "fold", split, "marker_idx").agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col(name)).alias("total"),
+        F.sum(F.col("c") * F.col(name) * F.col(name)).alias("squares"))
+
+
 def call_information_weight(codes: DataFrame, code: str = "code") -> DataFrame:
     """-ln(share of the code within its marker) for every code a marker has.
 

@@ -265,66 +265,66 @@ def _(spark, d):
     return scaling.quantile_normal(lines, "value").select("l_orderkey", "l_linenumber", F.round("scaled", 6).alias("scaled"))
 
 
-FOLD_TRAITS = "SELECT seed, sample_id, bw, le, surv, val_fold FROM v_samples JOIN v_sample_folds USING (sample_id) WHERE seed = 1"
+FOLD_TRAITS = "SELECT seed, sample_id, bw, le, surv, val_fold FROM v_samples JOIN v_sample_folds USING (sample_id) "
 
 
 def fold_traits(spark, d):
     samples = view(spark, d, "samples")
-    return samples.join(val_folds(samples.select("sample_id"), [1]), "sample_id")
+    return samples.join(val_folds(samples.select("sample_id")), "sample_id")
 
 
 @query(
     "f06_zscore",
-    f", r AS ({FOLD_TRAITS}), s AS (SELECT avg(bw) AS mu, stddev_pop(bw) AS sd FROM r WHERE val_fold <> 0)"
-    " SELECT sample_id, (bw - mu) / sd AS scaled, bw AS restored FROM r, s",
+    f", r AS ({FOLD_TRAITS}), s AS (SELECT seed, avg(bw) AS mu, stddev_pop(bw) AS sd FROM r WHERE val_fold <> 0 GROUP BY seed)"
+    " SELECT seed, sample_id, (bw - mu) / sd AS scaled, bw AS restored FROM r JOIN s USING (seed)",
     ["samples", "sample_folds"], ["scaled", "restored"],
 )
 def _(spark, d):
-    out = scaling.zscore(fold_traits(spark, d), "bw", F.col("val_fold") != 0)
-    return out.select("sample_id", "scaled", scaling.unzscore("scaled", "mean", "sd").alias("restored"))
+    out = scaling.zscore(fold_traits(spark, d), "bw", F.col("val_fold") != 0, ["seed"])
+    return out.select("seed", "sample_id", "scaled", scaling.unzscore("scaled", "mean", "sd").alias("restored"))
 
 
 LONG_TRAITS = f", r AS ({FOLD_TRAITS}), l AS (" + " UNION ALL ".join(
-    f"SELECT sample_id, val_fold, '{t}' AS trait, cast({t} AS double) AS value FROM r" for t in ("bw", "le", "surv")) + ") "
+    f"SELECT seed, sample_id, val_fold, '{t}' AS trait, cast({t} AS double) AS value FROM r" for t in ("bw", "le", "surv")) + ") "
 
 
 def long_traits(spark, d):
     wide = fold_traits(spark, d).withColumn("surv", F.col("surv").cast("double"))
-    return wide.unpivot(["sample_id", "val_fold"], ["bw", "le", "surv"], "trait", "value")
+    return wide.unpivot(["seed", "sample_id", "val_fold"], ["bw", "le", "surv"], "trait", "value")
 
 
 @query(
     "f07_phenotype_minmax",
-    LONG_TRAITS + "SELECT sample_id, trait, (value - min(value) OVER (PARTITION BY trait)) / (max(value) OVER (PARTITION BY trait)"
+    LONG_TRAITS + "SELECT seed, sample_id, trait, (value - min(value) OVER (PARTITION BY trait)) / (max(value) OVER (PARTITION BY trait)"
     " - min(value) OVER (PARTITION BY trait)) AS scaled FROM l",
     ["samples", "sample_folds"], ["scaled"],
 )
 def _(spark, d):
-    return scaling.phenotype_minmax(long_traits(spark, d), "value", ["trait"]).select("sample_id", "trait", "scaled")
+    return scaling.phenotype_minmax(long_traits(spark, d), "value", ["trait"]).select("seed", "sample_id", "trait", "scaled")
 
 
 MIXED = LONG_TRAITS + (
-    ", s AS (SELECT trait, avg(value) AS mu, stddev_pop(value) AS sd FROM l WHERE val_fold <> 0 GROUP BY trait),"
-    " z AS (SELECT sample_id, val_fold, trait, CASE WHEN trait = 'surv' THEN value ELSE (value - mu) / sd END AS scaled"
-    " FROM l JOIN s USING (trait)) "
+    ", s AS (SELECT seed, trait, avg(value) AS mu, stddev_pop(value) AS sd FROM l WHERE val_fold <> 0 GROUP BY seed, trait),"
+    " z AS (SELECT seed, sample_id, val_fold, trait, CASE WHEN trait = 'surv' THEN value ELSE (value - mu) / sd END AS scaled"
+    " FROM l JOIN s USING (seed, trait)) "
 )
 
 
-@query("f08_mixed_trait_scale", MIXED + "SELECT sample_id, trait, scaled FROM z", ["samples", "sample_folds"], ["scaled"])
+@query("f08_mixed_trait_scale", MIXED + "SELECT seed, sample_id, trait, scaled FROM z", ["samples", "sample_folds"], ["scaled"])
 def _(spark, d):
-    return scaling.mixed_trait_scale(long_traits(spark, d), "value", "trait", F.col("val_fold") != 0, ["surv"]).select(
-        "sample_id", "trait", "scaled")
+    return scaling.mixed_trait_scale(long_traits(spark, d), "value", "trait", F.col("val_fold") != 0, ["surv"], keys=["seed"]).select(
+        "seed", "sample_id", "trait", "scaled")
 
 
 @query(
     "f08_scale_audit",
-    MIXED + "SELECT trait, avg(scaled) AS mean, stddev_pop(scaled) AS sd FROM z WHERE val_fold <> 0 GROUP BY trait",
+    MIXED + "SELECT seed, trait, avg(scaled) AS mean, stddev_pop(scaled) AS sd FROM z WHERE val_fold <> 0 GROUP BY seed, trait",
     ["samples", "sample_folds"], ["mean", "sd"],
 )
 def _(spark, d):
     train = F.col("val_fold") != 0
-    scaled = scaling.mixed_trait_scale(long_traits(spark, d), "value", "trait", train, ["surv"])
-    return scaling.scale_audit(scaled, "trait", "scaled", train)
+    scaled = scaling.mixed_trait_scale(long_traits(spark, d), "value", "trait", train, ["surv"], keys=["seed"])
+    return scaling.scale_audit(scaled, "trait", "scaled", train, ["seed"])
 
 
 FEATURES_SQL = (

@@ -47,6 +47,21 @@ def _(spark, d):
     return align.contains_match(outer, inner, "sample_id", "pheno_id", "ord")
 
 
+@query(
+    "j02_align_by_any_id",
+    "SELECT 'pheno_subset' AS method, c_name AS sample_id, arg_min(cast(s_suppkey AS varchar), -s_suppkey) AS pheno_id FROM customer"
+    " JOIN supplier ON contains(c_name, cast(s_suppkey AS varchar)) GROUP BY c_name",
+)
+def _(spark, d):
+    """No ID agrees directly, and only supplier numbers lie inside customer names."""
+    samples = table(spark, d, "customer").select(
+        F.col("c_name").alias("sample_id"), F.lit("f").alias("fid"), F.col("c_name").alias("iid"), F.col("c_custkey").alias("ord"))
+    phenotypes = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("string").alias("pheno_id"), (-F.col("s_suppkey")).alias("ord"))
+    method, pairs = align.align_by_any_id(samples, phenotypes)
+    return pairs.select(F.lit(method).alias("method"), "sample_id", "pheno_id")
+
+
 FAM = [
     "c_custkey AS sample_idx", "cast(c_nationkey AS {s}) AS fid", "cast(c_custkey AS {s}) AS iid",
     "concat(cast(c_nationkey AS {s}), '_', cast(c_custkey AS {s})) AS sample_id",
@@ -179,22 +194,22 @@ def _(spark, d):
 
 def vector_context(spark, d):
     pcs = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("sample_id"), F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("pcs"))
+        F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("pcs"))
     folds = align.expand_folds(val_folds(pcs.select("sample_id")), N_FOLDS)
     return folds, folds.join(pcs, "sample_id")
 
 
 @query(
     "j10_attach_context",
-    f", f AS ({FOLDS_SQL.format(source='v_panel_folds')}) SELECT seed, fold, sample_id, split, 16 AS width,"
-    " cast(embedding[1] AS double) + cast(embedding[8] AS double) AS ends FROM f JOIN embeddings ON vec_id = sample_id",
+    f", f AS ({FOLDS_SQL.format(source='v_panel_folds')}) SELECT seed, fold, sample_id, split, 2 * len(embedding) AS width,"
+    " 2 * (SELECT sum(cast(u AS double)) FROM (SELECT unnest(embedding) AS u)) AS ends FROM f JOIN embeddings ON vec_id = sample_id",
     ["panel_folds"], ["ends"])
 def _(spark, d):
     """Two covariate sources side by side."""
     folds, source = vector_context(spark, d)
     out = align.attach_context(folds, {"first": source, "second": source})
     return out.select("seed", "fold", "sample_id", "split", F.size("context").alias("width"),
-                      (F.element_at("context", 1) + F.element_at("context", 16)).alias("ends"))
+                      F.aggregate("context", F.lit(0.0), lambda total, x: total + x).alias("ends"))
 
 
 @query(
@@ -213,15 +228,14 @@ def _(spark, d):
 
 @query(
     "j11_pair_truth_prediction",
-    "SELECT sample_id, y_true, y_pred, y_pred - y_true AS residual, abs(y_pred - y_true) AS abs_error, (y_pred - y_true) ** 2 AS sq_error"
-    " FROM v_preds WHERE trait = 'bw' AND model = 'ridge' AND seed = 1 AND sample_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)",
+    "SELECT model, trait, seed, sample_id, y_true, y_pred, y_pred - y_true AS residual, abs(y_pred - y_true) AS abs_error, (y_pred - y_true) ** 2 AS sq_error"
+    " FROM v_preds WHERE sample_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 400000)",
     ["preds"], ["y_true", "y_pred", "residual", "abs_error", "sq_error"])
 def _(spark, d):
-    rows = preds(spark, d).where("trait = 'bw' AND model = 'ridge' AND seed = 1")
+    rows, cell = preds(spark, d), ["model", "trait", "seed", "sample_id"]
     urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 400000")
     return align.pair_truth_prediction(
-        rows.select("sample_id", "y_true"), rows.select("sample_id", "y_pred"),
-        urgent.select(F.col("o_custkey").alias("sample_id")))
+        rows.select(*cell, "y_true"), rows.select(*cell, "y_pred"), urgent.select(F.col("o_custkey").alias("sample_id")), cell)
 
 
 CENTRED = (
@@ -288,10 +302,31 @@ def _(spark, d):
 @query(
     "u02_check_fold_membership",
     "SELECT seed, cast(f.fold AS int) AS fold, count(*) FILTER (val_fold <> f.fold) AS n_train, count(*) FILTER (val_fold = f.fold) AS n_val,"
-    " 0 AS n_duplicate, 0 AS n_overlap, 0 AS n_unknown, 0 AS n_absent FROM v_sample_folds CROSS JOIN (SELECT unnest(range(5)) AS fold) f GROUP BY ALL",
+    " 0 AS n_duplicate, 0 AS n_overlap, 0 AS n_unknown, 0 AS n_absent, true AS expected FROM v_sample_folds CROSS JOIN (SELECT unnest(range(5)) AS fold) f GROUP BY ALL",
     ["sample_folds"])
 def _(spark, d):
-    return checks.fold_membership(sample_folds(spark, d), view(spark, d, "samples"))
+    return checks.fold_membership(sample_folds(spark, d), view(spark, d, "samples"), [1, 2, 3], range(N_FOLDS))
+
+
+@query(
+    "u02_planted_faults",
+    "SELECT seed, cast(f.fold AS int) AS fold, count(*) FILTER (seed = 1 AND f.fold < 4 AND val_fold <> f.fold) AS n_train,"
+    " count(*) FILTER (seed = 1 AND f.fold < 4 AND val_fold = f.fold) AS n_val, 0 AS n_duplicate, 0 AS n_overlap, 0 AS n_unknown,"
+    " count(*) FILTER (seed <> 1 OR f.fold = 4) AS n_absent, true AS expected FROM v_sample_folds CROSS JOIN (SELECT unnest(range(5)) AS fold) f"
+    " WHERE seed < 3 GROUP BY ALL", ["sample_folds"])
+def _(spark, d):
+    """Fold 4 of seed 1 and all of seed 2 are absent from the tables, and must be listed."""
+    planted = sample_folds(spark, d).where("seed = 1 AND fold < 4")
+    return checks.fold_membership(planted, view(spark, d, "samples"), [1, 2], range(N_FOLDS))
+
+
+@query(
+    "u02_missing_validation",
+    "SELECT seed, CASE WHEN seed = 2 THEN 0 ELSE 1 END AS times, count(*) AS n_samples FROM v_sample_folds GROUP BY seed", ["sample_folds"])
+def _(spark, d):
+    """A seed without any validation row is counted at 0."""
+    planted = sample_folds(spark, d).where("seed <> 2 OR split = 'train'")
+    return checks.validation_coverage(planted, view(spark, d, "samples"), [1, 2, 3])
 
 
 @query(

@@ -184,18 +184,22 @@ def _(spark, d):
 @query(
     "s12_scan_context",
     f", f AS ({FOLDS_SQL.format(source='v_panel_folds')}) SELECT seed, fold, cast(sample_id AS varchar) AS sample_id, split,"
-    " 4 AS k, cast(embedding[1] AS double) AS pc1, cast(embedding[4] AS double) AS pc4 FROM f JOIN embeddings ON vec_id = sample_id",
-    ["panel_folds"], ["pc1", "pc4"])
+    " len(embedding) AS k, cast(embedding[1] AS double) AS first, cast(embedding[len(embedding)] AS double) AS last,"
+    " (SELECT sum(cast(u AS double)) FROM (SELECT unnest(embedding) AS u)) AS total FROM f JOIN embeddings ON vec_id = sample_id",
+    ["panel_folds"], ["first", "last", "total"])
 def _(spark, d):
-    pcs = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), *[
-        F.element_at("embedding", i).cast("double").alias(f"PC{i}") for i in range(1, 5)])
+    given = table(spark, d, "embeddings")
+    width = given.select(F.max(F.size("embedding"))).first()[0]
+    pcs = given.select(F.col("vec_id").alias("sample_id"), *[
+        F.element_at("embedding", i).cast("double").alias(f"PC{i}") for i in range(1, width + 1)])
     folds = align.expand_folds(val_folds(pcs.select("sample_id")), N_FOLDS).join(pcs, "sample_id")
     path = scratch_path(spark, "context")
     keyed = folds.withColumn("_seed", F.concat(F.lit("seed_"), "seed")).withColumn("_fold", F.concat(F.lit("fold_"), "fold"))
     keyed.drop("seed", "fold").write.partitionBy("_seed", "_fold").csv(path, header=True)
-    out = text.scan_context(spark, f"{path}/*/*", 4, r"seed_(\d+)/_fold=fold_(\d+)")
+    out = text.scan_context(spark, f"{path}/*/*", width, r"seed_(\d+)/_fold=fold_(\d+)")
     return out.select("seed", "fold", "sample_id", "split", F.size("pcs").alias("k"),
-                      F.element_at("pcs", 1).alias("pc1"), F.element_at("pcs", 4).alias("pc4"))
+                      F.element_at("pcs", 1).alias("first"), F.element_at("pcs", -1).alias("last"),
+                      F.aggregate("pcs", F.lit(0.0), lambda total, x: total + x).alias("total"))
 
 
 @query(
@@ -243,11 +247,23 @@ def _(spark, d):
     return spark.read.csv(path, header=True, schema="sample_id long, trait string, model string, seed int, y_true double, y_pred double")
 
 
-@query("s17_verify_file_manifest")
+@query(
+    "s17_verify_file_manifest",
+    "WITH h AS (SELECT n_nationkey, n_name AS name, sha256(n_name || ': ' || n_regionkey || chr(10)) AS found FROM nation)"
+    " SELECT name, CASE WHEN n_nationkey = 3 THEN 'wrong' END AS sha256, found FROM h WHERE n_nationkey IN (3, 4)"
+    " UNION ALL SELECT 'NOWHERE', 'listed only', NULL")
 def _(spark, d):
-    """Every given file against an empty manifest, so all are reported with their hash."""
-    empty = spark.createDataFrame([], "name string, sha256 string")
-    return store.verify_file_manifest(spark, f"{d}/*.parquet", empty)
+    """One file per nation; one listed hash is wrong, one file is not listed, one listed file does not exist."""
+    path, lines = scratch_path(spark, "hashed"), table(spark, d, "nation")
+    line = F.concat("n_name", F.lit(": "), F.col("n_regionkey").cast("string"))
+    lines.select(F.col("n_name").alias("name"), line.alias("value")).repartition("name").write.partitionBy("name").text(path)
+    right = F.sha2(F.concat(line, F.lit("\n")).cast("binary"), 256)
+    listed = F.when(F.col("n_nationkey") == 3, F.lit("wrong")).otherwise(right)
+    files = lines.where("n_nationkey <> 4").select(F.create_map("n_name", listed).alias("files_SHA256"))
+    extra = spark.range(1).select(F.create_map(F.lit("NOWHERE"), F.lit("listed only")).alias("files_SHA256"))
+    expected = store.expected_hashes(files.union(extra))
+    out = store.verify_file_manifest(spark, f"{path}/*/*.txt", expected, r"name=([^/]+)/")
+    return out.withColumn("name", F.regexp_replace("name", "%20", " "))
 
 
 @query(

@@ -12,20 +12,36 @@ from .aggregates import METRIC_SQL
 from .registry import query
 
 
+PARTS = 4
+
+
+def in_parts(spark, rows):
+    """A table as a feed of several files, one to a micro-batch."""
+    path = scratch_path(spark, "feed")
+    rows.repartition(PARTS, F.col(rows.columns[0])).write.parquet(path)
+    return file_feed(spark, path, rows, files_at_once=1)
+
+
 @query(
     "r01_stream_running_best",
     "SELECT run, trait, arg_max(epoch, (score, -epoch)) AS epoch, max(score) AS score FROM v_epochs GROUP BY ALL",
     ["epochs"], ["score"])
 def _(spark, d):
-    feed = file_feed(spark, d, table(spark, d, "orders"), "orders.parquet").selectExpr(*SIMPLE["epochs"][1])
+    feed = in_parts(spark, table(spark, d, "orders")).selectExpr(*SIMPLE["epochs"][1])
     return stream_running_best(feed, scratch_path(spark, "best"))
 
 
 @query(
     "r02_stream_fold_metrics",
-    f"SELECT model, seed, fold, {METRIC_SQL} FROM v_preds WHERE trait = 'bw' GROUP BY model, seed, fold", ["preds"], METRICS)
+    f"SELECT model, trait, seed, fold, {METRIC_SQL} FROM v_preds GROUP BY model, trait, seed, fold", ["preds"], METRICS)
 def _(spark, d):
     """Every prediction row arrives twice and counts once."""
-    feed = file_feed(spark, d, table(spark, d, "customer"), "customer.parquet").selectExpr(*SIMPLE["fits_bw"][1])
-    twice = expand_fits(feed).withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
-    return stream_fold_metrics(twice, scratch_path(spark, "metrics"), ["model", "seed", "fold"])
+    rows = table(spark, d, "customer")
+    bw = rows.selectExpr(*SIMPLE["fits_bw"][1])
+    fits = bw.unionByName(rows.selectExpr(*SIMPLE["fits_le"][1]))
+    sent = fits.withColumn("sent", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    copies = sent.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    late = copies.withColumn("sent", F.col("sent") + F.make_dt_interval(mins=F.col("_copy"))).drop("_copy")
+    feed = in_parts(spark, late)
+    times = feed.select("sent", *[c for c in feed.columns if c != "sent"])
+    return stream_fold_metrics(expand_fits(times, ["sent"]), scratch_path(spark, "metrics"), ["model", "trait", "seed", "fold"], "sent")

@@ -195,21 +195,22 @@ def phenotype_minmax(df: DataFrame, value: str, keys: Sequence[str], name: str =
 
 
 def mixed_trait_scale(
-    df: DataFrame, value: str, trait: str, train: Column, binary: Sequence[str], name: str = "scaled"
+    df: DataFrame, value: str, trait: str, train: Column, binary: Sequence[str], name: str = "scaled",
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Binary traits stay 0/1 (anything else is an error), others are z-scored on training rows."""
     x, is_binary = F.col(value), F.col(trait).isin(list(binary))
-    out = zscore(df, value, train, [trait], "_z")
+    out = zscore(df, value, train, [*keys, trait], "_z")
     kept = F.when(x.isin(0.0, 1.0) | x.isNull(), x.cast("double")).otherwise(
         F.raise_error(F.concat(F.lit("binary trait holds other values: "), F.col(trait)))
     )
     return out.withColumn(name, F.when(is_binary, kept).otherwise(F.col("_z"))).drop("_z", "mean", "sd")
 
 
-def scale_audit(df: DataFrame, trait: str, scaled: str, train: Column) -> DataFrame:
+def scale_audit(df: DataFrame, trait: str, scaled: str, train: Column, keys: Sequence[str] = ()) -> DataFrame:
     """Training mean and SD after scaling (about 0 and 1 for z-scored traits)."""
     x = F.when(train, F.col(scaled))
-    return df.groupBy(trait).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
+    return df.groupBy(*keys, trait).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"))
 
 
 def chrom_scaled_position(

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import id_aliases
 from ..plans.joins import attach_measured
+from ..plans.session import stable
 from .checks import CheckFailed, duplicates, require_empty
 
 DIRECT_MATCH_SHARE = 0.1
-ID_PROBE = 5
 
 
 def align_phenotypes(samples: DataFrame, phenotypes: DataFrame) -> DataFrame:
@@ -62,8 +62,9 @@ def align_by_any_id(
 
     ``samples`` has (sample_id, fid, iid, ord), ``phenotypes`` (pheno_id, ord).
     Fallbacks apply only where under 10 % of the samples match directly; the
-    direction of the substring test is decided on the first five IDs a side.
-    Returns the method and the pairs (sample_id, pheno_id).
+    direction of the substring test is the one that matches more IDs, counted
+    over all of them; without a match, or as many either way, individual IDs
+    decide.  Returns the method and the pairs (sample_id, pheno_id).
     """
     direct = samples.join(
         phenotypes.select("pheno_id"), F.col("sample_id") == F.col("pheno_id")
@@ -71,17 +72,14 @@ def align_by_any_id(
     n, hits = samples.count(), direct.count()
     if hits >= DIRECT_MATCH_SHARE * n or phenotypes.isEmpty():
         return "direct", direct
-    first_g = [r[0] for r in samples.orderBy(sample_ord).limit(ID_PROBE).select("sample_id").collect()]
-    first_p = [r[0] for r in phenotypes.orderBy(pheno_ord).limit(ID_PROBE).select("pheno_id").collect()]
-    pheno_in_geno = any(p in g for p in first_p for g in first_g)
-    geno_in_pheno = any(g in p for p in first_p for g in first_g)
-    if pheno_in_geno and not geno_in_pheno:
-        found = contains_match(samples, phenotypes, "sample_id", "pheno_id", pheno_ord)
-        return "pheno_subset", found.select("sample_id", "pheno_id")
-    if geno_in_pheno and not pheno_in_geno:
+    inside_samples = stable(contains_match(samples, phenotypes, "sample_id", "pheno_id", pheno_ord))
+    inside_phenotypes = stable(contains_match(phenotypes, samples, "pheno_id", "sample_id", sample_ord))
+    one, other = inside_samples.count(), inside_phenotypes.count()
+    if one > other:
+        return "pheno_subset", inside_samples.select("sample_id", "pheno_id")
+    if other > one:
         # several phenotype rows may name one sample: the last listed one stays
-        found = contains_match(phenotypes, samples, "pheno_id", "sample_id", sample_ord)
-        listed = found.join(phenotypes.select("pheno_id", F.col(pheno_ord).alias("_o")), "pheno_id")
+        listed = inside_phenotypes.join(phenotypes.select("pheno_id", F.col(pheno_ord).alias("_o")), "pheno_id")
         kept = listed.groupBy("sample_id").agg(F.max_by("pheno_id", "_o").alias("pheno_id"))
         return "geno_subset", kept.select("sample_id", "pheno_id")
     return "iid_only", iid_match(samples, phenotypes)
@@ -204,13 +202,15 @@ def context_problems(folds: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def pair_truth_prediction(truth: DataFrame, predicted: DataFrame, ids: DataFrame) -> DataFrame:
-    """Observed and predicted values of the evaluation samples with their errors."""
+def pair_truth_prediction(
+    truth: DataFrame, predicted: DataFrame, ids: DataFrame, keys: Sequence[str] = ("sample_id",)
+) -> DataFrame:
+    """Observed and predicted values of the evaluation samples with their errors, one row per ``keys``."""
     error = F.col("y_pred") - F.col("y_true")
     return (
-        truth.join(predicted, "sample_id")
+        truth.join(predicted, list(keys))
         .join(ids.select("sample_id"), "sample_id", "left_semi")
-        .select("sample_id", "y_true", "y_pred", error.alias("residual"),
+        .select(*keys, "y_true", "y_pred", error.alias("residual"),
                 F.abs(error).alias("abs_error"), (error * error).alias("sq_error"))
     )
 

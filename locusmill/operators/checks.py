@@ -86,11 +86,15 @@ def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def fold_membership(folds: DataFrame, ids: DataFrame) -> DataFrame:
-    """Per seed and fold: sizes, duplicates, overlap and samples outside or missing.
+def fold_membership(
+    folds: DataFrame, ids: DataFrame, seeds: Sequence[int] | None = None, fold_ids: Sequence[int] | None = None
+) -> DataFrame:
+    """Per seed and fold: sizes, duplicates, overlap, samples outside or missing, and whether the fold is expected.
 
-    ``folds`` has (seed, fold, sample_id, split).  Every sample is reduced to
-    one row per fold before any comparison, so no fold is gathered.
+    ``folds`` has (seed, fold, sample_id, split).  With ``seeds`` and ``fold_ids``
+    every expected fold is listed, an absent one with all samples missing; one
+    beyond them is not ``expected``.  Every sample is reduced to one row per fold
+    before any comparison, so no fold is gathered.
     """
     per = folds.groupBy("seed", "fold", "sample_id").agg(
         F.count_if(F.col("split") == "train").alias("t"),
@@ -98,7 +102,7 @@ def fold_membership(folds: DataFrame, ids: DataFrame) -> DataFrame:
     )
     known = per.join(ids.select("sample_id").distinct().withColumn("_known", F.lit(1)), "sample_id", "left")
     n_ids = ids.select("sample_id").distinct().count()
-    return known.groupBy("seed", "fold").agg(
+    found = known.groupBy("seed", "fold").agg(
         F.sum("t").alias("n_train"),
         F.sum("v").alias("n_val"),
         F.count_if((F.col("t") > 1) | (F.col("v") > 1)).alias("n_duplicate"),
@@ -106,21 +110,33 @@ def fold_membership(folds: DataFrame, ids: DataFrame) -> DataFrame:
         F.count_if(F.col("_known").isNull()).alias("n_unknown"),
         (F.lit(n_ids) - F.count_if(F.col("_known").isNotNull())).alias("n_absent"),
     )
+    if seeds is None or fold_ids is None:
+        return found.withColumn("expected", F.lit(True))
+    wanted = ids.sparkSession.createDataFrame([(int(s), int(f)) for s in seeds for f in fold_ids], "seed int, fold int")
+    both = found.join(F.broadcast(wanted.withColumn("_w", F.lit(True))), ["seed", "fold"], "full")  # seeds x folds rows
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_train", "n_val", "n_duplicate", "n_overlap", "n_unknown")]
+    return both.select("seed", "fold", *counts, F.coalesce("n_absent", F.lit(n_ids)).alias("n_absent"),
+                       F.col("_w").isNotNull().alias("expected"))
 
 
-def validation_coverage(folds: DataFrame, ids: DataFrame) -> DataFrame:
+def validation_coverage(folds: DataFrame, ids: DataFrame, seeds: Sequence[int] | None = None) -> DataFrame:
     """Per seed and number of validations: how many samples (all must be at 1).
 
-    A sample that a seed never validates is counted at 0.
+    A sample that a seed never validates is counted at 0; seeds are those of
+    ``folds`` and of ``seeds``, so one without any validation row is listed too.
     """
+    named = folds.select("seed").distinct()
+    if seeds is not None:
+        named = named.union(ids.sparkSession.createDataFrame([(int(s),) for s in seeds], "seed int")).distinct()
     per = folds.where(F.col("split") == "val").groupBy("seed", "sample_id").agg(
         F.count(F.lit(1)).alias("times")
     )
     seen = per.join(ids.select("sample_id").distinct(), "sample_id", "left_semi")
     found = seen.groupBy("seed", "times").agg(F.count(F.lit(1)).alias("n_samples"))
     n_ids = ids.select("sample_id").distinct().count()
-    never = seen.groupBy("seed").agg((F.lit(n_ids) - F.count(F.lit(1))).alias("n_samples")).select(
-        "seed", F.lit(0).cast("long").alias("times"), "n_samples"
+    counted = named.join(found.groupBy("seed").agg(F.sum("n_samples").alias("n")), "seed", "left")
+    never = counted.select(
+        "seed", F.lit(0).cast("long").alias("times"), (F.lit(n_ids) - F.coalesce("n", F.lit(0))).alias("n_samples")
     ).where("n_samples > 0")
     return found.unionByName(never)
 

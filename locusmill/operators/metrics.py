@@ -75,18 +75,23 @@ def summarize_metrics(
     keys: Sequence[str] = ("model", "trait"),
     seeds: Sequence[int] = (1, 2, 3),
     folds: Sequence[int] = (0, 1, 2, 3, 4),
+    strict: bool = False,
 ) -> DataFrame:
     """Mean and sample SD per metric, overall and per seed.
 
-    The seed x fold grid must be complete without repeats.
+    The seed x fold grid must be complete without repeats.  ``n`` counts all
+    evaluations; mean and SD are over the defined values, unless ``strict``
+    makes an undefined one an error.
     """
     keys, fold_metrics = list(keys), stable(fold_metrics)  # one row per evaluation, read twice
     require_empty(incomplete_grid(fold_metrics, keys, seeds, folds), "incomplete seed x fold table")
     long = _long(fold_metrics, [*keys, "seed", "fold"])
+    undefined = F.raise_error(F.lit("undefined metric")).cast("double") if strict else F.lit(None).cast("double")
+    defined = F.when(F.isnan("value"), undefined).otherwise(F.col("value"))
     grouped = [F.col(c) for c in [*keys, "metric", "seed"]]
     out = long.groupingSets([grouped, grouped[:-1]], *grouped).agg(
         F.grouping("seed").alias("_all"), F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+        F.avg(defined).alias("mean"), F.stddev_samp(defined).alias("sd"),
     )
     scope = F.when(F.col("_all") == 1, "overall").otherwise(F.concat(F.lit("seed"), F.col("seed").cast("string")))
     return out.select(*keys, scope.alias("scope"), "metric", "n", "mean", "sd")

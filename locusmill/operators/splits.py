@@ -119,20 +119,20 @@ def contiguous_folds(
 
 
 def ratio_sizes(n: int, val_ratio: float, test_ratio: float) -> tuple[int, int, int]:
-    """Floor sizes of train, val and test, at least one each where possible."""
-    test, val = math.floor(n * test_ratio), math.floor(n * val_ratio)
-    train = n - test - val
-    if n > 0 and min(train, val, test) <= 0:
-        test = max(1, test) if test_ratio > 0 else 0
-        val = max(1, val) if val_ratio > 0 else 0
-        if n - test - val <= 0:
-            test = max(0, test - 1)
-        if n - test - val <= 0:
-            val = max(0, val - 1)
-        train = n - test - val
-        if train <= 0:
-            return 0, 0, 0
-    return train, val, test
+    """Sizes of train, val and test.
+
+    Shares are rounded down.  If one of the three would be empty, each share that
+    is asked for gets at least one row; while nothing is left to train on, test
+    gives one row back, then val.  All are 0 if that does not help.
+    """
+    sizes = {"test": math.floor(n * test_ratio), "val": math.floor(n * val_ratio)}
+    asked = {"test": test_ratio > 0, "val": val_ratio > 0}
+    if any(size < 1 for size in (*sizes.values(), n - sum(sizes.values()))) and n:
+        sizes = {part: max(size, 1) * asked[part] for part, size in sizes.items()}
+        for part in sizes:
+            sizes[part] -= sizes[part] > 0 and sum(sizes.values()) >= n
+    train = n - sum(sizes.values())
+    return (train, sizes["val"], sizes["test"]) if train > 0 else (0, 0, 0)
 
 
 def ratio_split(

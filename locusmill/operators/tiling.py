@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scan import exact_quantiles, prefix_scan, with_row_number
 from ..plans.session import stable
-from .intervals import BIN_WIDTH, locate_in_interval
+from .intervals import gap_fill_intervals, BIN_WIDTH, locate_in_interval
 
 SMALL_SHARE = 5
 LARGE_FACTOR = 2
@@ -37,12 +37,22 @@ def initial_tiles(ordered: DataFrame, size: int) -> DataFrame:
     return ordered.withColumn("tile_id", F.floor(F.col("ord") / size))
 
 
-def gene_of_marker(ordered: DataFrame, genes: DataFrame, bin_width: int = BIN_WIDTH) -> DataFrame:
-    """``ordered`` plus the start of the gene that holds the marker (NULL: none)."""
+def gene_of_marker(
+    ordered: DataFrame, genes: DataFrame, bin_width: int = BIN_WIDTH, lengths: DataFrame | None = None
+) -> DataFrame:
+    """``ordered`` plus the start of the gene that holds the marker (NULL: none), and ``in_gap``.
+
+    With the chromosomes' ``lengths`` a marker is in a gap only where the filled
+    gaps hold it; without them wherever no gene does.
+    """
     spans = genes.select("chrom", F.col("g_start").alias("start"), F.col("g_end").alias("end"),
                          F.lit("gene").alias("kind"))
-    return locate_in_interval(ordered, spans, bin_width).select(
-        *ordered.columns, F.col("start").alias("gene_start"))
+    if lengths is not None:
+        spans = gap_fill_intervals(genes, lengths).select("chrom", "start", "end", "kind")
+    located = locate_in_interval(ordered, spans, bin_width)
+    in_gene = F.col("kind").eqNullSafe(F.lit("gene"))
+    in_gap = F.col("kind").eqNullSafe(F.lit("non-gene")) if lengths is not None else ~in_gene
+    return located.select(*ordered.columns, F.when(in_gene, F.col("start")).alias("gene_start"), in_gap.alias("in_gap"))
 
 
 def boundary_starts(located: DataFrame, size: int) -> DataFrame:
@@ -112,7 +122,7 @@ def split_large(located: DataFrame, starts: DataFrame, size: int) -> DataFrame:
         spans = tile_table(tiled).where(F.col("snp_count") > limit).select(
             "tile_id", "start_idx", "end_idx",
             (F.col("start_idx") + F.floor(F.col("snp_count") / 2)).alias("middle"))
-        free = tiled.where("gene_start IS NULL").join(spans, "tile_id")
+        free = tiled.where("in_gap").join(spans, "tile_id")
         after = (F.col("ord") >= F.col("middle")) & (F.col("ord") < F.col("end_idx"))
         before = (F.col("ord") < F.col("middle")) & (F.col("ord") > F.col("start_idx"))
         cuts = free.groupBy("tile_id").agg(
@@ -130,10 +140,10 @@ def split_chromosomes(located: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def partition_genome(
-    markers: DataFrame, genes: DataFrame, size: int, bin_width: int = BIN_WIDTH
+    markers: DataFrame, genes: DataFrame, size: int, bin_width: int = BIN_WIDTH, lengths: DataFrame | None = None
 ) -> DataFrame:
     """All steps: markers in order with their final ``tile_id``."""
-    located = stable(gene_of_marker(order_index(markers), genes, bin_width))
+    located = stable(gene_of_marker(order_index(markers), genes, bin_width, lengths))
     starts = boundary_starts(located, size)
     starts = merge_small(tile_table(tiles_from_starts(located, starts)), size)
     starts = split_large(located, starts, size)

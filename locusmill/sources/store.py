@@ -13,10 +13,12 @@ ORIENTATION = "0=allele1 homozygote,1=heterozygote,2=allele2 homozygote"
 def sink_calls(calls: DataFrame, markers: DataFrame, path: str, partitions: int | None = None) -> None:
     """Write (sample_id, marker_idx, dosage) by chromosome, clustered by marker.
 
-    The range partitioning includes the sample, so one heavily called marker
+    A marker without a chromosome is an error.  The range partitioning includes the sample, so one heavily called marker
     is cut over several files; row-group statistics then prune marker subsets.
     """
-    placed = calls.join(markers.select("marker_idx", "chrom"), "marker_idx")
+    known = calls.join(markers.select("marker_idx", "chrom"), "marker_idx", "left")
+    missing = F.raise_error(F.concat(F.lit("no chromosome for marker "), F.col("marker_idx").cast("string")))
+    placed = known.withColumn("chrom", F.when(F.col("chrom").isNull(), missing.cast("string")).otherwise(F.col("chrom").cast("string")))
     keys = ["chrom", "marker_idx", "sample_id"]
     ranged = placed.repartitionByRange(partitions, *keys) if partitions else placed.repartitionByRange(*keys)
     ranged.sortWithinPartitions(*keys).write.mode("errorifexists").partitionBy("chrom").parquet(f"{path}/calls")
@@ -49,9 +51,18 @@ def sink_table(df: DataFrame, path: str, form: str = "csv") -> None:
         raise ValueError(f"unknown form {form!r}")
 
 
-def verify_file_manifest(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
-    """Files whose SHA-256 differs from the expected (name, sha256), is missing or unlisted."""
+def expected_hashes(manifest: DataFrame, column: str = "files_SHA256") -> DataFrame:
+    """(name, sha256) from a manifest's map of file names to hashes."""
+    return manifest.select(F.explode(column).alias("name", "sha256"))
+
+
+def verify_file_manifest(spark: SparkSession, path: str, expected: DataFrame, name: str = r"([^/]+)$") -> DataFrame:
+    """Files whose SHA-256 differs from the expected (name, sha256), is missing or unlisted.
+
+    ``name`` is the pattern whose first group names a file within its path.  A
+    file is hashed as one value, so it must stay below the reader's 2 GB.
+    """
     files = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+        F.regexp_extract("path", name, 1).alias("name"), F.sha2("content", 256).alias("found"))
     both = files.join(expected, "name", "full")
     return both.where(~F.col("found").eqNullSafe(F.col("sha256"))).select("name", "sha256", "found")

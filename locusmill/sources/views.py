@@ -6,6 +6,8 @@ Spark and the checking engine both accept, so one text serves both sides.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,12 +125,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, source).selectExpr(*expressions)
 
 
-def expand_fits(fits: DataFrame) -> DataFrame:
-    """Every sample predicted once per model and seed, in its validation fold."""
+def expand_fits(fits: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """Every sample predicted once per model and seed, in its validation fold; ``more`` columns are kept."""
     out = fits.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS]))).withColumn(
         "model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
     return out.selectExpr(
-        "model", "trait", "seed", f"{VAL_FOLD} AS fold", "sample_id", "y_true", f"{PREDICTED} AS y_pred")
+        "model", "trait", "seed", f"{VAL_FOLD} AS fold", "sample_id", "y_true", f"{PREDICTED} AS y_pred", *more)
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:

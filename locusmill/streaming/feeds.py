@@ -1,6 +1,7 @@
 """Append-only feeds as Structured Streaming jobs.
 
-State is one small aggregate row per key.  Each micro-batch writes the rows it
+State is one small aggregate row per key, and for deduplication one per
+prediction no older than the watermark.  Each micro-batch writes the rows it
 changed below the shared folder under its batch number, so a retried batch
 replaces its own output and the newest row per key is the result.
 """
@@ -35,15 +36,24 @@ def stream_running_best(feed: DataFrame, path: str) -> DataFrame:
     return _run(best, path, ["run", "trait"])
 
 
-def stream_fold_metrics(feed: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Fold metrics refreshed as prediction rows arrive; a sample counts once per key."""
-    unique = feed.dropDuplicates([*keys, "sample_id"])
+def stream_fold_metrics(feed: DataFrame, path: str, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
+    """Fold metrics refreshed as prediction rows arrive; a sample counts once per key.
+
+    A repeated row must come within ``late`` of the first one by its ``time``;
+    older state is dropped, so it stays bounded.
+    """
+    unique = feed.withWatermark(time, late).dropDuplicatesWithinWatermark([*keys, "sample_id"])
     return _run(regression_metrics(unique, keys), path, keys)
 
 
-def file_feed(spark: SparkSession, folder: str, like: DataFrame, names: str = "*.parquet") -> DataFrame:
+def file_feed(
+    spark: SparkSession, folder: str, like: DataFrame, names: str = "*.parquet", files_at_once: int | None = None
+) -> DataFrame:
     """The Parquet files of a folder as a stream with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).option("pathGlobFilter", names).parquet(folder)
+    reader = spark.readStream.schema(like.schema).option("pathGlobFilter", names)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(folder)
 
 
 __all__ = ["file_feed", "stream_fold_metrics", "stream_running_best"]

@@ -7,6 +7,7 @@ import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
 ORACLES = contract.oracle_sql()
+EMPTY: set[str] = set()  # queries that list faults, of which the smallest tables have none
 QUERIES = contract.queries()
 
 
@@ -21,7 +22,8 @@ def test_names():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_agrees(spark, con, name):
-    assert compare(spark, con, QUERIES[name], ORACLES[name], SF) in ("", "EMPTY")
+    found = compare(spark, con, QUERIES[name], ORACLES[name], SF)
+    assert found == ("EMPTY" if name in EMPTY else "")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

@@ -199,7 +199,8 @@ def test_holdout_sizes():
 
 @pytest.mark.parametrize("n,val,test,expected", [
     (100, 0.1, 0.15, (75, 10, 15)), (3, 0.1, 0.1, (1, 1, 1)), (2, 0.1, 0.1, (1, 1, 0)), (1, 0.1, 0.1, (1, 0, 0)),
-    (5, 0.0, 0.0, (5, 0, 0)),
+    (5, 0.0, 0.0, (5, 0, 0)), (0, 0.1, 0.1, (0, 0, 0)), (20, 0.5, 0.5, (1, 10, 9)), (4, 1.0, 0.0, (1, 3, 0)),
+    (2, 0.0, 0.4, (1, 0, 1)), (10, 0.01, 0.3, (6, 1, 3)),
 ])
 def test_ratio_sizes(n, val, test, expected):
     assert splits.ratio_sizes(n, val, test) == expected
@@ -394,3 +395,14 @@ def test_default_position_features(spark):
     df = spark.createDataFrame([(0, "3", "77"), (1, "X", "bad")], "marker_idx int, chrom string, pos string")
     out = [tuple(r) for r in intervals.default_position_features(df).orderBy("marker_idx").collect()]
     assert out == [(0, 3.0, 77.0, 77.0, 1000.0, 0.001, 0.5), (1, 0.0, 0.0, 0.0, 1000.0, 0.001, 0.5)]
+
+
+def test_imputed_values_equal_the_filled_calls(spark):
+    """The dictionary per fold says what filling every call says."""
+    from pyspark.sql import functions as F
+
+    stats = markers.train_marker_stats(calls(spark), folds(spark), 2)
+    every = markers.impute_train(calls(spark), folds(spark), stats, "median")
+    want = every.groupBy("seed", "fold", "split", "marker_idx").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    got = markers.split_sums(calls(spark), folds(spark), markers.imputed_values(stats, "median"), "x", 2)
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select(want.columns).collect()))

@@ -201,7 +201,8 @@ def exact_quantiles(
     else:
         only = stats.first()
         if only is None:
-            return stats.select("n", *[F.lit(None).cast("double").alias(name) for name in probabilities])
+            nothing = [F.max(F.lit(None).cast("double")).alias(name) for name in probabilities]
+            return clean.agg(F.max(F.lit(None).cast("long")).alias("n"), *nothing)
         near = clean.withColumn("_b", F.array(*[
             F.struct(F.lit(r["i"]).alias("i"), F.lit(r["low"]).alias("low"), F.lit(r["high"]).alias("high")) for r in only["_b"]
         ]))

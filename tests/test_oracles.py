@@ -7,7 +7,7 @@ import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
 ORACLES = contract.oracle_sql()
-EMPTY: set[str] = set()  # queries that list faults, of which the smallest tables have none
+EMPTY = {"w20_early_stop_all_idle"}  # no run of the smallest tables idles that long
 QUERIES = contract.queries()
 
 

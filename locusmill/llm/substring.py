@@ -148,12 +148,22 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     return stable(keyed.join(first, ["fp", "fp2"]).where("doc_id > source_id").select("doc_id", "fp", "source_id").distinct())
 
 
-def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: int) -> DataFrame:
+def _first(rows: DataFrame, keys: list[str], places: bool) -> DataFrame:
+    """The smallest id that has the keys (and where it stands, with ``places``) and the largest.
+
+    Written, so that a join to it can split a hot key.
+    """
+    where = F.min(F.struct("doc_id", "start"))["start"] if places else F.min(F.lit(None).cast("int"))
+    return stable(rows.groupBy(*keys).agg(F.min("doc_id").alias("source_id"), where.alias("source_start"), F.max("doc_id").alias("last")))
+
+
+def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: int, places: bool = False) -> DataFrame:
     """(doc_id, fp, start, n, source_id, source_start): ``n`` windows from ``start`` on that ``source_id`` has too.
 
     ``docs`` has doc_id, text, fp; ``copies`` are its exact copies, which are left
     out here.  Every window that also starts in a document with a smaller id is in
-    some run, and ``source_id`` is smaller than ``doc_id``.  NULL ids take no part.
+    some run, and ``source_id`` is smaller than ``doc_id``; without
+    ``places``, ``source_start`` is NULL.  NULL ids take no part.
     """
     known = docs.where(F.col("doc_id").isNotNull())
     keys = ["doc_id", "fp"]
@@ -166,21 +176,18 @@ def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: i
     lists = seeds.join(shared, "anchor").groupBy(*keys).agg(F.collect_list("anchor").alias("anchors"))  # a document's own
     kinds = "anchor long, whole long, doc_id long, fp long, start int, n int"
     extended = stable(docs.join(lists, keys).mapInArrow(_extension_rows(length, seed_words), kinds))
-    heads = extended.groupBy("anchor", "whole").agg(F.min(F.struct("doc_id", "start")).alias("head"))
-    agreed = extended.join(heads, ["anchor", "whole"]).where(F.col("doc_id") > F.col("head.doc_id"))
-    agreed = agreed.select(*keys, "start", "n", F.col("head.doc_id").alias("source_id"), F.col("head.start").alias("source_start"))
+    heads = _first(extended, ["anchor", "whole"], places)
+    found = ["doc_id", "fp", "start", "n", "source_id", "source_start"]
+    agreed = extended.join(heads.where("source_id < last"), ["anchor", "whole"]).where("doc_id > source_id").select(*found)
 
     several = heads.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    firsts = heads.join(several, "anchor").select("anchor", "whole", F.col("head.doc_id").alias("doc_id"))
+    firsts = heads.join(several, "anchor").select("anchor", "whole", F.col("source_id").alias("doc_id"))
     apart = extended.join(firsts, ["anchor", "whole", "doc_id"])
     runs = apart.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own
     windows = docs.join(runs, keys).mapInArrow(_window_rows(length), "w1 long, w2 long, doc_id long, fp long, start int")
     windows = stable(windows)
-    least = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("head"), F.max("doc_id").alias("last"))
-    least = least.where(F.col("head.doc_id") < F.col("last")).drop("last")
-    single = windows.join(least, ["w1", "w2"]).where(F.col("doc_id") > F.col("head.doc_id")).select(
-        *keys, "start", F.lit(1).alias("n"), F.col("head.doc_id").alias("source_id"), F.col("head.start").alias("source_start")
-    )
+    least = _first(windows, ["w1", "w2"], places).where("source_id < last")
+    single = windows.withColumn("n", F.lit(1)).join(least, ["w1", "w2"]).where("doc_id > source_id").select(*found)
     return agreed.union(single)
 
 
@@ -248,7 +255,7 @@ def maximal_repeats(
     Exact copies of a whole text are not listed (see ``exact_copies``).
     """
     docs = fingerprinted(docs, id_col, text_col)
-    found = repeated_runs(docs, exact_copies(docs), length, seed_words)
+    found = repeated_runs(docs, exact_copies(docs), length, seed_words, places=True)
     keys = ["doc_id", "fp", "source_id", "shift"]
     each = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     each = each.select("doc_id", "fp", "source_id", (F.col("start") - F.col("source_start")).alias("shift"), (F.col("start") + F.col("k")).alias("at"))

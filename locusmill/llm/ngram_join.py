@@ -208,10 +208,9 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
         sets.select(F.col("cid").alias("v"), F.col("set").alias("b")), "v"
     )
     common = F.size(F.array_intersect("a", "b")).cast("long")
-    return stable(
-        compared.select("u", "v", common.alias("both"), (F.size("a") + F.size("b")).cast("long").alias("all"))
-        .where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v").distinct()
-    )
+    counted = compared.select("u", "v", common.alias("both"), (F.size("a") + F.size("b")).cast("long").alias("all"))
+    linked = counted.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("u", "v")
+    return stable(linked).distinct()  # written before, so that Spark may split a centre with many members
 
 
 def _pairs(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from locusmill.plans.session import stable
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
+SHINGLE, SHARE = 5, 80
+"""Near duplicates of the pipeline share 80 % of their 5-word shingles; op10's own 3 words and 90 % hold for that query only."""
+
 ORACLE_SQL = None
 """Learned rules, a learned field and a packing have no SQL; tests/llm runs the stages against plain Python."""
 
@@ -39,7 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     equal in id and text count as one document.
     """
     docs, keys = docs.select(*COLUMNS), ["doc_id", "fp"]
-    rows = stable(ngram_join.jaccard_components(docs, with_keys=True).where("doc_id IS NOT NULL"))
+    rows = stable(ngram_join.jaccard_components(docs, n=SHINGLE, percent=SHARE, with_keys=True).where("doc_id IS NOT NULL"))
     grouped = rows.where("component IS NOT NULL").withColumn("row", F.struct(*keys))
     first = stable(grouped.groupBy("component").agg(F.min("row").alias("first")))
     gone = stable(grouped.join(first, "component").where("row <> first").select(*keys).distinct())

@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go from the texts; a document that loses all its lines goes."""
-    out = line_dedup.line_dedup(docs, keep=("lang", "source")).where("n_lines = 0 OR n_removed < n_lines")
+    """Later copies of line runs and of long lines go from the texts; a document that loses all its lines goes."""
+    out = line_dedup.line_dedup(docs, keep=("lang", "source"), min_words=line_dedup.MIN_WORDS).where("n_lines = 0 OR n_removed < n_lines")
     return out.select("doc_id", F.col("kept").alias("text"), "row.lang", "row.source", F.length("kept").cast("long").alias("n_chars"))
 
 

@@ -6,7 +6,8 @@ next rank of a suffix orders the pair of its own rank and that of the suffix so
 many lines on.  Suffixes that share their first d lines are one interval of the
 suffix array with a common prefix of at least d.  Of each interval whose prefix
 reaches the wanted length the first suffix in document order stays; the lines of
-the others' prefixes are later copies.
+the others' prefixes are later copies.  A single line counts as a run of its own
+where it has enough words: such intervals are those of the first round.
 
 Only suffixes that still share their prefix are carried on, so a round handles
 the repeated part of the corpus.  Ranks come from counts of distinct pairs; no
@@ -25,6 +26,9 @@ from ..plans.session import stable
 from .words import each_batch
 
 MIN_LINES = 2
+MIN_WORDS = 10
+"""A line of so many words is a passage: its later copies go whatever lines stand around them."""
+
 _KEYS = ["doc_id", "fp", "i"]
 
 
@@ -35,7 +39,7 @@ def _lined(text: str | None) -> tuple[list[str], np.ndarray]:
 
 
 def line_positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, i, line): the ``i``-th line with a word of each text of docs (doc_id, text, fp)."""
+    """(doc_id, fp, i, line, n_words): the ``i``-th line with a word of each text of docs (doc_id, text, fp)."""
 
     def run(batch: pa.RecordBatch):
         doc, fp, at, kept = [], [], [], []
@@ -46,13 +50,14 @@ def line_positions(docs: DataFrame) -> DataFrame:
             fp += [f] * len(own)
             at += range(len(own))
             kept += own
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((doc, fp, at, kept), kinds)], names=["doc_id", "fp", "i", "line"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()]
+        columns = (doc, fp, at, kept, [len(x.encode().split()) for x in kept])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=["doc_id", "fp", "i", "line", "n_words"])
 
-    return docs.mapInArrow(each_batch(run), "doc_id long, fp long, i int, line string")
+    return docs.mapInArrow(each_batch(run), "doc_id long, fp long, i int, line string, n_words int")
 
 
-def _ranked(rows: DataFrame, first: str, second: str, depth: int) -> DataFrame:
+def _ranked(rows: DataFrame, first: str, second: str, depth: int, *more: str) -> DataFrame:
     """Suffixes with the rank of their class (first, second), classes of one left out.
 
     ``head`` is the class's first suffix in document order, ``depth`` the length of the common prefix.
@@ -60,7 +65,7 @@ def _ranked(rows: DataFrame, first: str, second: str, depth: int) -> DataFrame:
     counted = rows.groupBy(first, second).agg(F.count("*").alias("n"), F.min(F.struct(*_KEYS)).alias("head")).where("n > 1")
     ranks = prefix_scan(counted, [], [first, second], {"at": ("sum", F.col("n"), False)})
     found = rows.join(ranks.select(first, second, "at", "head"), [first, second])
-    return stable(found.select(*_KEYS, F.coalesce("at", F.lit(0)).cast("long").alias("rank"), "head", F.lit(depth).alias("depth")))
+    return stable(found.select(*_KEYS, F.coalesce("at", F.lit(0)).cast("long").alias("rank"), "head", F.lit(depth).alias("depth"), *more))
 
 
 def _shifted(suffixes: DataFrame, by: int, depth: int) -> DataFrame:
@@ -73,13 +78,14 @@ def common_prefixes(docs: DataFrame, depth: int | None = None) -> list[DataFrame
     """Repeated suffixes by the length of their common prefix: 1, 2, 4, ... lines, up to ``depth``.
 
     Each table has doc_id, fp, i, rank (the place where the suffix's interval
-    begins among the repeated suffixes), head and depth.  Without ``depth`` the
+    begins among the repeated suffixes), head and depth, the first one also the
+    line's n_words.  Without ``depth`` the
     rounds go on until no two suffixes share that many lines.
     """
     line = F.col("line")
     rows = line_positions(docs.where(F.col("doc_id").isNotNull()))
-    rows = rows.select(*_KEYS, F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"))
-    out = [stable(_ranked(rows, "h1", "h2", 1).distinct())]
+    rows = rows.select(*_KEYS, F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), "n_words")
+    out = [stable(_ranked(rows, "h1", "h2", 1, "n_words").distinct())]
     d = 1
     while depth is None or 2 * d <= depth:
         found = _shifted(out[-1], d, 2 * d)
@@ -92,14 +98,21 @@ def common_prefixes(docs: DataFrame, depth: int | None = None) -> list[DataFrame
 
 def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc_id, fp, i, head): suffixes whose first ``min_lines`` lines begin an earlier suffix, ``head``, as well."""
-    levels = common_prefixes(docs, min_lines)
+    return _windows(common_prefixes(docs, min_lines), min_lines)
+
+
+def _windows(levels: list[DataFrame], min_lines: int) -> DataFrame:
     last = levels[-1]
     d = 2 ** (len(levels) - 1)
     if 2 * d <= min_lines:  # no two suffixes share even 2 d lines
         last = last.limit(0)
     elif d < min_lines:  # two overlapping prefixes of d lines make one of min_lines
         last = _shifted(last, min_lines - d, min_lines)
-    return last.where(F.struct(*_KEYS) > F.col("head")).select(*_KEYS, "head")
+    return _later(last).select(*_KEYS, "head")
+
+
+def _later(suffixes: DataFrame) -> DataFrame:
+    return suffixes.where(F.struct(*_KEYS) > F.col("head"))
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,9 +135,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"), *more)
 
 
-def without_copies(text: str, starts: list[int], min_lines: int) -> tuple[str, int, int]:
+def without_copies(text: str, starts: list[int], min_lines: int, single: list[int] = ()) -> tuple[str, int, int]:
     """The text without the lines of the windows that begin at ``starts``, the number of its lines with a word, and how many went.
 
+    The lines in ``single`` go by themselves.
     A line without a word goes with the line before it.
     """
     lines, real = _lined(text)
@@ -134,32 +148,41 @@ def without_copies(text: str, starts: list[int], min_lines: int) -> tuple[str, i
         edge[s] += 1
         edge[s + min_lines] -= 1
     gone = np.cumsum(edge[:n]) > 0
+    gone[list(single)] = True
     which = np.cumsum(real) - 1
     drop = (which >= 0) & gone[np.maximum(which, 0)] if n else np.zeros(len(lines), bool)
     return "\n".join(x for x, g in zip(lines, drop.tolist()) if not g), n, int(gone.sum())
 
 
 def line_dedup(
-    docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
+    docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+    min_words: int | None = None,
 ) -> DataFrame:
     """doc_id, n_lines, n_removed, kept, one row per input row; ``keep`` adds a struct ``row`` of those columns.
 
     A line goes where ``min_lines`` lines in a row, itself among them, also
-    stand earlier: in a smaller id, or further up in the same text.  Lines
+    stand earlier: in a smaller id, or further up in the same text.  With
+    ``min_words`` a line of at least so many words goes wherever it also stands
+    earlier, alone or among other lines.  Lines
     without a word do not count and go with the line before them.  NULL and
     empty texts stay empty; rows with a NULL id are returned whole; rows that
     are equal in id and text count as one, rows with the same id and other texts
     follow the order of their text hashes.  Other columns are left out.
     """
-    found = repeated_windows(_keyed(docs, id_col, text_col), min_lines)
-    starts = found.groupBy("doc_id", "fp").agg(F.collect_set("i").alias("starts"))  # a document's own
+    levels = common_prefixes(_keyed(docs, id_col, text_col), min_lines)
+    found = _windows(levels, min_lines).select("doc_id", "fp", F.col("i").alias("start"), F.lit(None).cast("int").alias("line"))
+    if min_words is not None:
+        long = _later(levels[0].where(F.col("n_words") >= min_words))
+        found = found.union(long.select("doc_id", "fp", F.lit(None).cast("int"), "i"))
+    sets = [F.collect_set(c).alias(a) for c, a in (("start", "starts"), ("line", "single"))]
+    starts = found.groupBy("doc_id", "fp").agg(*sets)  # a document's own
     carried, more = ([F.struct(*keep).alias("row")], ["row"]) if keep else ([], [])
     keyed = _keyed(docs, id_col, text_col, *carried)
 
     def run(batch: pa.RecordBatch):
         rows = []
-        for text, own in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
-            rows.append(without_copies(text, own or [], min_lines))
+        for text, own, single in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "single"))):
+            rows.append(without_copies(text, own or [], min_lines, single or []))
         kept, n, gone = zip(*rows)
         arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())]
         names = ["doc_id", "n_lines", "n_removed", "kept"]

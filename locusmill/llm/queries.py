@@ -44,7 +44,7 @@ def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_read(spark, sf_dir, "documents"))
+    return line_dedup.line_dedup(_read(spark, sf_dir, "documents"), min_words=line_dedup.MIN_WORDS)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,25 +154,24 @@ def _table(data: bytes, at: int, h: Header) -> dict | None:
 def parse(data: bytes) -> Media:
     """Tags, table and frames of a stream; b"" has none of them.
 
-    A header counts where the next frame (or the end of the stream) follows it;
+    A header counts where the next frame (or the end of the stream) follows it.
+    ``TAG`` 128 bytes before the end is a tag unless it lies inside a frame;
     other bytes are skipped and counted.  Frames whose checksum fails are
     counted in ``bad_checks`` and left out.
     """
     media = Media()
     at, end = _tag2(data, media), len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            media.tags.setdefault(name, data[end + a : end + b].split(b"\0")[0].decode("latin-1").rstrip())
+    tag = end - 128 if end - 128 >= at and data[-128:-125] == b"TAG" else end
     first = True
-    while at + 4 <= end:
+    while at + 4 <= end and at != tag:
         h = header(int.from_bytes(data[at : at + 4]))
         fits = h is not None and at + h.size <= end
-        if fits and at + h.size + 4 <= end:
+        if fits and at + h.size != tag and (at + h.size + 4 <= end or at < tag < at + h.size < end):
             fits = header(int.from_bytes(data[at + h.size : at + h.size + 4])) is not None
         if not fits:
-            nxt = data.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            stop = tag if at < tag else end
+            nxt = data.find(b"\xff", at + 1, stop)
+            nxt = stop if nxt < 0 else nxt
             media.skipped += nxt - at
             at = nxt
             continue
@@ -193,6 +192,10 @@ def parse(data: bytes) -> Media:
         else:
             media.bad_checks += 1
         at += h.size
+    if at == tag < end:
+        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+            media.tags.setdefault(name, data[tag + a : tag + b].split(b"\0")[0].decode("latin-1").rstrip())
+        at = end
     media.skipped += end - at if at < end else 0
     return media
 

@@ -4,7 +4,9 @@ The blocks of a page are grouped by their path of tags from the root.  Each path
 gets its text outside links and its punctuation, per block; both ratios are
 fused, smoothed over the order of the blocks and cut at a share of their
 standard deviation.  The smallest element that holds most of the text of the
-chosen paths is the article; of it, everything is kept that is no boilerplate.
+chosen paths is the article, an ``article`` or ``main`` element before others.
+Inside it the paths are scored, smoothed and cut once more, and those that fail
+are left out.
 """
 
 from __future__ import annotations
@@ -167,44 +169,51 @@ def path_scores(blocks: list[Block]) -> list[float]:
     return [sum(w * raw[min(max(i + d, 0), n - 1)] for d, w in zip((-1, 0, 1), kernel)) for i in range(n)]
 
 
+def _cut(score: list[float]) -> float:
+    mean = sum(score) / len(score)
+    return THRESHOLD * math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
+
+
+def _passing(blocks: list[Block]) -> set[str]:
+    """Paths whose blocks score the cut or more on average."""
+    score = path_scores(blocks)
+    total, count = {}, {}
+    for b, s in zip(blocks, score):
+        total[b.path] = total.get(b.path, 0) + s
+        count[b.path] = count.get(b.path, 0) + 1
+    cut = _cut(score)
+    return {p for p in total if total[p] >= cut * count[p]}
+
+
 def _container(blocks: list[Block], chosen: list[int]) -> int | None:
-    """The innermost element with at least ``SHARE`` of the chosen text."""
+    """The innermost element with at least ``SHARE`` of the chosen text; an article, then a main element, goes before others."""
     total = sum(blocks[i].own for i in chosen)
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
+    kind: dict[int, int] = {}
     for i in chosen:
         for d, e in enumerate(blocks[i].elements):
             held[e] = held.get(e, 0) + blocks[i].own
             depth[e] = d
+            kind[e] = {"article": 2, "main": 1}.get(blocks[i].names[d], 0)
     good = [e for e, n in held.items() if n >= SHARE * total and n > 0]
-    return max(good, key=lambda e: (depth[e], -e), default=None)
+    return max(good, key=lambda e: (kind[e], depth[e], -e), default=None)
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; "" where there is none."""
     found = blocks_of(page) if page else []
     open_ = [b for b in found if not b.boilerplate]
-    for names in (("article",), ("main",)):
-        inside = [b for b in open_ if any(n in names for n in b.names)]
-        if sum(b.own for b in inside) >= 0.25 * sum(b.own for b in open_) and inside:
-            return "\n".join(b.text for b in inside)
     if not open_:
         return ""
     score = path_scores(open_)
-    mean = sum(score) / len(score)
-    cut = THRESHOLD * math.sqrt(sum((s - mean) ** 2 for s in score) / len(score))
+    cut = _cut(score)
     chosen = [i for i, s in enumerate(score) if s >= cut and 2 * open_[i].own >= len(open_[i].text)]
     chosen = chosen or list(range(len(open_)))
-    paths, element = {open_[i].path for i in chosen}, _container(open_, chosen)
-    inner = [i for i, b in enumerate(open_) if element in b.elements] if element is not None else chosen
-    whole = element is not None and open_[inner[0]].names[open_[inner[0]].elements.index(element)] not in ("html", "body")
-    keep = []
-    for i in inner:
-        b = open_[i]
-        linked = 2 * b.own < len(b.text)
-        if b.names and b.names[-1] in _HEADINGS or not linked and (whole or b.path in paths):
-            keep.append(b.text)
-    return "\n".join(keep)
+    element = _container(open_, chosen)
+    inner = [b for b in open_ if element in b.elements] if element is not None else [open_[i] for i in chosen]
+    paths = _passing(inner)
+    return "\n".join(b.text for b in inner if b.names and b.names[-1] in _HEADINGS or b.path in paths and 2 * b.own >= len(b.text))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

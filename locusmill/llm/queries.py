@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_paths, line_dedup, log_bilinear, mpeg, ngram_join, packing, pieces, rules, secret_scan, substring
+from . import (
+    html_paths, line_dedup, log_bilinear, mpeg, ngram_join, packing, pieces, prefix_trie, rules, secret_scan, spelling, sql, substring,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,12 +57,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_tag_path_text, op2_secret_scan, op3_substring_dedup, op4_pattern_packing, op5_lm_scores, op6_media_columns,
-        op7_piece_ids, op8_line_dedup, op9_quality_rules, op10_ngram_join,
+        op7_piece_ids, op8_line_dedup, op9_quality_rules, op10_ngram_join, op11_prefix_trie,
+        op12_spelling_groups,
     )
 }
-ORACLES: dict[str, str] = {}
-"""None: models, hashes of kept words, packings and iterations are tested against plain Python in tests/llm."""
+ORACLES: dict[str, str] = {"op11_prefix_trie": sql.PREFIX_TRIE, "op12_spelling_groups": sql.SPELLING_GROUPS}
+"""The others have none: models, hashes of kept words, packings and iterations are tested against plain Python in tests/llm."""

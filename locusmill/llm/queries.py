@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    html_paths, line_dedup, log_bilinear, mpeg, ngram_join, packing, pieces, prefix_trie, rules, secret_scan, spelling, sql, substring,
+    html_paths, id_files, line_dedup, log_bilinear, mpeg, ngram_join, packing, pieces, prefix_trie, rules, secret_scan, spelling, sql, substring,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,12 +65,16 @@ def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(_read(spark, sf_dir, "documents"))
 
 
+def op13_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.coded_ids(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_tag_path_text, op2_secret_scan, op3_substring_dedup, op4_pattern_packing, op5_lm_scores, op6_media_columns,
         op7_piece_ids, op8_line_dedup, op9_quality_rules, op10_ngram_join, op11_prefix_trie,
-        op12_spelling_groups,
+        op12_spelling_groups, op13_mixing_coder,
     )
 }
 ORACLES: dict[str, str] = {"op11_prefix_trie": sql.PREFIX_TRIE, "op12_spelling_groups": sql.SPELLING_GROUPS}

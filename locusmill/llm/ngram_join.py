@@ -213,6 +213,14 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
     return stable(linked).distinct()  # written before, so that Spark may split a centre with many members
 
 
+def partner_sizes(percent: int) -> tuple[str, str]:
+    """Least and greatest size of a set that can link with one of ``n`` tokens whose shared token has ``pos`` before it.
+
+    Whole numbers throughout: a partner may have exactly the least size.
+    """
+    return f"(n * {percent} + 99) div 100", f"((n - pos) * {100 + percent} - n * {percent}) div {percent}"
+
+
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
@@ -239,9 +247,7 @@ def class_links(klass: DataFrame, docs: DataFrame, n: int = N, percent: int = PE
     at = at.withColumn("head", center["cid"]).join(heads, "head", "left").withColumn("hcomp", F.coalesce("hcomp", "head"))
     at = stable(at.select("token", "cid", "n", "pos", "comp", (F.col("comp") != F.col("hcomp")).alias("apart")))
     band = lambda size: F.floor(F.log(size.cast("double")) / math.log(_BANDS)).cast("int")
-    share = F.lit(percent / 100.0)
-    upper = F.greatest(((1 + share) * (F.col("n") - F.col("pos")) - share * F.col("n")) / share, F.lit(1.0))
-    lower = F.greatest(F.floor(share * F.col("n")), F.lit(1))
+    lower, upper = (F.expr(e) for e in partner_sizes(percent))
     probe = at.where("apart").where(upper >= lower).withColumn("band", F.explode(F.sequence(band(lower), band(upper))))
     build = at.join(at.where("apart").select("token").distinct(), "token", "left_semi").withColumn("band", band(F.col("n")))
     a, b = probe.alias("a"), build.alias("b")

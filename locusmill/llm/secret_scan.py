@@ -159,6 +159,7 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> Tokens:
 
 O, B, I = range(3)  # noqa: E741
 _NEVER = -1e9
+_AT_ONCE = 600
 
 
 @dataclass
@@ -234,47 +235,31 @@ class Field:
 
 
 def fit_field(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum penalised likelihood by gradient steps (Adam); each window has features and tags."""
-    k, longest = len(FEATURES), max(len(t) for _, t in windows)
-    x = np.zeros((len(windows), longest, k), np.float32)
-    y, mask = np.zeros((len(windows), longest), np.int64), np.zeros((len(windows), longest), bool)
+    """Maximum penalised likelihood by gradient steps (Adam); each window has features and tags.
+
+    Features are small whole numbers and stay bytes; a few hundred windows at a
+    time are turned into floating point, so that memory does not grow with steps.
+    """
+    k, longest, count = len(FEATURES), max(len(t) for _, t in windows), len(windows)
+    x = np.zeros((count, longest, k), np.uint8)
+    y, mask = np.zeros((count, longest), np.int8), np.zeros((count, longest), bool)
     for i, (f, t) in enumerate(windows):
         x[i, : len(t)], y[i, : len(t)], mask[i, : len(t)] = f, t, True
-    flat = x.reshape(-1, k)
-    hot = np.eye(3)[y] * mask[..., None]
-    want = flat.T.astype(float) @ hot.reshape(-1, 3)
-    both = mask[:, 1:]
-    want_pairs = np.einsum("nta,ntb->ab", hot[:, :-1] * both[..., None], hot[:, 1:])
+    parts = [slice(a, a + _AT_ONCE) for a in range(0, count, _AT_ONCE)]
+    want, want_pairs = np.zeros((k, 3)), np.zeros((3, 3))
+    for p in parts:
+        hot = np.eye(3, dtype=np.float32)[y[p]] * mask[p][..., None]
+        want += x[p].reshape(-1, k).astype(np.float32).T @ hot.reshape(-1, 3)
+        want_pairs += np.einsum("nta,ntb->ab", hot[:, :-1] * mask[p][:, 1:, None], hot[:, 1:])
     field = Field(np.zeros((k, 3)), np.zeros((3, 3)))
     params = [field.weights, field.pairs]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    count = len(windows)
     for step in range(1, steps + 1):
-        score = (flat @ field.weights.astype(np.float32)).reshape(count, longest, 3).astype(float)
-        score[:, 0, I] += _NEVER
-        pairs = field.allowed()
-        peak = pairs.max()
-        trans = np.exp(pairs - peak)
-        lift = score.max(2, keepdims=True)
-        emit = np.exp(score - lift)
-        forward, backward = np.empty_like(emit), np.ones_like(emit)
-        forward[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
-        for t in range(1, longest):
-            now = (forward[:, t - 1] @ trans) * emit[:, t]
-            now /= now.sum(1, keepdims=True)
-            forward[:, t] = np.where(mask[:, t, None], now, forward[:, t - 1])
-        for t in range(longest - 2, -1, -1):
-            now = (backward[:, t + 1] * emit[:, t + 1]) @ trans.T
-            now /= now.sum(1, keepdims=True)
-            backward[:, t] = np.where(mask[:, t + 1, None], now, 1.0)
-        node = forward * backward
-        node = node / node.sum(2, keepdims=True) * mask[..., None]
-        joint = forward[:, :-1, :, None] * trans * (emit[:, 1:] * backward[:, 1:])[:, :, None, :]
-        joint = joint / joint.sum((2, 3), keepdims=True) * both[..., None, None]
-        grads = [
-            (want - flat.T.astype(float) @ node.reshape(-1, 3)) / count - penalty * field.weights,
-            (want_pairs - joint.sum((0, 1))) / count - penalty * field.pairs,
-        ]
+        expected = [np.zeros((k, 3)), np.zeros((3, 3))]
+        for p in parts:
+            for total, more in zip(expected, _expected(field, x[p], mask[p])):
+                total += more
+        grads = [(want - expected[0]) / count - penalty * field.weights, (want_pairs - expected[1]) / count - penalty * field.pairs]
         grads[1][O, I] = 0.0
         for p, g, a, b in zip(params, grads, m, v):
             a += 0.1 * (g - a)
@@ -283,6 +268,32 @@ def fit_field(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 200, ra
     return field
 
 
+def _expected(field: Field, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected features of each tag, and expected tag pairs, of some windows (forward-backward)."""
+    count, longest, k = x.shape
+    flat, both = x.reshape(-1, k).astype(np.float32), mask[:, 1:]
+    score = (flat @ field.weights.astype(np.float32)).reshape(count, longest, 3).astype(float)
+    score[:, 0, I] += _NEVER
+    pairs = field.allowed()
+    trans = np.exp(pairs - pairs.max())
+    emit = np.exp(score - score.max(2, keepdims=True))
+    forward, backward = np.empty_like(emit), np.ones_like(emit)
+    forward[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+    for t in range(1, longest):
+        now = (forward[:, t - 1] @ trans) * emit[:, t]
+        now /= now.sum(1, keepdims=True)
+        forward[:, t] = np.where(mask[:, t, None], now, forward[:, t - 1])
+    for t in range(longest - 2, -1, -1):
+        now = (backward[:, t + 1] * emit[:, t + 1]) @ trans.T
+        now /= now.sum(1, keepdims=True)
+        backward[:, t] = np.where(mask[:, t + 1, None], now, 1.0)
+    node = forward * backward
+    node = node / node.sum(2, keepdims=True) * mask[..., None]
+    joint = forward[:, :-1, :, None] * trans * (emit[:, 1:] * backward[:, 1:])[:, :, None, :]
+    joint = joint / joint.sum((2, 3), keepdims=True) * both[..., None, None]
+    return flat.T @ node.reshape(-1, 3).astype(np.float32), joint.sum((0, 1))
+
+
 # --- training data -------------------------------------------------------------------------------
 
 _WINDOW = 48
@@ -317,8 +328,9 @@ def _tagged(text: str, spans: list[tuple[int, int]]) -> tuple[Tokens, np.ndarray
     return found, tags
 
 
-def labelled_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows around each pattern match of a text, and one window from its middle; base patterns are the labels."""
+def labelled_windows(text: str) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Features, tags and text of windows around each pattern match, or of one from the middle; base patterns are the labels."""
+    data = text.encode()
     found, tags = _tagged(text, [_value(text, s) for s in base_spans(text)])
     n, out = len(tags), []
     centres = np.flatnonzero(tags == B).tolist() or [n // 2]
@@ -328,7 +340,9 @@ def labelled_windows(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
             lo = max(0, min(c - _WINDOW // 2, n - _WINDOW))
             while lo > 0 and tags[lo] == I:
                 lo -= 1
-            out.append((found.x[lo : lo + _WINDOW], tags[lo : lo + _WINDOW]))
+            end = min(lo + _WINDOW, n)
+            part = data[found.start[lo] : found.end[end - 1]].decode(errors="ignore")
+            out.append((found.x[lo:end], tags[lo:end], part))
             last = c
     return out
 
@@ -385,8 +399,8 @@ def train_field(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_wind
     def run(batch: pa.RecordBatch):
         rows = []
         for text in batch.column(0).to_pylist():
-            for x, tags in labelled_windows(text or ""):
-                word = re.findall(r"[^\W\d_]+", text[:4000])[::7][:3]
+            for x, tags, part in labelled_windows(text or ""):
+                word = re.findall(r"[^\W\d_]+", part)[::7][:3]
                 rows.append((int((tags == O).all()), x.astype(np.uint8).tobytes(), tags.astype(np.uint8).tobytes(), " ".join(word)))
         kinds = [pa.int32(), pa.binary(), pa.binary(), pa.string()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["plain", "x", "tags", "word"]) if rows else None
@@ -394,14 +408,14 @@ def train_field(docs: DataFrame, max_documents: int = SAMPLE_DOCUMENTS, max_wind
     found = sample.mapInArrow(each_batch(run), "plain int, x binary, tags binary, word string")
     rows = found.orderBy("plain", F.xxhash64("x", "tags"), "x", "tags", "word").limit(max_windows).collect()  # bounded
     windows = [
-        (np.frombuffer(r.x, np.uint8).reshape(-1, len(FEATURES)).astype(np.float32), np.frombuffer(r.tags, np.uint8).astype(np.int64))
+        (np.frombuffer(r.x, np.uint8).reshape(-1, len(FEATURES)), np.frombuffer(r.tags, np.uint8))
         for r in rows
     ]
     vocabulary = sorted({w for r in rows for w in r.word.split()})
     for line, spans in generated_lines(vocabulary):
         found_, tags = _tagged(line, spans)
         if len(tags):
-            windows.append((found_.x[:_WINDOW], tags[:_WINDOW]))
+            windows.append((found_.x[:_WINDOW].astype(np.uint8), tags[:_WINDOW]))
     return fit_field(windows)
 
 

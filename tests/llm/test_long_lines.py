@@ -61,6 +61,9 @@ def test_query(spark, small):
 
 
 def test_stage(spark, small):
-    want = {d: t for d, n, gone, t in brute(small, ld.MIN_LINES, ld.MIN_WORDS) if gone < n or not n}
+    texts, want = dict(small), {}
+    for d, n, gone, text in brute(small, ld.MIN_LINES, ld.MIN_WORDS):
+        if gone < n and (not gone or len(WORD.findall(text)) >= cp.LEAST_WORDS or 2 * len(text) >= len(texts[d])) or not n:
+            want[d] = text
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert {r.doc_id: r.text for r in cp.line_stage(spark, docs, SF).collect()} == want

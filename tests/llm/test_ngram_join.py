@@ -74,3 +74,46 @@ def test_components(spark, seed):
     looped = {a for a, b in links if a == b}
     assert {r.node: r.component for r in out} == {n: c for n, c in label.items() if n in {r.node for r in out}}
     assert {n for n in label} - {r.node for r in out} <= looped
+
+
+def partners_of_least_size(n, percent):
+    """Groups in which the only partner of a set has exactly the least size it may have.
+
+    y has so many words that its set is smaller than that of x by exactly what
+    is allowed; c shares x's and y's n-grams and a last one that is frequent.
+    """
+    docs = []
+    for g in range(40):
+        y = [f"y{g}w{i}" for i in range(11)]
+        x, c = [f"x{g}", *y], [*y, f"often {percent} again"]
+        texts = [x, y, c] + [[f"u{g}v{k}w{i}" for i in range(9)] + [f"often {percent} again"] for k in range(6)]
+        docs += [(10 * g + j, " ".join(t)) for j, t in enumerate(texts)]
+    return docs
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (3, 80), (5, 80)])
+def test_partners_of_least_size(spark, n, percent):
+    docs = partners_of_least_size(n, percent)
+    sets = {d: {tuple(t.split()[i : i + n]) for i in range(len(t.split()) - n + 1)} for d, t in docs}
+    want = {d: d for d in sets}
+    for _ in range(3):
+        for a in sets:
+            for b in range(a - a % 10, a - a % 10 + 9):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    want[a] = want[b] = min(want[a], want[b])
+    out = ngram_join.jaccard_components(frame(spark, docs), n=n, percent=percent)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == want
+    assert len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 95])
+def test_partner_sizes(spark, percent):
+    """Every set size up to 5,000 at several places of the shared token, in whole numbers."""
+    low, high = ngram_join.partner_sizes(percent)
+    rows = spark.range(1, 5001).selectExpr("id AS n", "explode(array(0, 1, 2, id div 30, id div 12)) AS pos").where("pos < n")
+    for n, pos, a, b in rows.selectExpr("n", "pos", low, high).distinct().collect():
+        links = lambda size: 100 * min(n - pos, size) >= percent * (n + size - min(n - pos, size))  # noqa: B023, E731
+        if b >= a:
+            assert links(b) and not links(b + 1) and 100 * a >= percent * n > 100 * (a - 1)
+        else:
+            assert not any(links(size) for size in range(max(a - 1, 1), n + 2))

@@ -5,13 +5,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from brute import components, stats
-from test_line_dedup import brute as lines
+from brute import stats, words
+from test_long_lines import brute as lines
+from test_pipeline_near import kept
 from test_secret_scan import base
 from text_cases import SF, frame
 
 import corpus_pipeline as cp
-from locusmill.llm import packing
+from locusmill.llm import line_dedup, packing
 
 
 def rows(df):
@@ -48,14 +49,30 @@ def test_quality(steps):
 
 def test_lines(steps):
     before = [(r.doc_id, r.text) for r in steps[1].collect()]
-    want = {d: t for d, n, gone, t in lines(before, 2) if gone < n or not n}
+    want = {}
+    for d, n, gone, text in lines(before, 2, line_dedup.MIN_WORDS):
+        if gone < n and (len(words(text)) >= cp.LEAST_WORDS or 2 * len(text) >= len(dict(before)[d])) or not n:
+            want[d] = text
     assert {r.doc_id: r.text for r in steps[2].collect()} == want
     assert all(r.n_chars == len(r.text) for r in steps[2].collect())
 
 
 def test_near_duplicates(steps):
-    before = [(r.doc_id, r.text) for r in steps[2].collect()]
-    assert {r.doc_id for r in steps[3].collect()} == {d for d, _, c in components(before) if c == d}
+    assert {r.doc_id for r in steps[3].collect()} == kept([(r.doc_id, r.text) for r in steps[2].collect()])
+
+
+def test_planted_near_copies(spark, tmp_path):
+    """Copies with a changed word in one line or in every line: one of each group is left by the stages together."""
+    line = lambda g, i: " ".join(f"g{g}l{i}w{j}" for j in range(12))
+    docs = []
+    for g in range(6):
+        base = [line(g, i) for i in range(8)]
+        one = [*base[:5], base[5].replace("w3", "other"), *base[6:]]
+        all_ = [x.replace(f"l{i}w11", f"l{i}new") if i % 3 == 0 else x for i, x in enumerate(base)]
+        docs += [(10 * g, "\n".join(base)), (10 * g + 1, "\n".join(one)), (10 * g + 2, "\n".join(all_)), (10 * g + 3, "\n".join(base))]
+    docs += [(90 + k, "\n".join([line(0, 0), *(line(50 + k, i) for i in range(9))])) for k in range(3)]  # one shared line each
+    out = cp.near_duplicate_stage(spark, cp.line_stage(spark, frame(spark, docs), SF), SF)
+    assert {r.doc_id for r in out.collect()} == {0, 10, 20, 30, 40, 50, 90, 91, 92}
 
 
 def test_secrets(steps):

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, markers, matrix, models
+from ..operators import align, grid, markers, matrix, models
 from ..plans.session import scratch_path, stable
 from ..sources.views import N_FOLDS, panel, panel_trait, preds, table, val_folds, vectors
 from .aggregates import METRIC_SQL, SUMS, split_sums_sql
@@ -45,16 +46,45 @@ def _(spark, d):
 
 @query("m03_fold_pca")
 def _(spark, d):
-    rows, folds, stats = first_fold(spark, d)
-    scores, _, _ = matrix.fold_pca(matrix.fold_standardize(rows, folds, stats), 8)
+    """Scores of all fifteen fits."""
+    scores, _, _ = matrix.fold_pca(*panel_stats(spark, d), 8)
     return scores.withColumn("score", F.round("score", 6))
 
 
 @query("m03_explained_variance")
 def _(spark, d):
-    rows, folds, stats = first_fold(spark, d)
-    _, _, ratios = matrix.fold_pca(matrix.fold_standardize(rows, folds, stats), 8)
-    return spark.createDataFrame([(i, round(r, 6)) for i, r in enumerate(ratios)], "component int, ratio double")
+    _, _, variances = matrix.fold_pca(*panel_stats(spark, d), 8)
+    return variances.select("seed", "fold", "component", F.round("ratio", 8).alias("ratio"))
+
+
+@query(
+    "m03_component_audit",
+    STANDARD + ", t AS (SELECT seed, fold, marker_idx, coalesce((dosage - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END, 0) AS z"
+    " FROM c JOIN s USING (seed, marker_idx) WHERE fold <> val_fold)"
+    " SELECT seed, fold, cast(component AS int) AS component, total, TRUE AS orthonormal, TRUE AS eigenvector, TRUE AS falling FROM"
+    " (SELECT seed, fold, sum(z * z) AS total FROM t GROUP BY seed, fold) CROSS JOIN (SELECT unnest(range(8)) AS component)",
+    ["panel", "panel_folds"], ["total"])
+def _(spark, d):
+    """What components must satisfy, computed from the returned scores and loadings and the calls."""
+    rows, folds, stats = panel_stats(spark, d)
+    stats = stable(stats)
+    scores, loadings, variances = matrix.fold_pca(rows, folds, stats, 8)
+    loadings, cell = stable(loadings), ["seed", "fold"]
+    one, two = loadings.alias("a"), loadings.alias("b")
+    pairs = one.join(two, [*cell, "marker_idx"]).groupBy(*cell, F.col("a.component").alias("component"), F.col("b.component").alias("other"))
+    product = pairs.agg(F.sum(F.col("a.loading") * F.col("b.loading")).alias("p"))
+    off = F.abs(F.col("p") - F.when(F.col("component") == F.col("other"), 1.0).otherwise(0.0))
+    unit = product.groupBy(*cell, "component").agg((F.max(off) < 1e-9).alias("orthonormal"))
+    z = matrix.fold_standardize(rows, folds, stats).where("split = 'train'")
+    image = z.join(scores.where("split = 'train'").select(*cell, "sample_id", "component", "score"), [*cell, "sample_id"])
+    image = image.groupBy(*cell, "marker_idx", "component").agg(F.sum(F.col("z") * F.col("score")).alias("w"))
+    length = F.col("ratio") * F.col("total")
+    gap = image.join(loadings, [*cell, "marker_idx", "component"]).join(variances, [*cell, "component"])
+    gap = gap.groupBy(*cell, "component").agg(F.max(F.abs(F.col("w") - length * F.col("loading")) / length).alias("gap"))
+    order = variances.withColumn("falling", F.coalesce(F.col("ratio") <= F.lag("ratio").over(
+        Window.partitionBy(*cell).orderBy("component")) + 1e-12, F.lit(True)))  # one row per component
+    return order.join(unit, [*cell, "component"]).join(gap, [*cell, "component"]).select(
+        *cell, "component", "total", "orthonormal", (F.col("gap") < 1e-8).alias("eigenvector"), "falling")
 
 
 @query(
@@ -101,12 +131,51 @@ def panel_case(spark, d):
     return rows, stable(folds), stable(panel_trait(spark, d))
 
 
+RATIOS = (
+    ", c AS (SELECT seed, val_fold, sample_id, marker_idx, dosage FROM v_panel JOIN v_panel_folds USING (sample_id)),"
+    " f AS (SELECT cast(unnest(range(5)) AS int) AS fold),"
+    " s AS (SELECT seed, fold, marker_idx, avg(dosage) AS mu FROM c CROSS JOIN f WHERE fold <> val_fold GROUP BY ALL),"
+    " y0 AS (SELECT seed, fold, sample_id, y FROM v_panel_trait JOIN v_panel_folds USING (sample_id) CROSS JOIN f WHERE fold <> val_fold),"
+    " y1 AS (SELECT *, y - avg(y) OVER (PARTITION BY seed, fold) AS r FROM y0),"
+    " z AS (SELECT c.seed, s.fold, c.sample_id, marker_idx, coalesce(dosage - mu, 0) AS z, r FROM c JOIN s USING (seed, marker_idx)"
+    " JOIN y1 ON y1.seed = c.seed AND y1.fold = s.fold AND y1.sample_id = c.sample_id WHERE s.fold <> val_fold),"
+    " n AS (SELECT seed, fold, sample_id, sum(z * z) AS q, any_value(r) AS r FROM z GROUP BY ALL),"
+    " b AS (SELECT seed, fold, marker_idx, sum(z * r) AS t FROM z GROUP BY ALL),"
+    " g AS (SELECT a.seed, a.fold, a.marker_idx AS i, b.marker_idx AS j, sum(a.z * b.z) AS g FROM z a JOIN z b USING (seed, fold, sample_id) GROUP BY ALL),"
+    " m AS (SELECT seed, fold, sum(mu * (1 - mu / 2)) AS d FROM s GROUP BY ALL),"
+    " k AS (SELECT seed, fold, ((SELECT sum(t * t) FROM b WHERE b.seed = m.seed AND b.fold = m.fold)"
+    " - (SELECT sum(q * r * r) FROM n WHERE n.seed = m.seed AND n.fold = m.fold)) / 2 / d"
+    " / (((SELECT sum(g * g) FROM g WHERE g.seed = m.seed AND g.fold = m.fold)"
+    " - (SELECT sum(q * q) FROM n WHERE n.seed = m.seed AND n.fold = m.fold)) / 2 / d / d)"
+    " / (SELECT var_samp(r) FROM n WHERE n.seed = m.seed AND n.fold = m.fold) AS share FROM m)"
+    " SELECT seed, fold, (1 - share) / share AS ratio, TRUE AS solved FROM k"
+)
+
+
 @query("m06_marker_effect_model")
 def _(spark, d):
-    rows, folds, trait = panel_case(spark, d)
-    train = folds.where("fold = 0 AND split = 'train'").select("sample_id")
-    predicted, _ = models.marker_effect_model(rows, trait.join(train, "sample_id", "left_semi"))
-    return predicted.withColumn("y_pred", F.round("y_pred", 4))
+    """Predictions of all fifteen fits."""
+    rows, folds, stats = panel_stats(spark, d)
+    fits = models.marker_effect_fits(rows, folds, stable(stats), panel_trait(spark, d))
+    return fits.predictions.withColumn("y_pred", F.round("y_pred", 6))
+
+
+@query("m06_effect_audit", RATIOS, ["panel", "panel_folds", "panel_trait"], ["ratio"])
+def _(spark, d):
+    """Variance ratios, and whether the effects satisfy the normal equations, computed from the calls."""
+    rows, folds, stats = panel_stats(spark, d)
+    rows, folds, stats, trait = stable(rows), stable(folds), stable(stats), stable(panel_trait(spark, d))
+    fits, cell = models.marker_effect_fits(rows, folds, stats, trait), ["seed", "fold"]
+    named = [(*c, fits.ratios[c], fits.penalties[c]) for c in fits.ratios]
+    wanted = spark.createDataFrame(named, "seed int, fold int, ratio double, penalty double")
+    left = fits.predictions.join(folds, ["seed", "sample_id"]).where("val_fold <> fold").join(trait, "sample_id")
+    left = left.select(*cell, "sample_id", (F.col("y") - F.col("y_pred")).alias("e"))
+    z = matrix.fold_standardize(rows, folds, stats.withColumn("sd", F.lit(1.0))).where("split = 'train'")
+    pull = z.join(left, [*cell, "sample_id"]).groupBy(*cell, "marker_idx").agg(F.sum(F.col("z") * F.col("e")).alias("w"))
+    pull = pull.join(fits.effects, [*cell, "marker_idx"]).join(wanted, cell)
+    want = F.col("penalty") * F.col("effect")
+    off = F.sqrt(F.sum((F.col("w") - want) ** 2)) / F.sqrt(F.sum(F.col("w") ** 2))
+    return pull.groupBy(*cell).agg(F.first("ratio").alias("ratio"), (off < 1e-8).alias("solved"))
 
 
 @query("m07_boosted_trees_baseline")
@@ -136,12 +205,49 @@ def _(spark, d):
     return models.score_frozen_model(spark, path, rows, held).withColumn("y_pred", F.round("y_pred", 4))
 
 
-@query("m09_fold_grid_run")
+def grid_case(spark, d):
+    """Panel, folds of three seeds, and two traits: one from the vectors, one from the panel's own dosages."""
+    rows = stable(panel(spark, d))
+    folds = stable(val_folds(rows.select("sample_id").distinct()))
+    own = rows.groupBy("sample_id").agg(F.sum(F.col("dosage") * (F.col("marker_idx") % 5 - 2)).cast("double").alias("y"))
+    return rows, folds, {"vector": stable(panel_trait(spark, d)), "dosage": stable(own)}
+
+
+@query(
+    "m09_fold_grid_run",
+    " SELECT 'ridge' AS model, t.trait, seed, val_fold AS fold, count(*) AS n, TRUE AS predicted FROM v_panel_folds"
+    " CROSS JOIN (SELECT unnest(['vector', 'dosage']) AS trait) t GROUP BY ALL", ["panel_folds"])
 def _(spark, d):
-    rows, folds, trait = panel_case(spark, d)
-    out = models.fold_grid_run(
-        rows, folds, {"y": trait}, {"ridge": models.ridge_cell}, [1], range(N_FOLDS), scratch_path(spark, "grid"))
-    return out.select("model", "trait", "seed", "fold", "n", F.round("pearson", 3).alias("pearson"))
+    """Three seeds, five folds, two traits: every cell once, over all its validation samples, better than chance on the whole."""
+    rows, folds, truths = grid_case(spark, d)
+    out = grid.fold_grid_run(rows, folds, truths, {"ridge": grid.ridge()}, [1, 2, 3], range(N_FOLDS), scratch_path(spark, "grid"))
+    means = out.summary.where("metric = 'pearson' AND scope = 'overall'").select("model", "trait", (F.col("mean") > 0.05).alias("predicted"))
+    return out.metrics.join(means, ["model", "trait"]).select("model", "trait", "seed", "fold", "n", "predicted")
+
+
+@query("m09_trees_grid")
+def _(spark, d):
+    """Boosted trees on all fifteen cells, ten trees each; the default is 200."""
+    rows, folds, truths = grid_case(spark, d)
+    one = {"vector": truths["vector"]}
+    out = grid.fold_grid_run(rows, folds, one, {"trees": grid.trees(10, 3)}, [1, 2, 3], range(N_FOLDS), scratch_path(spark, "grid"))
+    return out.metrics.select("model", "trait", "seed", "fold", "n", F.round("pearson", 3).alias("pearson"))
+
+
+@query(
+    "m08_score_stored_fits",
+    " SELECT seed, cast(f.fold AS int) AS fold, count(*) AS n, TRUE AS same FROM v_panel_folds"
+    " CROSS JOIN (SELECT unnest(range(5)) AS fold) f GROUP BY ALL", ["panel_folds"])
+def _(spark, d):
+    """Stored fits of all fifteen cells applied to every sample, against the predictions of the fit itself."""
+    rows, folds, truths = grid_case(spark, d)
+    path, one = scratch_path(spark, "grid"), {"vector": truths["vector"]}
+    grid.fold_grid_run(rows, folds, one, {"ridge": grid.ridge()}, [1, 2, 3], range(N_FOLDS), path)
+    scored = grid.score_stored(spark, path, "ridge", "vector", rows)
+    published = grid.Ledger(spark, path).table("predictions").select("seed", "fold", "sample_id", F.col("y_pred").alias("want"))
+    both = scored.join(published, ["seed", "fold", "sample_id"], "left")
+    gap = F.coalesce(F.max(F.abs(F.col("want") - F.col("y_pred"))), F.lit(1.0))
+    return both.groupBy("seed", "fold").agg(F.count("*").alias("n"), (gap < 1e-6).alias("same"))
 
 
 @query(

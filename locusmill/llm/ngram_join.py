@@ -77,11 +77,18 @@ def frequent_grams(docs: DataFrame, n: int = N, top: int = FREQUENT) -> tuple[np
     """
 
     def counted(parts):
-        key, count = np.unique(np.concatenate(parts), return_counts=True)
-        more = count > 1
-        if not more.any():
+        key = np.concatenate(parts)
+        parts.clear()
+        key.sort()  # in place: a task holds one copy of its hashes
+        again = key[1:] == key[:-1]
+        first = again.copy()
+        first[1:] &= ~again[:-1]
+        at = np.flatnonzero(first)
+        if not len(at):
             return None
-        return pa.RecordBatch.from_arrays([pa.array(signed(key[more])), pa.array(count[more])], names=["gram", "n"])
+        found = key[at]
+        count = np.searchsorted(key, found, side="right") - at
+        return pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(count.astype(np.int64))], names=["gram", "n"])
 
     def run(batches):
         parts, held = [], 0
@@ -92,8 +99,7 @@ def frequent_grams(docs: DataFrame, n: int = N, top: int = FREQUENT) -> tuple[np
                 parts.append(key)
                 held += len(key)
                 if held >= _FLUSH:
-                    out = counted(parts)
-                    parts, held = [], 0
+                    out, held = counted(parts), 0
                     if out is not None:
                         yield out
         if parts and (out := counted(parts)) is not None:

@@ -4,10 +4,18 @@ The automaton reads a text once.  At each character its state and the chain of
 output links list every piece that ends there, longest first, and each relaxes
 the best score of that position.  Characters that no piece covers cost more than
 any piece and are written as bytes.
+
+What a piece scores depends on the kind of model that the file holds.  A unigram
+model adds the scores of pieces.  A merge model ranks merges by them: its ids of
+a prefix end with one certain piece, and a further piece scores 0 where merging
+it and the piece before leaves the two as they are, and minus infinity where it
+does not.  At each position exactly one piece is left, so one pass finds the ids
+that merging step by step gives.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import deque
 from functools import lru_cache
@@ -25,16 +33,55 @@ MEMO = 400_000
 """So many text parts and their ids a worker keeps; older ones are computed again."""
 
 
+codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 def piece_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+MERGES = 2
+"""The number of merge models in a file's settings."""
+
+
+def model_kind(path: str) -> int:
+    """The kind of model that a file says it holds: field 3 of the settings, which are field 2 of the file."""
+
+    def number(data: bytes, at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value, at
+
+    def field(data: bytes, wanted: int):
+        at = 0
+        while at < len(data):
+            tag, at = number(data, at)
+            if tag & 7 == 0:
+                value, at = number(data, at)
+            else:
+                size, at = number(data, at) if tag & 7 == 2 else (8 if tag & 7 == 1 else 4, at)
+                value, at = data[at : at + size], at + size
+            if tag >> 3 == wanted:
+                return value
+        return None
+
+    with open(path, "rb") as file:
+        settings = field(file.read(), 2)
+    kind = field(settings, 3) if settings is not None else None
+    return 1 if kind is None else kind
+
+
 class Automaton:
     """Goto, failure and output links over pieces with scores."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
+        self.known, self.texts = pieces, {number: text for text, (number, _) in pieces.items()}
+        self.stands: dict[tuple[int, int], bool] = {}
         self.goto: list[dict[str, int]] = [{}]
         self.piece: list[tuple[int, float, int] | None] = [None]  # id, score, length
         for text, (number, score) in pieces.items():
@@ -81,12 +128,61 @@ class Automaton:
                 out = output[out]
             if not single and score[end - 1] + unknown > score[end]:
                 score[end], back[end] = score[end - 1] + unknown, (-1, end - 1)
-        found, end = [], n
-        while end:
-            number, start = back[end]
-            found.append((number, end))
-            end = start
-        return found[::-1]
+        return _walked(back)
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces, best score first and leftmost among equals, ends in these two."""
+        symbols, known = list(self.texts[left] + self.texts[right]), self.known
+        while len(symbols) > 1:
+            score, at = -np.inf, -1
+            for i in range(len(symbols) - 1):
+                found = known.get(symbols[i] + symbols[i + 1])
+                if found is not None and found[1] > score:
+                    score, at = found[1], i
+            if at < 0:
+                break
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols == [self.texts[left], self.texts[right]]
+
+    def merged(self, text: str) -> list[tuple[int, int]]:
+        """(piece id or -1, end) as merging gives them; each prefix keeps the one piece that its left neighbour leaves standing."""
+        goto, fail, output, piece, stands = self.goto, self.fail, self.output, self.piece, self.stands
+        n, node = len(text), 0
+        back = [(-1, 0)] * (n + 1)
+        for end in range(1, n + 1):
+            ch = text[end - 1]
+            while node and ch not in goto[node]:
+                node = fail[node]
+            node = goto[node].get(ch, 0)
+            out = node if piece[node] else output[node]
+            back[end] = (-1, end - 1)
+            while out:
+                number, _, length = piece[out]
+                start = end - length
+                left = back[start][0] if start else -1
+                if left < 0:
+                    fits = True
+                else:
+                    fits = stands.get((left, number))
+                    if fits is None:
+                        if len(stands) >= MEMO:
+                            stands.clear()
+                        fits = stands[left, number] = self._apart(left, number)
+                if fits:
+                    back[end] = (number, start)
+                    break
+                out = output[out]
+        return _walked(back)
+
+
+def _walked(back: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(piece id, end) from the start on, given the last piece of every prefix and where it begins."""
+    found, end = [], len(back) - 1
+    while end:
+        number, start = back[end]
+        found.append((number, end))
+        end = start
+    return found[::-1]
 
 
 class _Memo(dict):
@@ -104,9 +200,12 @@ class _Memo(dict):
 
 
 class Encoder:
-    """A piece model read from a file: text to ids and back."""
+    """A piece model read from a file: text to ids and back.
+
+    ``merges`` says whether scores rank merges; as the file says if it is left out.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: bool | None = None):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -119,6 +218,12 @@ class Encoder:
         self.special = {i for i in range(n) if special[i] and not model.is_byte(i)}
         normal = {self.pieces[i]: (i, model.get_score(i)) for i in range(n) if not special[i]}
         self.automaton = Automaton(normal)
+        self.merges = model_kind(path) == MERGES if merges is None else merges
+        blank = " \u2047 ".encode()
+        self.raw = [
+            bytes([self.byte_of[i]]) if i in self.byte_of else blank if i == self.unknown_id else b"" if i in self.special
+            else self.pieces[i].replace(SPACE, " ").encode() for i in range(n)
+        ]
         self.unknown = min((s for _, s in normal.values()), default=0.0) - UNKNOWN_PENALTY
         inner = any(SPACE in p.lstrip(SPACE) for p in normal)
         breaks = not any("\n" in p for p in normal)
@@ -128,7 +233,7 @@ class Encoder:
 
     def _split(self, part: str) -> bytes:
         ids, start = [], 0
-        for number, end in self.automaton.best(part, self.unknown):
+        for number, end in self.automaton.merged(part) if self.merges else self.automaton.best(part, self.unknown):
             if number >= 0:
                 ids.append(number)
             elif self.bytes:
@@ -146,23 +251,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.memo.__getitem__, parts)), "<i4")
 
     def decode(self, ids) -> str:
-        """The text of ids: bytes are joined (invalid ones become U+FFFD), control ids vanish, the space put before goes."""
-        out, run = [], bytearray()
-        for i in ids:
-            i = int(i)
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if i == self.unknown_id:
-                out.append(" ⁇ ")
-            elif i not in self.special:
-                out.append(self.pieces[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
+        """The text of ids: bytes are joined (each invalid one becomes U+FFFD), control ids vanish, the space put before goes."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "each_byte")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -172,9 +263,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """doc_id, n_ids and ids of every row; NULL and empty texts have none.  Other columns are left out."""
+def _carried(rows: DataFrame, keep: tuple[str, ...]) -> tuple[list, list[str], str]:
+    """Columns to carry as a struct ``row``, its name, and its part of a schema; nothing without ``keep``."""
+    if not keep:
+        return [], [], ""
+    column = F.struct(*keep).alias("row")
+    return [column], ["row"], f", row {rows.select(column).schema['row'].dataType.simpleString()}"
+
+
+def encode_texts(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """doc_id, n_ids and ids of every row; ``keep`` adds a struct ``row`` of those columns.
+
+    NULL and empty texts have no ids; rows with a NULL id and repeated rows are
+    rows like others; an empty table gives no rows.  Other columns are left out.
+    """
     path = path or piece_path()
+    columns, more, kinds = _carried(docs, keep)
 
     def run(batch: pa.RecordBatch):
         model = encoder(path)
@@ -182,19 +288,35 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         size = np.array([len(f) for f in found], np.int64)
         ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), ids], names=["doc_id", "n_ids", "ids"])
+        arrays = [batch.column("doc_id"), pa.array(size), ids, *(batch.column(c) for c in more)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids", *more])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(each_batch(run), "doc_id long, n_ids long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *columns)
+    return rows.mapInArrow(each_batch(run), "doc_id long, n_ids long, ids array<int>" + kinds)
 
 
-def decode_ids(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """doc_id and the text of its ids; NULL ids are an empty text."""
+def decode_ids(rows: DataFrame, ids_col: str = "ids", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and the text of its ids; ``keep`` adds a struct ``row`` of those columns.  NULL ids are an empty text."""
     path = path or piece_path()
+    columns, more, kinds = _carried(rows, keep)
 
     def run(batch: pa.RecordBatch):
-        model = encoder(path)
-        text = [model.decode(i or []) for i in batch.column("_ids").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
+        model, lists = encoder(path), batch.column("_ids")
+        ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+        text = [model.decode(i) for i in np.split(ids, ends[:-1])]
+        arrays = [batch.column("doc_id"), pa.array(text, pa.string()), *(batch.column(c) for c in more)]
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", *more])
+
+    return rows.select("doc_id", F.col(ids_col).alias("_ids"), *columns).mapInArrow(each_batch(run), "doc_id long, text string" + kinds)
+
+
+def piece_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_ids, ids, decoded_sha256 and same_text: every text encoded, decoded from its ids again and compared.
 
-    return rows.select("doc_id", F.col(ids_col).alias("_ids")).mapInArrow(each_batch(run), "doc_id long, text string")
+    A text that has U+2581 of its own comes back with a blank in its place, so
+    its ``same_text`` is false.
+    """
+    known = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    back = decode_ids(encode_texts(known, path=path, keep=("sha",)), path=path, keep=("n_ids", "ids", "row"))
+    sha = F.sha2(F.col("text").cast("binary"), 256)
+    return back.select("doc_id", "row.n_ids", "row.ids", sha.alias("decoded_sha256"), (sha == F.col("row.row.sha")).alias("same_text"))

@@ -42,7 +42,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_texts(_read(spark, sf_dir, "documents"))
+    return pieces.piece_digest(_read(spark, sf_dir, "documents"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ that merging step by step gives.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import re
 from collections import deque
 from functools import lru_cache
@@ -263,60 +264,64 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _carried(rows: DataFrame, keep: tuple[str, ...]) -> tuple[list, list[str], str]:
-    """Columns to carry as a struct ``row``, its name, and its part of a schema; nothing without ``keep``."""
-    if not keep:
-        return [], [], ""
-    column = F.struct(*keep).alias("row")
-    return [column], ["row"], f", row {rows.select(column).schema['row'].dataType.simpleString()}"
+def _id_lists(found: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """How many ids each text has, and the ids."""
+    size = np.array([len(f) for f in found], np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32, copy=False)))
 
 
-def encode_texts(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep: tuple[str, ...] = (),
-) -> DataFrame:
-    """doc_id, n_ids and ids of every row; ``keep`` adds a struct ``row`` of those columns.
+def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n_ids and ids of every row.
 
     NULL and empty texts have no ids; rows with a NULL id and repeated rows are
     rows like others; an empty table gives no rows.  Other columns are left out.
     """
     path = path or piece_path()
-    columns, more, kinds = _carried(docs, keep)
 
     def run(batch: pa.RecordBatch):
         model = encoder(path)
-        found = [model.encode(t or "") for t in batch.column("_text").to_pylist()]
-        size = np.array([len(f) for f in found], np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
-        arrays = [batch.column("doc_id"), pa.array(size), ids, *(batch.column(c) for c in more)]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids", *more])
+        size, ids = _id_lists([model.encode(t or "") for t in batch.column("_text").to_pylist()])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), size, ids], names=["doc_id", "n_ids", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"), *columns)
-    return rows.mapInArrow(each_batch(run), "doc_id long, n_ids long, ids array<int>" + kinds)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(each_batch(run), "doc_id long, n_ids long, ids array<int>")
 
 
-def decode_ids(rows: DataFrame, ids_col: str = "ids", path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and the text of its ids; ``keep`` adds a struct ``row`` of those columns.  NULL ids are an empty text."""
+def decode_ids(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """doc_id and the text of its ids; NULL ids are an empty text."""
     path = path or piece_path()
-    columns, more, kinds = _carried(rows, keep)
 
     def run(batch: pa.RecordBatch):
-        model, lists = encoder(path), batch.column("_ids")
-        ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
-        text = [model.decode(i) for i in np.split(ids, ends[:-1])]
-        arrays = [batch.column("doc_id"), pa.array(text, pa.string()), *(batch.column(c) for c in more)]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", *more])
+        model = encoder(path)
+        text = [model.decode(i or []) for i in batch.column("_ids").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
 
-    return rows.select("doc_id", F.col(ids_col).alias("_ids"), *columns).mapInArrow(each_batch(run), "doc_id long, text string" + kinds)
+    return rows.select("doc_id", F.col(ids_col).alias("_ids")).mapInArrow(each_batch(run), "doc_id long, text string")
 
 
-def piece_digest(docs: DataFrame, path: str | None = None) -> DataFrame:
+def piece_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids, decoded_sha256 and same_text: every text encoded, decoded from its ids again and compared.
 
-    A text that has U+2581 of its own comes back with a blank in its place, so
-    its ``same_text`` is false.
+    Both happen in one task, so ids cross to Python's side once.  A text that
+    has U+2581 of its own comes back with a blank in its place, so its
+    ``same_text`` is false.  Odd rows are treated as in ``encode_texts``.
     """
-    known = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    back = decode_ids(encode_texts(known, path=path, keep=("sha",)), path=path, keep=("n_ids", "ids", "row"))
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    return back.select("doc_id", "row.n_ids", "row.ids", sha.alias("decoded_sha256"), (sha == F.col("row.row.sha")).alias("same_text"))
+    path = path or piece_path()
+
+    def run(batch: pa.RecordBatch):
+        model, sha, same = encoder(path), [], []
+        texts = [t or "" for t in batch.column("_text").to_pylist()]
+        found = [model.encode(t) for t in texts]
+        for text, ids in zip(texts, found):
+            back = model.decode(ids)
+            sha.append(hashlib.sha256(back.encode()).hexdigest())
+            same.append(back == text)
+        size, ids = _id_lists(found)
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), size, ids, pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
+            names=["doc_id", "n_ids", "ids", "decoded_sha256", "same_text"],
+        )
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(each_batch(run), "doc_id long, n_ids long, ids array<int>, decoded_sha256 string, same_text boolean")

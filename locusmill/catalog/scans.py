@@ -291,3 +291,20 @@ def _(spark, d):
     keys = (F.lit(1).alias("seed"), F.lit(0).alias("fold"), "ord", "sample_id")
     left, right = rank_order(closed, ["k"]).select(*keys), rank_order(first, ["k"]).select(*keys)
     return text.binding_check(left, right)
+
+
+@query(
+    "t04_export_dosage",
+    "SELECT cast(sample_id AS varchar) AS sample_id, marker_idx, 'm' || marker_idx AS marker_id, dosage, sample_id * 0.1 AS y FROM v_panel",
+    ["panel"], ["y"])
+def _(spark, d):
+    """The panel exported as a wide table with phenotypes, and read again."""
+    rows = stable(panel(spark, d))
+    names = rows.select("marker_idx").distinct().withColumn("marker_id", F.concat(F.lit("m"), F.col("marker_idx")))
+    traits = rows.select("sample_id").distinct().withColumn("y", F.col("sample_id") * F.lit(0.1))
+    path = scratch_path(spark, "export")
+    header = store.export_dosage(rows, names, traits, path, sep="\t", missing="NA")
+    back = text.scan_dosage_table(spark, f"{path}/dosage", None, header)
+    y = spark.read.schema("sample_id string, y double").option("header", True).csv(f"{path}/phenotypes")
+    ids = spark.read.text(f"{path}/sample_ids").withColumnRenamed("value", "sample_id")
+    return back.join(y.join(ids, "sample_id"), "sample_id").select("sample_id", "marker_idx", "marker_id", "dosage", "y")

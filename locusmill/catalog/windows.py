@@ -285,8 +285,7 @@ def _(spark, d):
     return epochs.early_stop_all_idle(view(spark, d, "epochs"), 4000)
 
 
-@query(
-    "w20_early_stop_min_delta",
+MIN_DELTA_SQL = (
     "SELECT run, best_epoch, stop_epoch FROM (WITH RECURSIVE e AS (SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice / 100000 AS score,"
     " row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),"
     " w AS (SELECT run, i, epoch, score AS best, 0 AS wait, epoch AS best_epoch, CAST(NULL AS bigint) AS stop_epoch FROM e WHERE i = 1"
@@ -294,7 +293,11 @@ def _(spark, d):
     " CASE WHEN e.score > best + 0.1 THEN 0 ELSE wait + 1 END, CASE WHEN e.score > best + 0.1 THEN e.epoch ELSE best_epoch END,"
     " CASE WHEN NOT e.score > best + 0.1 AND wait + 1 >= 4 THEN e.epoch END"
     " FROM w JOIN e ON e.run = w.run AND e.i = w.i + 1 WHERE w.stop_epoch IS NULL)"
-    " SELECT run, arg_max(best_epoch, i) AS best_epoch, max(stop_epoch) AS stop_epoch FROM w GROUP BY run)")
+    " SELECT run, arg_max(best_epoch, i) AS best_epoch, max(stop_epoch) AS stop_epoch FROM w GROUP BY run)"
+)
+
+
+@query("w20_early_stop_min_delta", MIN_DELTA_SQL)
 def _(spark, d):
     return epochs.early_stop_min_delta(view(spark, d, "epochs").drop("trait"), 4, 0.1)
 
@@ -330,10 +333,16 @@ SCREEN = (
 )
 
 
-def screened(spark, d):
+def screened(spark, d, score=screen.dependence_screen):
     traits = samples(spark, d).select("sample_id", "bw", "le")
     n = screen.pool_cells(traits, ["bw", "le"])
-    return screen.dependence_screen(calls(spark, d), screen.trait_cells(traits, ["bw", "le"], n), n)
+    return score(calls(spark, d), screen.trait_cells(traits, ["bw", "le"], n), n)
+
+
+@query("m01_dependence_coefficient", None, (), ["score"])
+def _(spark, d):
+    """The best cuts of every marker; tests/test_screen.py holds it against all cuts there are."""
+    return screened(spark, d, screen.dependence_coefficient)
 
 
 @query("m01_dependence_screen", SCREEN + "SELECT * FROM sc", ["samples", "calls"], ["score"])

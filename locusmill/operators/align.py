@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import id_aliases
 from ..plans.joins import attach_measured
 from ..plans.session import stable
-from .checks import CheckFailed, duplicates, require_empty
+from .checks import CheckFailed, duplicates, is_finite, require_empty
 
 DIRECT_MATCH_SHARE = 0.1
 
@@ -174,7 +174,8 @@ def attach_context(folds: DataFrame, sources: dict[str, DataFrame]) -> DataFrame
     """Join covariate arrays of one or several sources into one ``context`` array.
 
     Each source has (seed, fold, sample_id, split, pcs).  A sample without
-    covariates, or listed under another split, is an error.
+    covariates, listed under another split, or with a covariate that is missing
+    or not finite, is an error.
     """
     keys = ["seed", "fold", "sample_id"]
     out, arrays = folds, []
@@ -188,18 +189,20 @@ def attach_context(folds: DataFrame, sources: dict[str, DataFrame]) -> DataFrame
                 F.lit(f"{name}: no covariates for sample "), F.col("sample_id").cast("string"))))
             .when(F.col(f"_s{i}") != F.col("split"), F.raise_error(F.concat(
                 F.lit(f"{name}: split differs for sample "), F.col("sample_id").cast("string"))))
+            .when(F.exists(f"_p{i}", lambda x: ~is_finite(x)), F.raise_error(F.concat(
+                F.lit(f"{name}: covariate not finite for sample "), F.col("sample_id").cast("string"))))
             .otherwise(F.col(f"_p{i}"))
         )
     return out.select(*keys, "split", F.concat(*arrays).alias("context"))
 
 
 def context_problems(folds: DataFrame, source: DataFrame) -> DataFrame:
-    """Samples of the folds without covariates, or under another split."""
+    """Samples of the folds without covariates, under another split, or with covariates that are not finite."""
     keys = ["seed", "fold", "sample_id"]
-    both = folds.join(source.select(*keys, F.col("split").alias("source_split")), keys, "left")
-    return both.where(
-        F.col("source_split").isNull() | (F.col("source_split") != F.col("split"))
-    )
+    bad = F.coalesce(F.exists("pcs", lambda x: ~is_finite(x)), F.lit(True))
+    both = folds.join(source.select(*keys, F.col("split").alias("source_split"), bad.alias("_bad")), keys, "left")
+    wrong = F.col("source_split").isNull() | (F.col("source_split") != F.col("split")) | F.col("_bad")
+    return both.where(wrong).drop("_bad")
 
 
 def pair_truth_prediction(

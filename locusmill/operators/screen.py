@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,8 @@ MIN_PAIRS = 10
 MIN_GRID = 4
 CELLS = 240
 SCORED_AT_ONCE = 512
+CUTS_AT_ONCE = 1 << 20
+"""Pairs of cuts that one step of the optimiser holds; bounds a task's memory."""
 
 
 def pool_cells(phenotypes: DataFrame, traits: Sequence[str]) -> int:
@@ -79,6 +81,78 @@ def grid_scores(tables: np.ndarray) -> np.ndarray:
     return best
 
 
+def _clumps(joint: np.ndarray) -> np.ndarray:
+    """Counts of groups x cells with empty cells left out and neighbours of one and the same group merged.
+
+    No best cut lies within such a clump.
+    """
+    joint = joint[:, joint.any(axis=0)]
+    pure = np.where((joint > 0).sum(axis=0) == 1, joint.argmax(axis=0), -1)
+    first = np.ones(len(pure), bool)
+    first[1:] = (pure[1:] != pure[:-1]) | (pure[1:] < 0)
+    return np.add.reduceat(joint, np.flatnonzero(first), axis=1)
+
+
+def best_cuts(joints: list[np.ndarray], bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest mutual information in nats of each table with its trait axis cut into at most 2, and at most ``bins``, bins.
+
+    The best cut of the first t clumps into b bins ends with some bin (s, t] after
+    a best cut of the first s into b - 1, as bins add up in the conditional
+    entropy.  Every table takes clumps^2 x bins steps, many tables at once.
+    """
+    width = max(j.shape[1] for j in joints)
+    rows, groups = len(joints), joints[0].shape[0]
+    table = np.zeros((rows, groups, width))
+    for i, j in enumerate(joints):
+        table[i, :, : j.shape[1]] = j
+    running = np.concatenate([np.zeros((rows, groups, 1)), np.cumsum(table, axis=2)], axis=2)
+    inside = np.maximum(running[:, :, None, :] - running[:, :, :, None], 0)  # counts after s, up to t
+    gain = _entropy_terms(inside).sum(axis=1) - _entropy_terms(inside.sum(axis=1))
+    gain[:, np.tri(width + 1, k=-1, dtype=bool)] = -np.inf
+    total = running[:, :, -1]
+    n = total.sum(axis=1)
+    fixed = _entropy_terms(n) - _entropy_terms(total).sum(axis=1)
+    best, two, most = gain[:, 0, :], None, np.zeros(rows)
+    for b in range(2, int(bins.max()) + 1):
+        further = (best[:, :, None] + gain).max(axis=1)
+        settled, best = b > 2 and np.array_equal(further, best), further
+        two = best[:, -1] if two is None else two
+        most = np.where(bins >= b, best[:, -1], most)
+        if settled:
+            break
+    return (two + fixed) / n, (most + fixed) / n
+
+
+def optimal_scores(tables: np.ndarray) -> np.ndarray:
+    """Maximal information coefficient per table of rows x 3 dosages x cells, over all cuts between cells.
+
+    Grids are those of ``grid_scores``, but a grid of b bins takes its best cut
+    instead of the equal-frequency one.  More bins never lose information, so
+    of each grouping the finest grid and, for three groups, the one of two bins
+    (which has a smaller divisor) hold the maximum.
+    """
+    budget = np.maximum(tables.sum(axis=(1, 2)) ** ALPHA, MIN_GRID)
+    best = np.zeros(len(tables))
+    low, mid, high = tables[:, 0], tables[:, 1], tables[:, 2]
+    for joint in (np.stack([low, mid + high], 1), np.stack([low + mid, high], 1), tables):
+        groups = joint.shape[1]
+        bins = (budget // groups).astype(int)
+        use = np.flatnonzero((bins >= 2) & ((joint.sum(axis=2) > 0).sum(axis=1) >= 2))
+        clumps = {i: _clumps(joint[i]) for i in use.tolist()}
+        order = sorted(clumps, key=lambda i: (clumps[i].shape[1], bins[i]))
+        at = 0
+        while at < len(order):
+            size = 1
+            while at + size < len(order) and (size + 1) * (clumps[order[at + size]].shape[1] + 1) ** 2 <= CUTS_AT_ONCE:
+                size += 1
+            some = np.array(order[at : at + size])
+            two, most = best_cuts([clumps[i] for i in some.tolist()], bins[some])
+            score = most / np.log(np.minimum(groups, bins[some]))
+            best[some] = np.maximum.reduce([best[some], score, two / np.log(2)])
+            at += size
+    return best
+
+
 def _table(at: np.ndarray, counts: np.ndarray, cells: int) -> np.ndarray:
     table = np.zeros(3 * cells)
     table[at] = counts
@@ -97,6 +171,20 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
     Calls are counted per (marker, trait, dosage, cell) first, so a marker of
     any size reaches its task as at most 3 x ``cells`` counts.
     """
+    return _screened(calls, cells_of, cells, grid_scores)
+
+
+def dependence_coefficient(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS) -> DataFrame:
+    """``dependence_screen`` with the trait axis cut where the information is largest: the coefficient itself.
+
+    Cuts lie between cells, so it is exact where no two values share a cell,
+    and never below the equal-frequency score.
+    """
+    return _screened(calls, cells_of, cells, optimal_scores)
+
+
+def _screened(calls: DataFrame, cells_of: DataFrame, cells: int, scores: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Counts of each marker and trait, scored by tables."""
     pairs = attach_measured(calls.where("dosage IS NOT NULL"), cells_of, ["sample_id"])
     counted = pairs.groupBy("marker_idx", "trait", "dosage", "cell").agg(
         F.count(F.lit(1)).alias("c"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
@@ -116,7 +204,7 @@ def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS)
             for start in range(0, len(places), SCORED_AT_ONCE):
                 tables = [_table(at, c, cells) for at, c in zip(
                     places[start:start + SCORED_AT_ONCE], sizes[start:start + SCORED_AT_ONCE])]
-                out.append(grid_scores(np.stack(tables)))
+                out.append(scores(np.stack(tables)))
             yield pd.Series(np.concatenate(out))
 
     value = (

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.checks import duplicates, require_empty
+from ..plans.scan import with_row_number
+from ..plans.session import stable
+
 ORIENTATION = "0=allele1 homozygote,1=heterozygote,2=allele2 homozygote"
 
 
@@ -51,6 +55,52 @@ def sink_table(df: DataFrame, path: str, form: str = "csv") -> None:
         raise ValueError(f"unknown form {form!r}")
 
 
+def export_dosage(
+    calls: DataFrame, markers: DataFrame, phenotypes: DataFrame, path: str, sep: str = ",", missing: str = ""
+) -> str:
+    """Write a wide dosage table, phenotypes and sample IDs below ``path``; returns the table's header line.
+
+    ``calls`` is (sample_id, marker_idx, dosage), ``markers`` (marker_idx,
+    marker_id), ``phenotypes`` sample_id and traits.  ``dosage`` has a line per
+    phenotyped sample with every marker in index order, ``missing`` where there
+    is no call; ``phenotypes`` keeps every digit; ``sample_ids`` lists the same
+    samples; ``header`` names the columns.  Lines and rows are in order of
+    sample IDs over the part files.  A repeated sample, marker ID or call, a
+    call outside 0, 1 and 2, and a call of an unknown marker or sample are
+    errors.  Nothing is overwritten.
+
+    A line is as wide as the table, which is the format; lines are built by
+    sample from placed tokens, and the driver only sees the header.
+    """
+    spark = calls.sparkSession
+    require_empty(duplicates(phenotypes, ["sample_id"]), "duplicate sample")
+    require_empty(duplicates(markers, ["marker_id"]), "duplicate marker ID")
+    require_empty(duplicates(markers, ["marker_idx"]), "duplicate marker index")
+    require_empty(duplicates(calls, ["sample_id", "marker_idx"]), "duplicate call")
+    require_empty(calls.join(phenotypes, "sample_id", "left_anti"), "call of an unknown sample")
+    require_empty(calls.join(markers, "marker_idx", "left_anti"), "call of an unknown marker")
+    require_empty(calls.where("dosage NOT IN (0, 1, 2)"), "unknown dosage")
+    places = stable(with_row_number(markers.select("marker_idx", "marker_id"), [], ["marker_idx"], "place"))
+    width = places.count()
+    header = sep.join(["sample_id", *(r[0] for r in places.orderBy("place").select("marker_id").toLocalIterator())])
+    tokens = calls.where("dosage IS NOT NULL").join(places, "marker_idx")
+    tokens = tokens.select("sample_id", F.struct(F.col("place").cast("int").alias("place"), F.col("dosage").cast("string").alias("t")).alias("r"))
+    lists = tokens.groupBy("sample_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    gap = lambda n: F.repeat(F.lit(sep + missing), n)
+    before = lambda i: F.when(i > 0, F.element_at("r", F.greatest(i, F.lit(1)))["place"]).otherwise(0)
+    placed = F.array_join(F.transform("r", lambda x, i: F.concat(gap(x["place"] - before(i) - 1), F.lit(sep), x["t"])), "")
+    tail = F.concat(placed, gap(F.lit(width) - F.element_at("r", -1)["place"]))
+    line = F.concat(F.col("sample_id").cast("string"), F.coalesce(tail, gap(F.lit(width))))
+    ids = phenotypes.select("sample_id")
+    lines = ids.join(lists, "sample_id", "left").select("sample_id", line.alias("value"))
+    lines.orderBy("sample_id").select("value").write.text(f"{path}/dosage")
+    ordered = phenotypes.select("sample_id", *[c for c in phenotypes.columns if c != "sample_id"]).orderBy("sample_id")
+    ordered.write.option("header", True).csv(f"{path}/phenotypes")
+    ids.orderBy("sample_id").select(F.col("sample_id").cast("string")).write.text(f"{path}/sample_ids")
+    spark.createDataFrame([(header,)], "value string").write.text(f"{path}/header")
+    return header
+
+
 def expected_hashes(manifest: DataFrame, column: str = "files_SHA256") -> DataFrame:
     """(name, sha256) from a manifest's map of file names to hashes."""
     return manifest.select(F.explode(column).alias("name", "sha256"))

@@ -8,8 +8,13 @@ replaces its own output and the newest row per key is the result.
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.metrics import regression_metrics
 
@@ -23,6 +28,9 @@ def _run(updates: DataFrame, path: str, keys: list[str]) -> DataFrame:
         .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    late = sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+    if late:
+        warnings.warn(f"{late} rows came later than the watermark and were left out", stacklevel=3)
     rows = updates.sparkSession.read.parquet(f"{path}/out")
     values = [c for c in rows.columns if c not in (*keys, "batch")]
     latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
@@ -40,12 +48,71 @@ def stream_fold_metrics(feed: DataFrame, path: str, keys: list[str], time: str,
     """Fold metrics refreshed as prediction rows arrive; a sample counts once per key.
 
     A repeated row must come within ``late`` of the first one by its ``time``;
-    older state is dropped, so it stays bounded.
+    older state is dropped, so it stays bounded.  Rows that come later than
+    that are left out, and a warning says how many.
     """
     unique = feed.withWatermark(time, late).dropDuplicatesWithinWatermark([*keys, "sample_id"])
     return _run(regression_metrics(unique, keys), path, keys)
 
 
+_STOP_STATE = (
+    "best double, best_epoch long, wait int, stop_epoch long, applied long, newest long, n_late long, "
+    "epochs array<bigint>, scores array<double>"
+)
+
+
+def _step(state: tuple, epoch: int, score: float, patience: int, min_delta: float) -> tuple:
+    """(best, best epoch, epochs waited, stop epoch) after one more epoch; nothing changes behind the stop."""
+    best, best_epoch, wait, stop = state
+    if stop is not None:
+        return state
+    if best is None or score > best + min_delta:
+        return score, epoch, 0, None
+    return best, best_epoch, wait + 1, epoch if wait + 1 >= patience else None
+
+
+def stream_early_stop(feed: DataFrame, path: str, patience: int, min_delta: float, late: int) -> DataFrame:
+    """(run, best_epoch, stop_epoch, n_late) from a feed of (run, epoch, score) whose rows may come out of order.
+
+    The rule of ``early_stop_min_delta`` depends on the order of epochs.  A run's
+    state holds the outcome up to its newest epoch less ``late`` and, sorted,
+    the epochs after it; these are applied again on top whenever rows arrive,
+    so every batch shows the outcome of all rows so far.  A row for an epoch
+    that was already applied for good, a replayed one as well, changes nothing
+    and is counted in ``n_late``.  A second score of an open epoch replaces none.
+    Rows without run, epoch or score are left out.  State is one row per run and
+    the epochs within ``late`` of its newest one, however long the run is.
+    """
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get if state.exists else (None, None, 0, None, None, None, 0, [], [])
+        outcome, (applied, newest, n_late) = tuple(kept[:4]), kept[4:7]
+        waiting = dict(zip(kept[7], kept[8]))
+        for batch in batches:
+            for epoch, score in zip(batch["epoch"].tolist(), batch["score"].tolist()):
+                if applied is not None and epoch <= applied:
+                    n_late += 1
+                else:
+                    waiting.setdefault(epoch, score)
+                    newest = epoch if newest is None else max(newest, epoch)
+        ready = [e for e in sorted(waiting) if e <= newest - late]
+        for epoch in ready:
+            outcome = _step(outcome, epoch, waiting.pop(epoch), patience, min_delta)
+        applied = max([newest - late, *([] if applied is None else [applied])])
+        still = sorted(waiting)
+        state.update((*outcome, applied, newest, n_late, still, [waiting[e] for e in still]))
+        for epoch in still:
+            outcome = _step(outcome, epoch, waiting[epoch], patience, min_delta)
+        found = {"run": [key[0]], "best_epoch": [outcome[1]], "stop_epoch": [outcome[3]], "n_late": [n_late]}
+        yield pd.DataFrame(found).astype({"best_epoch": "Int64", "stop_epoch": "Int64"})
+
+    kind = feed.schema["run"].dataType.simpleString()
+    known = feed.select("run", F.col("epoch").cast("long").alias("epoch"), F.col("score").cast("double").alias("score")).dropna()
+    out = known.groupBy("run").applyInPandasWithState(
+        advance, f"run {kind}, best_epoch long, stop_epoch long, n_late long", _STOP_STATE, "update", "NoTimeout")
+    return _run(out, path, ["run"])
+
+
 def file_feed(
     spark: SparkSession, folder: str, like: DataFrame, names: str = "*.parquet", files_at_once: int | None = None
 ) -> DataFrame:
@@ -56,4 +123,4 @@ def file_feed(
     return reader.parquet(folder)
 
 
-__all__ = ["file_feed", "stream_fold_metrics", "stream_running_best"]
+__all__ = ["file_feed", "stream_early_stop", "stream_fold_metrics", "stream_running_best"]

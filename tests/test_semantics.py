@@ -406,3 +406,13 @@ def test_imputed_values_equal_the_filled_calls(spark):
     want = every.groupBy("seed", "fold", "split", "marker_idx").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
     got = markers.split_sums(calls(spark), folds(spark), markers.imputed_values(stats, "median"), "x", 2)
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.select(want.columns).collect()))
+
+
+@pytest.mark.parametrize("bad", [NAN, float("inf"), None])
+def test_covariates_are_finite(spark, bad):
+    folds = spark.createDataFrame([(1, 0, "a", "train"), (1, 0, "b", "train")], "seed int, fold int, sample_id string, split string")
+    schema = "seed int, fold int, sample_id string, split string, pcs array<double>"
+    source = spark.createDataFrame([(1, 0, "a", "train", [1.0, 2.0]), (1, 0, "b", "train", [1.0, bad])], schema)
+    with pytest.raises(Exception, match="x: covariate not finite for sample b"):
+        align.attach_context(folds, {"x": source}).collect()
+    assert [r.sample_id for r in align.context_problems(folds, source).collect()] == ["b"]

@@ -214,3 +214,37 @@ def test_packed_scan_in_a_plain_session(spark):
         assert [r[0] for r in bed.scan_bed(spark, path, 10, 2, markers=(1, 3)).select("marker_idx").collect()] == [1, 2]
     finally:
         spark.conf.set(name, before)
+
+
+def _export_tables(spark, calls=((2, 5, 1), (2, 9, 2), (10, 7, 0), (10, 9, None))):
+    return (
+        spark.createDataFrame(list(calls), "sample_id long, marker_idx long, dosage int"),
+        spark.createDataFrame([(9, "c"), (5, "a"), (7, "b")], "marker_idx long, marker_id string"),
+        spark.createDataFrame([(10, 0.1, None), (2, 1 / 3, 2.0), (3, 1e-300, 0.0)], "sample_id long, y double, z double"),
+    )
+
+
+def test_export_dosage(spark, tmp_path):
+    from locusmill.sources import store
+
+    path = str(tmp_path / "out")
+    header = store.export_dosage(*_export_tables(spark), path)
+    lines = lambda part: [r.value for r in spark.read.text(f"{path}/{part}").collect()]
+    assert header == "sample_id,a,b,c" and lines("header") == [header]
+    assert sorted(lines("dosage")) == ["10,,0,", "2,1,,2", "3,,,"]
+    assert sorted(lines("sample_ids")) == ["10", "2", "3"]
+    back = spark.read.option("header", True).schema("sample_id long, y double, z double").csv(f"{path}/phenotypes")
+    assert sorted(tuple(r) for r in back.collect()) == [(2, 1 / 3, 2.0), (3, 1e-300, 0.0), (10, 0.1, None)]
+    with pytest.raises(Exception, match="(?i)exists"):
+        store.export_dosage(*_export_tables(spark), path)
+
+
+@pytest.mark.parametrize("calls, what", [
+    ([(2, 5, 1), (2, 5, 1)], "duplicate call"), ([(4, 5, 1)], "unknown sample"),
+    ([(2, 6, 1)], "unknown marker"), ([(2, 5, 3)], "unknown dosage"),
+])
+def test_export_refuses(spark, tmp_path, calls, what):
+    from locusmill.sources import store
+
+    with pytest.raises(Exception, match=what):
+        store.export_dosage(*_export_tables(spark, calls), str(tmp_path / "out"))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import struct
 from collections import deque
 from functools import lru_cache
 
@@ -82,7 +83,7 @@ class Automaton:
 
     def __init__(self, pieces: dict[str, tuple[int, float]]):
         self.known, self.texts = pieces, {number: text for text, (number, _) in pieces.items()}
-        self.stands: dict[tuple[int, int], bool] = {}
+        self.stands: dict[int, bool] = {}  # by both pieces' ids
         self.goto: list[dict[str, int]] = [{}]
         self.piece: list[tuple[int, float, int] | None] = [None]  # id, score, length
         for text, (number, score) in pieces.items():
@@ -107,6 +108,24 @@ class Automaton:
                 back = self.fail[child]
                 self.output[child] = back if self.piece[back] else self.output[back]
                 queue.append(child)
+        # per node: known moves along goto and failure links, and the pieces on its output links, longest first
+        self.moves: list[dict[str, int]] = [{} for _ in self.goto]
+        self.chain: list[tuple[tuple[int, int], ...]] = [()] * len(self.goto)
+        by_depth = deque([0])
+        while by_depth:
+            node = by_depth.popleft()
+            own = self.piece[node]
+            self.chain[node] = (((own[0], own[2]),) if own else ()) + self.chain[self.output[node]]
+            by_depth.extend(self.goto[node].values())
+
+    def _move(self, node: int, ch: str) -> int:
+        at = node
+        while at and ch not in self.goto[at]:
+            at = self.fail[at]
+        found = self.goto[at].get(ch, 0)
+        if found:  # moves to the start are not kept, so any character may come
+            self.moves[node][ch] = found
+        return found
 
     def best(self, text: str, unknown: float) -> list[tuple[int, int]]:
         """(piece id or -1, end) of the best split; ties go to the longest last piece."""
@@ -147,33 +166,26 @@ class Automaton:
 
     def merged(self, text: str) -> list[tuple[int, int]]:
         """(piece id or -1, end) as merging gives them; each prefix keeps the one piece that its left neighbour leaves standing."""
-        goto, fail, output, piece, stands = self.goto, self.fail, self.output, self.piece, self.stands
+        moves, chain, stands = self.moves, self.chain, self.stands
         n, node = len(text), 0
-        back = [(-1, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            ch = text[end - 1]
-            while node and ch not in goto[node]:
-                node = fail[node]
-            node = goto[node].get(ch, 0)
-            out = node if piece[node] else output[node]
-            back[end] = (-1, end - 1)
-            while out:
-                number, _, length = piece[out]
-                start = end - length
-                left = back[start][0] if start else -1
-                if left < 0:
-                    fits = True
-                else:
-                    fits = stands.get((left, number))
+        last, begin = [-1] * (n + 1), list(range(-1, n))
+        for end, ch in enumerate(text, 1):
+            found = moves[node].get(ch)
+            node = self._move(node, ch) if found is None else found
+            for number, length in chain[node]:
+                left = last[end - length]
+                if left >= 0:
+                    pair = left << 32 | number
+                    fits = stands.get(pair)
                     if fits is None:
                         if len(stands) >= MEMO:
                             stands.clear()
-                        fits = stands[left, number] = self._apart(left, number)
-                if fits:
-                    back[end] = (number, start)
-                    break
-                out = output[out]
-        return _walked(back)
+                        fits = stands[pair] = self._apart(left, number)
+                    if not fits:
+                        continue
+                last[end], begin[end] = number, end - length
+                break
+        return _walked(list(zip(last, begin)))
 
 
 def _walked(back: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -242,7 +254,7 @@ class Encoder:
             else:
                 ids.append(self.unknown_id)
             start = end
-        return np.array(ids, "<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text; spaces count as ``SPACE`` and one is put before it."""

@@ -3,10 +3,6 @@ below the shared folder and read back by the scan, so the work grows with them."
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +11,7 @@ from ..operators import align
 from ..operators.checks import store_shapes
 from ..plans.session import scratch_path, stable
 from ..sources import bed, store, text
+from ..sources.packed_sink import sink_packed
 from ..sources.views import N_FOLDS, calls, panel, preds, table, val_folds, view
 from .joins import FOLDS_SQL, ID_ORDER, fam, requested_ids, sample_folds
 from .registry import query
@@ -50,46 +47,13 @@ def _(spark, d):
     return text.scan_fam(spark, path, "individual")
 
 
-def write_packed(calls_df: DataFrame, n_samples: int, n_markers: int, path: str) -> None:
-    """Write dense calls as one packed file; every task fills its own byte ranges.
-
-    Bytes are addressed by marker and sample chunk, so a retried task writes the
-    same bytes again and no marker is gathered whole.
-    """
-    width, chunk = -(-n_samples // 4), 4096
-    with open(path, "wb") as stream:
-        stream.write(bed.MAGIC)
-        stream.truncate(3 + width * n_markers)
-    code = F.when(F.col("dosage") == 0, 0).when(F.col("dosage") == 1, 2).when(F.col("dosage") == 2, 3).otherwise(1)
-    places = calls_df.select(
-        "marker_idx", F.floor(F.col("sample_id") / chunk).alias("part"),
-        (F.col("sample_id") % chunk).cast("int").alias("at"), code.alias("code"))
-    packed = places.groupBy("marker_idx", "part").agg(F.collect_list("at").alias("at"), F.collect_list("code").alias("code"))
-
-    def put(batches):
-        descriptor = os.open(path, os.O_WRONLY)
-        try:
-            for batch in batches:
-                for marker, part, at, codes in batch.itertuples(index=False):
-                    size = min(chunk, n_samples - part * chunk)
-                    full = np.zeros(-(-size // 4) * 4, dtype=np.uint8)
-                    full[np.asarray(at)] = np.asarray(codes)
-                    quads = full.reshape(-1, 4) << (np.arange(4, dtype=np.uint8) * 2)
-                    os.pwrite(descriptor, quads.sum(axis=1).astype(np.uint8).tobytes(), 3 + marker * width + part * chunk // 4)
-                yield pd.DataFrame({"n": [len(batch)]})
-        finally:
-            os.close(descriptor)
-
-    packed.mapInPandas(put, "n long").agg(F.sum("n")).collect()
-
-
 @query("s03_scan_bed", "SELECT sample_id, marker_idx, dosage FROM v_panel", ["panel"])
 def _(spark, d):
     rows = stable(panel(spark, d))
     ids = rows.select("sample_id").distinct()
     n_samples, n_markers = ids.count(), rows.select("marker_idx").distinct().count()
     path = scratch_path(spark, "bed").removeprefix("file:")
-    write_packed(rows, n_samples, n_markers, path)
+    sink_packed(rows.withColumnRenamed("sample_id", "sample_idx"), n_samples, n_markers, path)
     named = ids.select(F.col("sample_id").alias("sample_idx"), "sample_id")
     return bed.bed_calls(bed.scan_bed(spark, path, n_samples, 2, 16), named)
 

@@ -2,12 +2,16 @@
 
 A file is three magic bytes, then ``ceil(n / 4)`` bytes per marker, four samples
 a byte.  Byte ranges of whole markers become input partitions, and a filter on
-``marker_idx`` drops ranges before anything is read.
+``marker_idx`` drops ranges before anything is read.  A folder with a manifest
+holds the markers in several such files (see ``packed_sink``).
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from pyspark.sql.datasource import (
 
 # File signature and variant-major flag of the packed format.
 MAGIC = b"\x6c\x1b\x01"
+MANIFEST = "manifest.json"
 MISSING = -1
 BATCH_BYTES = 4 << 20
 
@@ -40,8 +45,10 @@ def locate(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class MarkerRange(InputPartition):
-    def __init__(self, markers: list[tuple[int, int]]):
-        self.markers = markers
+    """Runs of markers: file, the file's first marker, first and end of the run."""
+
+    def __init__(self, runs: list[tuple[str, int, int, int]]):
+        self.runs = runs
 
 
 def lookup(count_allele: int) -> np.ndarray:
@@ -69,15 +76,40 @@ class PackedReader(DataSourceReader):
     def width(self) -> int:
         return -(-self.n_samples // 4)
 
-    def partitions(self):
-        files, inner = locate(self.path)
+    def _total(self, files: pafs.FileSystem, inner: str) -> int:
+        """Markers of one file."""
         with files.open_input_file(inner) as stream:
             size = stream.size()
             if stream.read_at(3, 0) != MAGIC:
-                raise ValueError(f"{self.path} is no variant-major packed call file")
+                raise ValueError(f"{inner} is no variant-major packed call file")
         total, rest = divmod(size - 3, self.width)
         if rest:
-            raise ValueError(f"{self.path} is truncated: {rest} bytes after the last whole marker")
+            raise ValueError(f"{inner} is truncated: {rest} bytes after the last whole marker")
+        return total
+
+    def _files(self) -> tuple[list[int], list[str], int]:
+        """First marker of each file, the files, and the number of markers.
+
+        Of a folder only the manifest is read here; a task that meets a short file says so.
+        """
+        files, inner = locate(self.path)
+        kind = files.get_file_info(inner).type
+        if kind == pafs.FileType.NotFound:
+            raise ValueError(f"{self.path} is no file, and no manifest was committed there")
+        if kind != pafs.FileType.Directory:
+            return [0], [inner], self._total(files, inner)
+        if files.get_file_info(f"{inner}/{MANIFEST}").type != pafs.FileType.File:
+            raise ValueError(f"{self.path} has no manifest: nothing was committed there")
+        with files.open_input_file(f"{inner}/{MANIFEST}") as stream:
+            manifest = json.loads(stream.read())
+        for key, given in (("n_samples", self.n_samples), ("count_allele", self.count_allele)):
+            if manifest[key] != given:
+                raise ValueError(f"{self.path} was written with {key} {manifest[key]}, not {given}")
+        parts = manifest["parts"]
+        return [p["first"] for p in parts], [f"{inner}/{p['file']}" for p in parts], manifest["n_markers"]
+
+    def partitions(self):
+        firsts, names, total = self._files()
         stop = total if self.high is None else min(total, self.high)
         if self.listed is None:
             runs = [(self.low, stop)] if self.low < stop else []
@@ -86,8 +118,10 @@ class PackedReader(DataSourceReader):
         parts, current, held = [], [], 0
         for start, end in runs:
             while start < end:
-                take = min(end - start, self.per_partition - held)
-                current.append((start, start + take))
+                k = bisect_right(firsts, start) - 1
+                last = firsts[k + 1] if k + 1 < len(firsts) else total
+                take = min(end - start, self.per_partition - held, last - start)
+                current.append((names[k], firsts[k], start, start + take))
                 start, held = start + take, held + take
                 if held == self.per_partition:
                     parts.append(MarkerRange(current))
@@ -99,12 +133,11 @@ class PackedReader(DataSourceReader):
     def read(self, partition: MarkerRange) -> Iterator[pa.RecordBatch]:
         table = lookup(self.count_allele)
         step = max(1, BATCH_BYTES // max(self.width, 1))
-        files, inner = locate(self.path)
-        with files.open_input_file(inner) as stream:
-            for start, end in partition.markers:
-                for first in range(start, end, step):
-                    count = min(step, end - first)
-                    data = stream.read_at(count * self.width, 3 + first * self.width)
+        files, _ = locate(self.path)
+        for name, runs in groupby(partition.runs, key=lambda run: run[0]):
+            with files.open_input_file(name) as stream:
+                for first, count, begin in ((m, min(step, end - m), base) for _, base, start, end in runs for m in range(start, end, step)):
+                    data = stream.read_at(count * self.width, 3 + (first - begin) * self.width)
                     if len(data) != count * self.width:
                         raise ValueError(f"short read at marker {first}")
                     codes = table[np.frombuffer(data, dtype=np.uint8).reshape(count, self.width)]
@@ -148,6 +181,13 @@ class PackedCalls(DataSource):
     def reader(self, schema) -> PackedReader:
         return (FilteringReader if self.options.get("filters") == "true" else PackedReader)(self.options)
 
+    def writer(self, schema, overwrite: bool):
+        from .packed_sink import PackedWriter
+
+        if overwrite:
+            raise ValueError("a packed store is never overwritten")
+        return PackedWriter(self.options)
+
 
 def scan_bed(
     spark: SparkSession, path: str, n_samples: int, count_allele: int, markers_per_partition: int = 4096,
@@ -158,8 +198,8 @@ def scan_bed(
     ``markers`` bounds the markers read (first, end).  Where the session lets
     Python sources take filters, a filter on ``marker_idx`` does the same.
 
-    ``path`` is a path on a mount all executors share, or a URI that Arrow's
-    file systems read.  The counted allele has no default, because both
+    ``path`` is a packed file, or a folder that ``sink_packed`` wrote, on a mount
+    all executors share, or a URI that Arrow's file systems read.  The counted allele has no default, because both
     orientations are in use.
     """
     lookup(count_allele)

@@ -199,13 +199,13 @@ def test_file_hashes(spark, tmp_path):
 
 def test_packed_scan_in_a_plain_session(spark):
     """Without the setting for filters of Python sources the scan still works, and takes a marker range."""
-    from locusmill.catalog.scans import write_packed
     from locusmill.plans.session import scratch_path
     from locusmill.sources import bed
+    from locusmill.sources.packed_sink import sink_packed
 
-    calls = spark.range(40).selectExpr("id % 10 AS sample_id", "id div 10 AS marker_idx", "cast(id % 3 AS int) AS dosage")
+    calls = spark.range(40).selectExpr("id % 10 AS sample_idx", "id div 10 AS marker_idx", "cast(id % 3 AS int) AS dosage")
     path = scratch_path(spark, "plain").removeprefix("file:")
-    write_packed(calls, 10, 4, path)
+    sink_packed(calls, 10, 4, path, partitions=3)
     name = "spark.sql.python.filterPushdown.enabled"
     before = spark.conf.get(name)
     spark.conf.set(name, "false")
@@ -216,6 +216,58 @@ def test_packed_scan_in_a_plain_session(spark):
         spark.conf.set(name, before)
 
 
+@pytest.mark.parametrize("n_samples, count_allele", [(10, 2), (9001, 1)])
+def test_packed_store_round_trip(spark, tmp_path, n_samples, count_allele):
+    """Calls over several chunks and parts come back; absent and NULL calls are missing."""
+    from locusmill.sources import bed
+    from locusmill.sources.packed_sink import sink_packed
+
+    calls = spark.range(7 * n_samples).selectExpr(
+        f"id % {n_samples} AS sample_idx", f"id div {n_samples} AS marker_idx",
+        "CASE WHEN id % 5 < 3 THEN cast(id % 5 AS int) END AS dosage").where("marker_idx <> 4 AND sample_idx % 7 <> 3")
+    path = str(tmp_path / "store")
+    sink_packed(calls, n_samples, 7, path, count_allele, partitions=3)
+    assert len(list((tmp_path / "store").glob("*.bed"))) > 1
+    rows = {r.marker_idx: r.codes for r in bed.scan_bed(spark, path, n_samples, count_allele, 2).collect()}
+    wanted = {(r.marker_idx, r.sample_idx): r.dosage for r in calls.collect()}
+    assert sorted(rows) == list(range(7))
+    assert all(rows[m] == [wanted.get((m, s)) for s in range(n_samples)] for m in rows)
+    assert [r[0] for r in bed.scan_bed(spark, path, n_samples, count_allele).where("marker_idx IN (1, 5)").select("marker_idx").collect()] == [1, 5]
+    with pytest.raises(Exception, match="exists"):
+        sink_packed(calls, n_samples, 7, path, count_allele)
+    with pytest.raises(Exception, match="n_samples"):
+        bed.scan_bed(spark, path, n_samples + 1, count_allele).count()
+
+
+@pytest.mark.parametrize("extra, what", [((3, 2, 1), "two calls"), ((10, 0, 1), "out of range"), ((0, 9, 1), "out of range"), ((0, 0, 3), "out of range")])
+def test_packed_store_leaves_nothing_behind(spark, tmp_path, extra, what):
+    """A job that fails in one task publishes nothing and removes the files of the others."""
+    from locusmill.sources import bed
+    from locusmill.sources.packed_sink import sink_packed
+
+    schema = "sample_idx long, marker_idx long, dosage int"
+    calls = spark.createDataFrame([(s, m, 1) for s in range(10) for m in range(8) if (s, m) != (0, 0)] + [extra], schema)
+    path = str(tmp_path / "store")
+    with pytest.raises(Exception, match=what):
+        sink_packed(calls, 10, 8, path, partitions=4)
+    assert not list((tmp_path / "store").glob("*"))
+    with pytest.raises(Exception, match="manifest"):
+        bed.scan_bed(spark, path, 10, 2).count()
+
+
+def test_packed_store_drops_files_of_lost_attempts(tmp_path):
+    from locusmill.sources.packed_sink import PackedWriter, WrittenPart
+
+    options = {"path": str(tmp_path), "n_samples": "4", "n_markers": "2", "count_allele": "2"}
+    writer = PackedWriter(options)
+    for name in ("a", "b"):
+        (tmp_path / f"{writer.run}-{name}.bed").write_bytes(b"")
+    with pytest.raises(ValueError, match="2 markers"):
+        writer.commit([WrittenPart(f"{writer.run}-a.bed", 0, 1), None])
+    writer.commit([WrittenPart(f"{writer.run}-a.bed", 0, 2), WrittenPart(None, 0, 0)])
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted([f"{writer.run}-a.bed", "manifest.json"])
+
+
 def _export_tables(spark, calls=((2, 5, 1), (2, 9, 2), (10, 7, 0), (10, 9, None))):
     return (
         spark.createDataFrame(list(calls), "sample_id long, marker_idx long, dosage int"),

@@ -157,7 +157,6 @@ INTERVALS = (
     " loc AS (SELECT m.marker_idx, m.chrom, m.pos, iv.start, iv.\"end\", iv.kind FROM v_markers m LEFT JOIN iv"
     " ON m.chrom = iv.chrom AND m.pos BETWEEN iv.start AND iv.\"end\") "
 )
-BIN = 1000
 
 
 @query(
@@ -166,7 +165,7 @@ BIN = 1000
     ["markers", "genes"],
 )
 def _(spark, d):
-    located = intervals.locate_in_interval(view(spark, d, "markers"), genes_intervals(spark, d), BIN)
+    located = intervals.locate_in_interval(view(spark, d, "markers"), genes_intervals(spark, d))
     return intervals.interval_marker_counts(located)
 
 

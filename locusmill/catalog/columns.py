@@ -8,7 +8,7 @@ from ..functions import codes, scaling
 from ..operators import checks, intervals
 from ..plans.session import stable
 from ..sources.views import genes_intervals, preds, raw_calls, table, val_folds, vectors, view
-from .aggregates import BIN, ENCODED, INTERVALS, encoded
+from .aggregates import ENCODED, INTERVALS, encoded
 from .registry import query
 
 SPELLED = (
@@ -338,7 +338,7 @@ FEATURE_COLUMNS = ["center", "length", "density", "is_gene"]
 
 def marker_features(spark, d):
     markers = view(spark, d, "markers").select("marker_idx", "chrom", "pos")
-    return intervals.interval_features(markers, genes_intervals(spark, d), BIN)
+    return intervals.interval_features(markers, genes_intervals(spark, d))
 
 
 @query("f09_interval_features", FEATURES_SQL + "SELECT * FROM feat", ["markers", "genes"], FEATURE_COLUMNS)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, checks, intervals, matrix
 from ..sources.views import N_FOLDS, calls, genes_intervals, panel, preds, table, val_folds, view
-from .aggregates import BIN, INTERVALS
+from .aggregates import INTERVALS
 from .columns import FEATURES_SQL, marker_features
 from .registry import query
 
@@ -155,7 +155,7 @@ def _(spark, d):
 @query("j07_locate_in_interval", INTERVALS + "SELECT * FROM loc", ["markers", "genes"])
 def _(spark, d):
     markers = view(spark, d, "markers").select("marker_idx", "chrom", "pos")
-    return intervals.locate_in_interval(markers, genes_intervals(spark, d), BIN)
+    return intervals.locate_in_interval(markers, genes_intervals(spark, d))
 
 
 @query(
@@ -169,7 +169,7 @@ def _(spark, d):
     genes = view(spark, d, "genes").select(
         F.concat(F.lit("chr"), "chrom").alias("chrom"), F.col("g_start").alias("start"),
         F.col("g_end").alias("end"), F.lit("gene").alias("kind"))
-    return intervals.locate_in_interval(markers, genes, BIN, "left").where("start IS NOT NULL").select(
+    return intervals.locate_in_interval(markers, genes).where("start IS NOT NULL").select(
         "marker_idx", "start", "end")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import epochs, markers, screen, splits, tiling
 from ..plans.session import stable
 from ..sources.views import calls, genes_intervals, table, view
-from .aggregates import BIN, INTERVALS
+from .aggregates import INTERVALS
 from .registry import query
 
 SHUFFLED = "(sample_id * 7919 + 13) % 10007"
@@ -188,14 +188,14 @@ STARTS = ORDERED + (
 
 @query("w13_tile_gene_boundary", STARTS + "SELECT start FROM st", ["markers", "genes"])
 def _(spark, d):
-    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), BIN))
+    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes")))
     return tiling.boundary_starts(located, TILE)
 
 
 @query("w14_tile_merge_split")
 def _(spark, d):
     lengths = view(spark, d, "markers").groupBy("chrom").agg((F.max("pos") + 1000).alias("length"))
-    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), BIN, lengths))
+    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), lengths))
     starts = tiling.boundary_starts(located, TILE)
     starts = tiling.merge_small(tiling.tile_table(tiling.tiles_from_starts(located, starts)), TILE)
     return tiling.tile_table(tiling.tiles_from_starts(located, tiling.split_large(located, starts, TILE)))

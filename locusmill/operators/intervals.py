@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import plain_chrom
@@ -10,8 +10,6 @@ from ..plans.joins import attach_measured
 from ..plans.scan import prefix_scan, upper_median
 from ..plans.session import stable
 
-BIN_WIDTH = 100_000
-
 
 def gap_fill_intervals(genes: DataFrame, lengths: DataFrame) -> DataFrame:
     """Alternating gene and non-gene intervals per chromosome.
@@ -49,36 +47,43 @@ def overlapping_genes(genes: DataFrame) -> DataFrame:
     return scanned.where("g_start <= furthest")
 
 
-def _bins(low: Column, high: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
-
-
-def locate_in_interval(
-    markers: DataFrame, intervals: DataFrame, bin_width: int = BIN_WIDTH, how: str = "left"
-) -> DataFrame:
-    """The interval that holds each marker, NULL where there is none.
+def visible_stretches(intervals: DataFrame) -> DataFrame:
+    """(_chrom, _low, end, start, kind): where each interval is the one of lowest start that holds a position.
 
-    Both sides meet on (chromosome, position bin), an equality join whose keys
-    cover at most ``bin_width`` positions, so neither a hot chromosome nor a
-    long interval list ends up in one task.  Chromosomes match with or without
-    a ``chr`` prefix.  Where intervals overlap the lowest start wins.
+    An interval shows from behind the furthest end before it to its own end, so
+    the stretches of a chromosome are disjoint.  Of intervals with one start the
+    longest shows, then the first kind by name.
     """
-    spread = intervals.select(
-        plain_chrom("chrom").alias("_chrom"), F.col("start").cast("long").alias("start"),
-        F.col("end").cast("long").alias("end"), (F.col("kind") == "gene").alias("_gene"),
-    ).withColumn("_bin", _bins(F.col("start"), F.col("end"), bin_width))
-    keyed = markers.withColumn("_chrom", plain_chrom("chrom")).withColumn(
-        "_bin", F.floor(F.col("pos") / bin_width))
-    inside = (
-        (keyed["_chrom"] == spread["_chrom"]) & (keyed["_bin"] == spread["_bin"])
-        & (F.col("start") <= F.col("pos")) & (F.col("pos") <= F.col("end"))
-    )
-    # one marker meets one bin, so only overlapping intervals give several rows here
-    hits = keyed.join(spread, inside, how).groupBy(*[keyed[c] for c in markers.columns]).agg(
-        F.min("start").alias("start"), F.min_by("end", "start").alias("end"),
-        F.min_by("_gene", "start").alias("_gene"))
-    kind = F.when(F.col("_gene"), "gene").when(~F.col("_gene"), "non-gene")
-    return hits.withColumn("kind", kind).drop("_gene")
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    known = intervals.select(plain_chrom("chrom").alias("_chrom"), start.alias("start"), end.alias("end"), "kind")
+    known = known.where("_chrom IS NOT NULL AND start <= end")
+    scanned = prefix_scan(known, ["_chrom"], ["start", F.col("end").desc(), "kind"], {"furthest": ("max", F.col("end"), False)})
+    low = F.greatest("start", F.col("furthest") + 1)  # NULL counts for nothing
+    return scanned.select("_chrom", low.alias("_low"), "end", "start", "kind").where("_low <= end")
+
+
+def locate_in_interval(markers: DataFrame, intervals: DataFrame, how: str = "left") -> DataFrame:
+    """The interval that holds each marker, NULL where there is none; ``how="inner"`` leaves such markers out.
+
+    Markers and the stretches where intervals show are sorted as one table by
+    chromosome and position, and the last stretch is carried along: a marker is
+    in it or in none.  An interval is one row however long it is, and a hot
+    chromosome covers many slices.  Chromosomes match with or without a ``chr``
+    prefix.  Where intervals overlap the lowest start wins.  Markers without a
+    chromosome or position are in no interval; repeated markers stay.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"unknown join {how!r}")
+    shown = visible_stretches(intervals)
+    held = F.struct("end", "start", "kind")
+    row = F.struct(*markers.columns)
+    points = markers.select(plain_chrom("chrom").alias("_chrom"), F.col("pos").alias("_at"), F.lit(True).alias("_marker"), row.alias("_row"))
+    edges = shown.select("_chrom", F.col("_low").alias("_at"), F.lit(False).alias("_marker"), held.alias("_held"))
+    both = points.unionByName(edges, allowMissingColumns=True)
+    scanned = prefix_scan(both, ["_chrom"], ["_at", "_marker"], {"_in": ("last", F.col("_held"), True)}).where("_marker")
+    inside = F.col("_chrom").isNotNull() & (F.col("_at") <= F.col("_in.end"))
+    out = scanned.select("_row.*", *[F.when(inside, F.col(f"_in.{c}")).alias(c) for c in ("start", "end", "kind")])
+    return out.where("start IS NOT NULL") if how == "inner" else out
 
 
 def interval_marker_counts(located: DataFrame) -> DataFrame:
@@ -113,11 +118,9 @@ def interval_lengths(intervals: DataFrame) -> DataFrame:
     return stats.join(upper_median(both, ["kind"], "len", "median"), "kind")
 
 
-def interval_features(
-    markers: DataFrame, intervals: DataFrame, bin_width: int = BIN_WIDTH
-) -> DataFrame:
+def interval_features(markers: DataFrame, intervals: DataFrame) -> DataFrame:
     """Six position features per marker; 0 in the last four where no interval holds it."""
-    located = stable(locate_in_interval(markers, intervals, bin_width))
+    located = stable(locate_in_interval(markers, intervals))
     counts = interval_marker_counts(located).withColumnRenamed("chrom", "_chrom")
     out = attach_measured(
         located.withColumn("_chrom", plain_chrom("chrom")), counts, ["_chrom", "start", "end"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scan import exact_quantiles, prefix_scan, with_row_number
 from ..plans.session import stable
-from .intervals import gap_fill_intervals, BIN_WIDTH, locate_in_interval
+from .intervals import gap_fill_intervals, locate_in_interval
 
 SMALL_SHARE = 5
 LARGE_FACTOR = 2
@@ -38,7 +38,7 @@ def initial_tiles(ordered: DataFrame, size: int) -> DataFrame:
 
 
 def gene_of_marker(
-    ordered: DataFrame, genes: DataFrame, bin_width: int = BIN_WIDTH, lengths: DataFrame | None = None
+    ordered: DataFrame, genes: DataFrame, lengths: DataFrame | None = None
 ) -> DataFrame:
     """``ordered`` plus the start of the gene that holds the marker (NULL: none), and ``in_gap``.
 
@@ -49,7 +49,7 @@ def gene_of_marker(
                          F.lit("gene").alias("kind"))
     if lengths is not None:
         spans = gap_fill_intervals(genes, lengths).select("chrom", "start", "end", "kind")
-    located = locate_in_interval(ordered, spans, bin_width)
+    located = locate_in_interval(ordered, spans)
     in_gene = F.col("kind").eqNullSafe(F.lit("gene"))
     in_gap = F.col("kind").eqNullSafe(F.lit("non-gene")) if lengths is not None else ~in_gene
     return located.select(*ordered.columns, F.when(in_gene, F.col("start")).alias("gene_start"), in_gap.alias("in_gap"))
@@ -140,10 +140,10 @@ def split_chromosomes(located: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def partition_genome(
-    markers: DataFrame, genes: DataFrame, size: int, bin_width: int = BIN_WIDTH, lengths: DataFrame | None = None
+    markers: DataFrame, genes: DataFrame, size: int, lengths: DataFrame | None = None
 ) -> DataFrame:
     """All steps: markers in order with their final ``tile_id``."""
-    located = stable(gene_of_marker(order_index(markers), genes, bin_width, lengths))
+    located = stable(gene_of_marker(order_index(markers), genes, lengths))
     starts = boundary_starts(located, size)
     starts = merge_small(tile_table(tiles_from_starts(located, starts)), size)
     starts = split_large(located, starts, size)

@@ -258,12 +258,44 @@ def test_gap_fill(spark):
 def test_overlapping_intervals_take_lowest_start(spark):
     spans = spark.createDataFrame([("1", 0, 100, "gene"), ("1", 50, 60, "gene")], "chrom string, start long, end long, kind string")
     where = spark.createDataFrame([(0, "chr1", 55), (1, "1.0", 101)], "marker_idx int, chrom string, pos long")
-    out = {r.marker_idx: r.start for r in intervals.locate_in_interval(where, spans, 7).collect()}
+    out = {r.marker_idx: r.start for r in intervals.locate_in_interval(where, spans).collect()}
     assert out == {0: 0, 1: None}
     genes = spans.toDF("chrom", "g_start", "g_end", "kind")
     assert [r.g_start for r in intervals.overlapping_genes(genes).collect()] == [50]
 
 
+def test_locate_against_every_pair(spark):
+    """Overlapping, nested, equal and empty intervals, one of 250 million positions, and markers without a place."""
+    import random
+
+    rng = random.Random(5)
+    spans = [(rng.choice(["chr1", "2"]), a := rng.randrange(300), a + rng.randrange(-3, 60), rng.choice(["gene", "non-gene"])) for _ in range(60)]
+    spans += [("3", 0, 250_000_000, "non-gene"), ("3", 5, 9, "gene"), (None, 0, 400, "gene"), ("1", None, 400, "gene"), spans[0]]
+    points = [(i, rng.choice(["1", "chr2", "3.0", "4"]), rng.randrange(-5, 380)) for i in range(300)]
+    points += [(300, "3", 249_999_999), (301, "3", 250_000_001), (302, None, 5), (303, "1", None), points[0]]
+    marks = spark.createDataFrame(points, "marker_idx int, chrom string, pos long")
+    table = spark.createDataFrame(spans, "chrom string, start long, end long, kind string")
+
+    def best(chrom, pos):
+        plain = lambda c: c and c.removeprefix("chr").removesuffix(".0")
+        held = [
+            (s, -e, k) for c, s, e, k in spans
+            if None not in (c, s, chrom, pos) and plain(c) == plain(chrom) and s <= pos <= e
+        ]
+        if not held:
+            return None, None, None
+        s, e, k = min(held)
+        return s, -e, k
+
+    key = lambda r: tuple((x is None, x) for x in r)
+    wanted = sorted(((*p, *best(p[1], p[2])) for p in points), key=key)
+    assert sorted((tuple(r) for r in intervals.locate_in_interval(marks, table).collect()), key=key) == wanted
+    inner = intervals.locate_in_interval(marks, table, "inner").collect()
+    assert sorted((tuple(r) for r in inner), key=key) == [r for r in wanted if r[3] is not None]
+    assert intervals.locate_in_interval(marks, table.limit(0)).where("start IS NOT NULL").isEmpty()
+    assert intervals.locate_in_interval(marks.limit(0), table).isEmpty()
+
+
 def test_early_stop(spark):
     scores = [0.1, 0.5, 0.55, 0.4, 0.58, 0.9, 0.2, 0.2, 0.2, 0.95]
     df = spark.createDataFrame([("r", e, s) for e, s in enumerate(scores)] + [("q", 0, 1.0)], "run string, epoch int, score double")

@@ -7,10 +7,10 @@ import pytest
 from locusmill.operators import tiling
 
 
-def tile_starts(spark, markers, genes, size, bins=100):
+def tile_starts(spark, markers, genes, size):
     frame = spark.createDataFrame([(i, c, p) for i, (c, p) in enumerate(markers)], "marker_idx long, chrom string, pos long")
     spans = spark.createDataFrame(genes, "chrom string, g_start long, g_end long")
-    out = tiling.partition_genome(frame, spans, size, bins).orderBy("ord").collect()
+    out = tiling.partition_genome(frame, spans, size).orderBy("ord").collect()
     assert [r.marker_idx for r in out] == list(range(len(markers)))
     starts = [r.ord for i, r in enumerate(out) if i == 0 or r.tile_id != out[i - 1].tile_id]
     assert sorted({r.tile_id for r in out}) == list(range(len(starts)))
@@ -31,7 +31,7 @@ ONE = lambda n: [("1", p) for p in range(n)]
     ([("1", p) for p in range(4)] + [("2", p) for p in range(8)], [("2", 0, 2)], 4, [0, 4, 8]),  # such an edge does not move
 ])
 def test_by_hand(spark, markers, genes, size, starts):
-    assert tile_starts(spark, markers, genes, size, 7) == starts
+    assert tile_starts(spark, markers, genes, size) == starts
 
 
 def case(seed):

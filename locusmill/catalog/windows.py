@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import epochs, markers, screen, splits, tiling
+from ..plans.scan import with_row_number
 from ..plans.session import stable
 from ..sources.views import calls, genes_intervals, table, view
 from .aggregates import INTERVALS
@@ -192,13 +193,44 @@ def _(spark, d):
     return tiling.boundary_starts(located, TILE)
 
 
-@query("w14_tile_merge_split")
+SMALL_TILE = 8
+"""One gene takes the place of three here, so that several edges fall into it: tiles of this size merge and are cut."""
+
+MERGE_SPLIT = (
+    ", wide AS (SELECT chrom, g_start, coalesce(next - 1, g_end) AS g_end FROM"
+    " (SELECT *, row_number() OVER w AS k, lead(g_start, 3) OVER w AS next FROM v_genes WINDOW w AS (PARTITION BY chrom ORDER BY g_start))"
+    " WHERE k % 4 = 1)"
+    + STARTS.replace("v_genes", "wide").replace(f"ord % {TILE}", f"ord % {SMALL_TILE}")
+    + ", n AS (SELECT count(*) AS total FROM o),"
+    " t AS (SELECT start AS s, lead(start, 1, total) OVER (ORDER BY start) - 1 AS e FROM st, n),"
+    f" head AS (SELECT min(e) AS e FROM t WHERE 5 * (e + 1) >= {SMALL_TILE}),"
+    f" kept AS (SELECT s FROM t WHERE s = 0 OR (5 * (e - s + 1) >= {SMALL_TILE} AND s > (SELECT e FROM head))),"
+    " merged AS (SELECT s, lead(s, 1, total) OVER (ORDER BY s) - 1 AS e FROM kept, n),"
+    " cuts AS (WITH RECURSIVE r(s, e) AS (SELECT s, e FROM merged UNION ALL"
+    " SELECT unnest([s, cut]), unnest([cut - 1, e]) FROM (SELECT r.s, r.e,"
+    " coalesce(min(CASE WHEN ord >= r.s + (r.e - r.s + 1) // 2 THEN ord END), max(CASE WHEN ord < r.s + (r.e - r.s + 1) // 2 THEN ord END)) AS cut"
+    f" FROM r JOIN l ON ord > r.s AND ord < r.e AND g_start IS NULL WHERE r.e - r.s + 1 > 2 * {SMALL_TILE} GROUP BY r.s, r.e))"
+    " SELECT DISTINCT s FROM r),"
+    " tiles AS (SELECT s, lead(s, 1, total) OVER (ORDER BY s) - 1 AS e, row_number() OVER (ORDER BY s) - 1 AS tile_id FROM cuts, n)"
+    " SELECT tile_id, s AS start_idx, e AS end_idx, a.chrom AS start_chrom, b.chrom AS end_chrom, a.pos AS start_pos, b.pos AS end_pos,"
+    " e - s + 1 AS snp_count FROM tiles JOIN o a ON a.ord = s JOIN o b ON b.ord = e"
+)
+
+
+def wide_genes(spark, d):
+    genes = with_row_number(view(spark, d, "genes"), ["chrom"], ["g_start"], "k")
+    third = genes.select("chrom", (F.col("k") - 3).alias("k"), F.col("g_start").alias("next"))
+    first = genes.where("k % 4 = 1").join(third, ["chrom", "k"], "left")
+    return first.select("chrom", "g_start", F.coalesce(F.col("next") - 1, "g_end").alias("g_end"))
+
+
+@query("w14_tile_merge_split", MERGE_SPLIT, ["markers", "genes"])
 def _(spark, d):
     lengths = view(spark, d, "markers").groupBy("chrom").agg((F.max("pos") + 1000).alias("length"))
-    located = stable(tiling.gene_of_marker(ordered(spark, d), view(spark, d, "genes"), lengths))
-    starts = tiling.boundary_starts(located, TILE)
-    starts = tiling.merge_small(tiling.tile_table(tiling.tiles_from_starts(located, starts)), TILE)
-    return tiling.tile_table(tiling.tiles_from_starts(located, tiling.split_large(located, starts, TILE)))
+    located = stable(tiling.gene_of_marker(ordered(spark, d), wide_genes(spark, d), lengths))
+    starts = tiling.boundary_starts(located, SMALL_TILE)
+    starts = tiling.merge_small(tiling.tile_table(tiling.tiles_from_starts(located, starts)), SMALL_TILE)
+    return tiling.tile_table(tiling.tiles_from_starts(located, tiling.split_large(located, starts, SMALL_TILE)))
 
 
 CHROM_TILES = ORDERED + (

@@ -5,8 +5,10 @@ gets its text outside links and its punctuation, per block; both ratios are
 fused, smoothed over the order of the blocks and cut at a share of their
 standard deviation.  The smallest element that holds most of the text of the
 chosen paths is the article, an ``article`` or ``main`` element before others.
-Inside it the paths are scored, smoothed and cut once more, and those that fail
-are left out.
+Inside it the paths are scored, smoothed and cut once more.  What stands between
+passing blocks stays too, and what stands before or after them in an ``article``
+or ``main`` without a division of its own, lists of links excepted.  A name that may mean boilerplate or not weighs against an element: it
+then needs half the ratio of the article's own text.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ _BLOCK = frozenset(
 _ENDS_P = _BLOCK - frozenset(("button", "option", "optgroup", "legend"))
 _DROPPED = frozenset("head nav footer aside form menu button dialog fieldset title search".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
+_DIVISIONS = frozenset(("div", "section"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HINT = re.compile(
     r"(?:^|[-_ ])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumb\w*|sidebar|side-?bar|"
@@ -52,12 +55,17 @@ _HINT = re.compile(
     r"pagination|pager|toolbar|copyright|legal|disclaimer|skip|search\w*|form|alert\w*|outbrain|taboola)(?=$|[-_ 0-9])",
     re.I,
 )
+_DOUBTFUL = frozenset(
+    "ad ads alert aside banner copyright disclaimer foot footer form header legal login notice notices promo recommend recommended related "
+    "search share skip social widget".split()
+)
+"""Hints that also begin or end the names of an article's own parts: alone they are boilerplate, as a part of a longer name they weigh."""
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、¿¡\"'()]")
 
 
 @dataclass
 class Block:
-    """One block: text, characters outside links, elements around it (outermost first), boilerplate or not."""
+    """One block: text, characters outside links, elements around it (outermost first), boilerplate or not, outermost doubtful element (0: none)."""
 
     text: str
     own: int
@@ -65,29 +73,48 @@ class Block:
     elements: tuple[int, ...]
     names: tuple[str, ...]
     boilerplate: bool
+    doubtful: int
+
+
+_OPEN, _DOUBT, _OUT = 0, 1, 2
+
 
+def _name_hint(value: str, heading: bool) -> int:
+    """What a class or id says; a doubtful word says nothing about a heading."""
+    worst = _OPEN
+    for name in value.split():
+        for m in _HINT.finditer(name):
+            word = m.group().strip("-_ ").lower()
+            if word not in _DOUBTFUL:
+                return _OUT
+            if not heading:
+                worst = max(worst, _OUT if word == name.lower() else _DOUBT)
+    return worst
 
-def _hinted(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its tag, role, class, id or because it is hidden."""
+
+def _hinted(name: str, attrs: str, inside: bool) -> int:
+    """Whether an element is boilerplate by its tag, role, class, id or because it is hidden, or may be by its name."""
     if name in _DROPPED or (name == "header" and not inside):
-        return True
+        return _OUT
     if not attrs.strip():
-        return False
+        return _OPEN
+    worst = _OPEN
     for key, a, b, c in _ATTR.findall(attrs):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _HINT.search(value):
-            return not (inside and name == "header")
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not (inside and name == "header"):
+            hint = _name_hint(value, inside and name in _HEADINGS)
+            worst = max(worst, hint if inside else 2 * hint)
         if key == "role" and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
+            return _OUT
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return _OUT
+    return min(worst, _OUT)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order; unclosed and misplaced tags are tolerated."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # name, number, boilerplate
+    stack: list[tuple[str, int, int]] = []  # name, number, hint
     parts: list[str] = []
     own, number, links = 0, 0, 0
 
@@ -99,7 +126,8 @@ def blocks_of(page: str) -> list[Block]:
             solid = [e for e in stack if e[0] in _BLOCK]
             out.append(Block(
                 text, min(own, len(text)), ">".join(e[0] for e in solid), tuple(e[1] for e in solid),
-                tuple(e[0] for e in solid), any(e[2] for e in stack),
+                tuple(e[0] for e in solid), any(e[2] == _OUT for e in stack),
+                next((e[1] for e in stack if e[2] == _DOUBT), 0),
             ))
         own = 0
 
@@ -157,14 +185,20 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def path_scores(blocks: list[Block]) -> list[float]:
-    """Fused and smoothed ratio of each block: its path's text and punctuation per block."""
+def _ratios(blocks: list[Block], group: list) -> dict:
+    """Fused ratio of each group of blocks: text and punctuation per block."""
     length, marks, count = {}, {}, {}
-    for b in blocks:
-        length[b.path] = length.get(b.path, 0) + b.own
-        marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text)) * b.own / max(len(b.text), 1)
-        count[b.path] = count.get(b.path, 0) + 1
-    raw = [length[b.path] / count[b.path] * (1 + marks[b.path] / count[b.path]) for b in blocks]
+    for b, g in zip(blocks, group):
+        length[g] = length.get(g, 0) + b.own
+        marks[g] = marks.get(g, 0) + len(_PUNCTUATION.findall(b.text)) * b.own / max(len(b.text), 1)
+        count[g] = count.get(g, 0) + 1
+    return {g: length[g] / count[g] * (1 + marks[g] / count[g]) for g in count}
+
+
+def path_scores(blocks: list[Block]) -> list[float]:
+    """Fused and smoothed ratio of each block's path."""
+    ratio = _ratios(blocks, [b.path for b in blocks])
+    raw = [ratio[b.path] for b in blocks]
     kernel = (0.25, 0.5, 0.25)
     n = len(raw)
     return [sum(w * raw[min(max(i + d, 0), n - 1)] for d, w in zip((-1, 0, 1), kernel)) for i in range(n)]
@@ -186,8 +220,8 @@ def _passing(blocks: list[Block]) -> set[str]:
     return {p for p in total if total[p] >= cut * count[p]}
 
 
-def _container(blocks: list[Block], chosen: list[int]) -> int | None:
-    """The innermost element with at least ``SHARE`` of the chosen text; an article, then a main element, goes before others."""
+def _container(blocks: list[Block], chosen: list[int]) -> tuple[int | None, bool]:
+    """The innermost element with at least ``SHARE`` of the chosen text, an article, then a main element, before others; whether it is one of these."""
     total = sum(blocks[i].own for i in chosen)
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
@@ -198,23 +232,60 @@ def _container(blocks: list[Block], chosen: list[int]) -> int | None:
             depth[e] = d
             kind[e] = {"article": 2, "main": 1}.get(blocks[i].names[d], 0)
     good = [e for e, n in held.items() if n >= SHARE * total and n > 0]
-    return max(good, key=lambda e: (kind[e], depth[e], -e), default=None)
+    best = max(good, key=lambda e: (kind[e], depth[e], -e), default=None)
+    return best, best is not None and kind[best] > 0
+
+
+def _settled(blocks: list[Block], element: int) -> list[Block]:
+    """The element's blocks that are no boilerplate; those of a doubtful element where it has half the ratio of the others' passing paths or more."""
+    inner = [b for b in blocks if element in b.elements and not b.boilerplate]
+    sure, unsure = [b for b in inner if not b.doubtful], [b for b in inner if b.doubtful]
+    if not unsure or not sure:
+        return inner
+    passing, ratio = _passing(sure), _ratios(sure, [b.path for b in sure])
+    usual = sorted(ratio[b.path] for b in sure if b.path in passing)
+    least = usual[len(usual) // 2] / 2 if usual else 0
+    own = _ratios(unsure, [b.doubtful for b in unsure])
+    return [b for b in inner if not b.doubtful or own[b.doubtful] >= least]
+
+
+def _links_only(blocks: list[Block]) -> list[bool]:
+    """Blocks mostly of links in an element mostly of links."""
+    own: dict[int, int] = {}
+    size: dict[int, int] = {}
+    for b in blocks:
+        for e in b.elements:
+            own[e] = own.get(e, 0) + b.own
+            size[e] = size.get(e, 0) + len(b.text)
+    around = [b.elements[-2] if len(b.elements) > 1 else None for b in blocks]
+    return [2 * b.own < len(b.text) and (e is None or 2 * own[e] < size[e]) for b, e in zip(blocks, around)]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, one line per block; "" where there is none."""
     found = blocks_of(page) if page else []
-    open_ = [b for b in found if not b.boilerplate]
+    known = [b for b in found if not b.boilerplate]
+    open_ = [b for b in known if not b.doubtful] or known
     if not open_:
         return ""
     score = path_scores(open_)
     cut = _cut(score)
     chosen = [i for i, s in enumerate(score) if s >= cut and 2 * open_[i].own >= len(open_[i].text)]
     chosen = chosen or list(range(len(open_)))
-    element = _container(open_, chosen)
-    inner = [b for b in open_ if element in b.elements] if element is not None else [open_[i] for i in chosen]
+    element, named = _container(open_, chosen)
+    inner = _settled(found, element) if element is not None else [open_[i] for i in chosen]
     paths = _passing(inner)
-    return "\n".join(b.text for b in inner if b.names and b.names[-1] in _HEADINGS or b.path in paths and 2 * b.own >= len(b.text))
+    passing = [i for i, b in enumerate(inner) if b.names and b.names[-1] in _HEADINGS or b.path in paths and 2 * b.own >= len(b.text)]
+    if not passing:
+        return ""
+    links, held = _links_only(inner), set(passing)
+
+    def stays(i: int, b: Block) -> bool:
+        if i in held or links[i]:
+            return i in held
+        return passing[0] < i < passing[-1] or named and _DIVISIONS.isdisjoint(b.names[b.elements.index(element) + 1 :])
+
+    return "\n".join(b.text for i, b in enumerate(inner) if stays(i, b))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -169,7 +169,7 @@ def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: i
     keys = ["doc_id", "fp"]
     originals = without(known, copies, keys)
     seeds = originals.mapInArrow(_seed_rows(length, seed_words), "anchor long, doc_id long, fp long")
-    shared = (
+    shared = stable(  # written, so that a join to it can split a hot anchor
         seeds.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         .where("lo < hi").select("anchor")
     )
@@ -180,7 +180,7 @@ def repeated_runs(docs: DataFrame, copies: DataFrame, length: int, seed_words: i
     found = ["doc_id", "fp", "start", "n", "source_id", "source_start"]
     agreed = extended.join(heads.where("source_id < last"), ["anchor", "whole"]).where("doc_id > source_id").select(*found)
 
-    several = heads.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    several = stable(heads.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
     firsts = heads.join(several, "anchor").select("anchor", "whole", F.col("source_id").alias("doc_id"))
     apart = extended.join(firsts, ["anchor", "whole", "doc_id"])
     runs = apart.groupBy(*keys).agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # a document's own

@@ -59,5 +59,5 @@ def _(spark, d):
     step = moved.agg(F.max("_sent")).first()[0] // PARTS + 1
     path = scratch_path(spark, "feed")
     for part in range(PARTS):  # the source reads files by age
-        moved.where(F.floor(F.col("_sent") / step) == part).drop("_sent").coalesce(1).write.mode("append").parquet(path)
+        moved.where(F.floor(F.col("_sent") / step) == part).drop("_sent").repartition(1).write.mode("append").parquet(path)
     return stream_early_stop(file_feed(spark, path, rows, files_at_once=1), scratch_path(spark, "stop"), 4, 0.1, LATE)

@@ -55,9 +55,11 @@ def stream_fold_metrics(feed: DataFrame, path: str, keys: list[str], time: str,
     return _run(regression_metrics(unique, keys), path, keys)
 
 
+RUN_GROUPS = 1 << 14
+"""Groups of runs; each is one call of Python and one state a batch.  A checkpoint keeps its own number."""
 _STOP_STATE = (
-    "best double, best_epoch long, wait int, stop_epoch long, applied long, newest long, n_late long, "
-    "epochs array<bigint>, scores array<double>"
+    "run array<{kind}>, best array<double>, best_epoch array<bigint>, wait array<int>, stop_epoch array<bigint>, applied array<bigint>, "
+    "newest array<bigint>, n_late array<bigint>, epochs array<array<bigint>>, scores array<array<double>>"
 )
 
 
@@ -80,36 +82,45 @@ def stream_early_stop(feed: DataFrame, path: str, patience: int, min_delta: floa
     so every batch shows the outcome of all rows so far.  A row for an epoch
     that was already applied for good, a replayed one as well, changes nothing
     and is counted in ``n_late``.  A second score of an open epoch replaces none.
-    Rows without run, epoch or score are left out.  State is one row per run and
-    the epochs within ``late`` of its newest one, however long the run is.
+    Rows without run, epoch or score are left out.  State is per run one entry and
+    the epochs within ``late`` of its newest one, however long the run is.  Runs are
+    dealt by hash to ``RUN_GROUPS`` groups, as a call for every run and batch would
+    cost far more than its rows.
     """
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else (None, None, 0, None, None, None, 0, [], [])
-        outcome, (applied, newest, n_late) = tuple(kept[:4]), kept[4:7]
-        waiting = dict(zip(kept[7], kept[8]))
+        runs = {}  # run -> [outcome, applied, newest, n_late, open epochs]
+        if state.exists:
+            for run, best, best_epoch, wait, stop, *rest, epochs, scores in zip(*state.get):
+                runs[run] = [(best, best_epoch, wait, stop), *rest, dict(zip(epochs, scores))]
+        seen = {}
         for batch in batches:
-            for epoch, score in zip(batch["epoch"].tolist(), batch["score"].tolist()):
-                if applied is not None and epoch <= applied:
-                    n_late += 1
+            for run, epoch, score in zip(batch["run"].tolist(), batch["epoch"].tolist(), batch["score"].tolist()):
+                seen[run] = now = runs.setdefault(run, [(None, None, 0, None), None, None, 0, {}])
+                if now[1] is not None and epoch <= now[1]:
+                    now[3] += 1
                 else:
-                    waiting.setdefault(epoch, score)
-                    newest = epoch if newest is None else max(newest, epoch)
-        ready = [e for e in sorted(waiting) if e <= newest - late]
-        for epoch in ready:
-            outcome = _step(outcome, epoch, waiting.pop(epoch), patience, min_delta)
-        applied = max([newest - late, *([] if applied is None else [applied])])
-        still = sorted(waiting)
-        state.update((*outcome, applied, newest, n_late, still, [waiting[e] for e in still]))
-        for epoch in still:
-            outcome = _step(outcome, epoch, waiting[epoch], patience, min_delta)
-        found = {"run": [key[0]], "best_epoch": [outcome[1]], "stop_epoch": [outcome[3]], "n_late": [n_late]}
-        yield pd.DataFrame(found).astype({"best_epoch": "Int64", "stop_epoch": "Int64"})
+                    now[4].setdefault(epoch, score)
+                    now[2] = epoch if now[2] is None else max(now[2], epoch)
+        found = []
+        for run, now in seen.items():
+            outcome, applied, newest, n_late, waiting = now
+            for epoch in [e for e in sorted(waiting) if e <= newest - late]:
+                outcome = _step(outcome, epoch, waiting.pop(epoch), patience, min_delta)
+            now[:2] = outcome, newest - late if applied is None else max(newest - late, applied)
+            for epoch in sorted(waiting):
+                outcome = _step(outcome, epoch, waiting[epoch], patience, min_delta)
+            found.append((run, outcome[1], outcome[3], n_late))
+        rows = [(run, *now[0], *now[1:4], list(now[4]), list(now[4].values())) for run, now in runs.items()]
+        state.update(tuple(map(list, zip(*rows))))
+        out = pd.DataFrame(found, columns=["run", "best_epoch", "stop_epoch", "n_late"])
+        yield out.astype({"best_epoch": "Int64", "stop_epoch": "Int64"})
 
     kind = feed.schema["run"].dataType.simpleString()
     known = feed.select("run", F.col("epoch").cast("long").alias("epoch"), F.col("score").cast("double").alias("score")).dropna()
-    out = known.groupBy("run").applyInPandasWithState(
-        advance, f"run {kind}, best_epoch long, stop_epoch long, n_late long", _STOP_STATE, "update", "NoTimeout")
+    known = known.withColumn("_group", F.pmod(F.xxhash64("run"), F.lit(RUN_GROUPS)))
+    out = known.groupBy("_group").applyInPandasWithState(
+        advance, f"run {kind}, best_epoch long, stop_epoch long, n_late long", _STOP_STATE.format(kind=kind), "update", "NoTimeout")
     return _run(out, path, ["run"])
 
 

@@ -52,3 +52,13 @@ def test_late_replayed_and_missing_rows(spark, tmp_path):
 
 def test_one_row(spark, tmp_path):
     assert run(spark, tmp_path, [[("a", 5, -1.0)]], 0) == {"a": (5, None, 0)}
+
+
+def test_runs_share_a_call(spark, tmp_path, monkeypatch):
+    """Many runs, few of them in the second file: what they are grouped by is neither a run nor seen in the result."""
+    monkeypatch.setattr(feeds, "RUN_GROUPS", 3)
+    rng = random.Random(5)
+    runs = {f"r{k}": [(e, rng.random()) for e in range(1, rng.randrange(2, 12))] for k in range(40)}
+    first = [(r, e, s) for r, all_ in runs.items() for e, s in all_[:4]]
+    then = [(r, e, s) for r, all_ in runs.items() for e, s in all_[4:]]
+    assert run(spark, tmp_path, [first, then], 2) == {r: (*direct(s, 3, 0.05), 0) for r, s in runs.items()}

@@ -17,7 +17,8 @@ ALPHA = 0.6
 MIN_PAIRS = 10
 MIN_GRID = 4
 CELLS = 240
-SCORED_AT_ONCE = 512
+TABLES_AT_ONCE = 1 << 19
+"""Counts that are scored in one step; bounds a task's memory."""
 CUTS_AT_ONCE = 1 << 20
 """Pairs of cuts that one step of the optimiser holds; bounds a task's memory."""
 
@@ -49,14 +50,19 @@ def _entropy_terms(counts: np.ndarray) -> np.ndarray:
     return np.where(counts > 0, counts * np.log(np.where(counts > 0, counts, 1.0)), 0.0)
 
 
-def grid_scores(tables: np.ndarray) -> np.ndarray:
+def grid_scores(tables: np.ndarray, places: np.ndarray | None = None, cells: int | None = None) -> np.ndarray:
     """Largest normalised mutual information over the allowed grids, per table.
 
     ``tables`` holds counts of rows x 3 dosages x cells.  The dosage axis takes
     its three groupings, the trait axis every number of bins b (merged adjacent
-    cells) with groups * b <= max(n ** 0.6, 4).
+    cells) with groups * b <= max(n ** 0.6, 4).  Where ``tables`` has columns for
+    some of the ``cells`` only, ``places`` names them, ascending in each row and
+    ``cells`` where a column is unused.
     """
-    rows, _, cells = tables.shape
+    rows, _, width = tables.shape
+    if places is None:
+        places, cells = np.broadcast_to(np.arange(width), (rows, width)), width
+    order = (places + np.arange(rows)[:, None] * (cells + 1)).ravel()  # ascending
     n = tables.sum(axis=(1, 2))
     budget = np.maximum(n ** ALPHA, MIN_GRID)
     running = np.concatenate([np.zeros((rows, 3, 1)), np.cumsum(tables, axis=2)], axis=2)
@@ -66,7 +72,9 @@ def grid_scores(tables: np.ndarray) -> np.ndarray:
         for b in range(2, int(bins.max(initial=0)) + 1):
             fits = bins >= b
             edges = -(-np.arange(b + 1) * cells // b)
-            binned = np.diff(running[fits][:, :, edges], axis=2)
+            some = np.flatnonzero(fits)[:, None]
+            before = np.searchsorted(order, edges + some * (cells + 1)) - some * width  # columns before each edge
+            binned = np.diff(np.ascontiguousarray(running[some, :, before].swapaxes(1, 2)), axis=2)
             low, mid, high = binned[:, 0], binned[:, 1], binned[:, 2]
             options = (
                 [np.stack([low, mid + high], axis=1), np.stack([low + mid, high], axis=1)]
@@ -153,10 +161,27 @@ def optimal_scores(tables: np.ndarray) -> np.ndarray:
     return best
 
 
-def _table(at: np.ndarray, counts: np.ndarray, cells: int) -> np.ndarray:
-    table = np.zeros(3 * cells)
-    table[at] = counts
-    return table.reshape(3, cells)
+def _tables(at: list[np.ndarray], counts: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of rows x 3 dosages x columns, one for each cell that a row has, and the cells; ``cells`` where it has fewer."""
+    used = [np.unique(a % cells, return_inverse=True) for a in at]
+    width = max(len(u) for u, _ in used)
+    tables, places = np.zeros((len(at), 3, width)), np.full((len(at), width), cells)
+    for i, (u, column) in enumerate(used):
+        places[i, : len(u)] = u
+        tables[i, at[i] // cells, column] = counts[i]
+    return tables, places
+
+
+def _steps(sizes: list[int]) -> Iterator[slice]:
+    """Neighbours whose tables are scored together: the widest decides how many."""
+    start = widest = 0
+    for at, size in enumerate(sizes):
+        widest = max(widest, size)
+        if at > start and 3 * widest * (at + 1 - start) > TABLES_AT_ONCE:
+            yield slice(start, at)
+            start, widest = at, size
+    if sizes:
+        yield slice(start, len(sizes))
 
 
 def dependence_screen(calls: DataFrame, cells_of: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -180,10 +205,10 @@ def dependence_coefficient(calls: DataFrame, cells_of: DataFrame, cells: int = C
     Cuts lie between cells, so it is exact where no two values share a cell,
     and never below the equal-frequency score.
     """
-    return _screened(calls, cells_of, cells, optimal_scores)
+    return _screened(calls, cells_of, cells, lambda tables, *_: optimal_scores(tables))
 
 
-def _screened(calls: DataFrame, cells_of: DataFrame, cells: int, scores: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def _screened(calls: DataFrame, cells_of: DataFrame, cells: int, scores: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> DataFrame:
     """Counts of each marker and trait, scored by tables."""
     pairs = attach_measured(calls.where("dosage IS NOT NULL"), cells_of, ["sample_id"])
     counted = pairs.groupBy("marker_idx", "trait", "dosage", "cell").agg(
@@ -201,10 +226,8 @@ def _screened(calls: DataFrame, cells_of: DataFrame, cells: int, scores: Callabl
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for places, sizes in batches:
             out = [np.empty(0)]
-            for start in range(0, len(places), SCORED_AT_ONCE):
-                tables = [_table(at, c, cells) for at, c in zip(
-                    places[start:start + SCORED_AT_ONCE], sizes[start:start + SCORED_AT_ONCE])]
-                out.append(scores(np.stack(tables)))
+            for step in _steps([len(p) for p in places]):
+                out.append(scores(*_tables(places[step].tolist(), sizes[step].tolist(), cells), cells))
             yield pd.Series(np.concatenate(out))
 
     value = (

@@ -80,3 +80,19 @@ def test_query(spark):
     scores = [(best[k].score, equal[k].score) for k in best]
     assert all((a is None) == (b is None) and (a is None or a >= b - 1e-8) for a, b in scores)
     assert any(a is not None and a > b + 1e-3 for a, b in scores)
+
+
+def test_used_cells_alone_give_the_same_scores():
+    """Tables of the cells that occur, however many the trait has, score as the whole ones; wide ones are few at a time."""
+    rng, cells = np.random.default_rng(3), 1920
+    at = [rng.permutation(3 * cells)[: rng.integers(1, 50)] for _ in range(40)]
+    counts = [rng.integers(1, 5, len(a)) for a in at]
+    whole = np.zeros((40, 3 * cells))
+    for i, a in enumerate(at):
+        whole[i, a] = counts[i]
+    tables, places = screen._tables(at, counts, cells)
+    assert tables.shape[2] < 50
+    whole = whole.reshape(40, 3, cells)
+    np.testing.assert_allclose(screen.grid_scores(tables, places, cells), screen.grid_scores(whole), atol=1e-12)
+    np.testing.assert_allclose(screen.optimal_scores(tables), screen.optimal_scores(whole), atol=1e-12)
+    assert list(screen._steps([5, 5, screen.TABLES_AT_ONCE, 1])) == [slice(0, 2), slice(2, 3), slice(3, 4)]

@@ -17,6 +17,8 @@ from ..plans.session import stable
 from .checks import CheckFailed, duplicates, is_finite, require_empty
 
 DIRECT_MATCH_SHARE = 0.1
+OUTER_IDS = 1 << 15
+"""IDs whose substrings one task matches."""
 
 
 def align_phenotypes(samples: DataFrame, phenotypes: DataFrame) -> DataFrame:
@@ -41,7 +43,11 @@ def contains_match(
 
     Instead of comparing all pairs, each outer ID is cut into its substrings of
     the lengths that inner IDs have, and these meet the inner IDs by equality.
+    The matches of an outer ID stay in its task, which has so many outer IDs that
+    they can be sorted there.
     """
+    parts = outer.count() // OUTER_IDS + 1
+    outer = outer.select(outer_id).repartition(parts, outer_id)
     lengths = [r[0] for r in inner.select(F.length(inner_id).alias("n")).distinct().collect()]
 
     def pieces_of(n: int):

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import ALLELES
 
+MEMBERS = 1 << 18
+"""Fold members that one task counts."""
+
 
 class CheckFailed(ValueError):
     pass
@@ -96,7 +99,9 @@ def fold_membership(
     beyond them is not ``expected``.  Every sample is reduced to one row per fold
     before any comparison, so no fold is gathered.
     """
-    per = folds.groupBy("seed", "fold", "sample_id").agg(
+    parts = folds.count() // MEMBERS + 1  # hardly two rows are of one key, so nothing is gained by counting before the shuffle
+    dealt = folds.select("seed", "fold", "sample_id", "split").repartition(parts, "seed", "fold", "sample_id")
+    per = dealt.groupBy("seed", "fold", "sample_id").agg(
         F.count_if(F.col("split") == "train").alias("t"),
         F.count_if(F.col("split") == "val").alias("v"),
     )

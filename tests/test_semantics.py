@@ -448,3 +448,35 @@ def test_covariates_are_finite(spark, bad):
     with pytest.raises(Exception, match="x: covariate not finite for sample b"):
         align.attach_context(folds, {"x": source}).collect()
     assert [r.sample_id for r in align.context_problems(folds, source).collect()] == ["b"]
+
+
+def test_fold_members_are_dealt_to_many_tasks(spark, monkeypatch):
+    """A task counts few members; duplicates and strangers are found as before."""
+    monkeypatch.setattr(checks, "MEMBERS", 4)
+    ids = spark.createDataFrame([(i,) for i in range(20)], "sample_id long")
+    rows = [(1, f, i, "val" if i % 2 == f else "train") for f in (0, 1) for i in range(20)] + [(1, 0, 3, "train"), (1, 1, 99, "val")]
+    folds = spark.createDataFrame(rows, "seed int, fold int, sample_id long, split string")
+    got = {r.fold: r for r in checks.fold_membership(folds, ids).collect()}
+    assert (got[0].n_train, got[0].n_val, got[0].n_duplicate, got[0].n_unknown) == (11, 10, 1, 0)
+    assert (got[1].n_train, got[1].n_val, got[1].n_duplicate, got[1].n_unknown, got[1].n_absent) == (10, 11, 0, 1, 0)
+
+
+def test_substrings_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(align, "OUTER_IDS", 3)
+    outer = spark.createDataFrame([(f"n{i:03d}",) for i in range(20)] + [("n001",), (None,)], "name string")
+    inner = spark.createDataFrame([(str(i), -i) for i in range(12)], "id string, ord int")
+    got = {r.name: r.id for r in align.contains_match(outer, inner, "name", "id", "ord").collect()}
+    assert got == {f"n{i:03d}": str(max(k for k in range(12) if str(k) in f"n{i:03d}")) for i in range(20)}
+
+
+def test_holdout_is_sent_before_predictions_are_shuffled(spark):
+    """Neither a holdout row that comes twice counts twice, nor are predictions of others sent around."""
+    preds = spark.range(0, 400, 1, 4).selectExpr("0 AS seed", "0 AS fold", "id AS sample_id", "id * 0.5 AS y_pred")
+    truth = spark.range(400).selectExpr("id AS sample_id", "id * 0.4 AS y")
+    held = spark.createDataFrame([(3,), (3,), (8,), (9,)], "sample_id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = models.holdout_eval(preds, truth.withColumnRenamed("y", "y_true"), held.unionByName(held))
+        assert [r.n for r in out.collect()] == [3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusmill.functions import codes, scaling
-from locusmill.operators import align, checks, epochs, intervals, markers, metrics, splits
+from locusmill.operators import align, checks, epochs, intervals, markers, metrics, models, splits
+from locusmill.plans import joins
 
 NAN = float("nan")
 
@@ -469,14 +470,16 @@ def test_substrings_in_many_tasks(spark, monkeypatch):
     assert got == {f"n{i:03d}": str(max(k for k in range(12) if str(k) in f"n{i:03d}")) for i in range(20)}
 
 
-def test_holdout_is_sent_before_predictions_are_shuffled(spark):
+def test_holdout_is_sent_before_predictions_are_shuffled(spark, monkeypatch):
     """Neither a holdout row that comes twice counts twice, nor are predictions of others sent around."""
     preds = spark.range(0, 400, 1, 4).selectExpr("0 AS seed", "0 AS fold", "id AS sample_id", "id * 0.5 AS y_pred")
     truth = spark.range(400).selectExpr("id AS sample_id", "id * 0.4 AS y")
     held = spark.createDataFrame([(3,), (3,), (8,), (9,)], "sample_id long")
+    monkeypatch.setattr(joins, "PLANNED_BYTES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         out = models.holdout_eval(preds, truth.withColumnRenamed("y", "y_true"), held.unionByName(held))
         assert [r.n for r in out.collect()] == [3]
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -32,6 +32,9 @@ PERCENT = 90
 FREQUENT = 1 << 17
 """So many of the most repeated n-grams are known to the orders; they decide speed, never results."""
 
+SET_BYTES = 1 << 18
+"""Bytes of text whose sets a task holds at once with all that it derives from them."""
+
 _FLUSH = 1 << 22
 _BANDS = 1.05
 _U = np.uint64
@@ -94,7 +97,7 @@ def frequent_grams(docs: DataFrame, n: int = N, top: int = FREQUENT) -> tuple[np
         parts, held = [], 0
         for batch in batches:
             raw, at = texts(batch.column(0))
-            for lo, hi in blocks(at):
+            for lo, hi in blocks(at, SET_BYTES):
                 key, _ = _sets(raw, at[lo : hi + 1], n)
                 parts.append(key)
                 held += len(key)
@@ -118,7 +121,7 @@ def set_sizes(docs: DataFrame, n: int = N) -> DataFrame:
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
         out = []
-        for lo, hi in blocks(at):
+        for lo, hi in blocks(at, SET_BYTES):
             out.append(_fingerprints(*_sets(raw, at[lo : hi + 1], n), hi - lo))
         arrays = [pa.array(np.concatenate(x)) for x in zip(*out)]
         names = ["doc_id", "fp", "n_shingles", "s1", "s2"]
@@ -141,7 +144,7 @@ def _prefix_rows(n: int, percent: int, known: np.ndarray, count: np.ndarray):
         raw, at = texts(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         out = []
-        for lo, hi in blocks(at):
+        for lo, hi in blocks(at, SET_BYTES):
             key, row = _sets(raw, at[lo : hi + 1], n)
             size, s1, s2 = _fingerprints(key, row, hi - lo)
             often = frequency(key)
@@ -194,7 +197,7 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
         out = []
-        for lo, hi in blocks(at):
+        for lo, hi in blocks(at, SET_BYTES):
             key, row = _sets(raw, at[lo : hi + 1], n)
             size, s1, s2 = _fingerprints(key, row, hi - lo)
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)

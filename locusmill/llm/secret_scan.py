@@ -9,6 +9,7 @@ of documents labelled by the patterns, and on generated lines.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,8 @@ SAMPLE_WINDOWS = 3000
 KINDS = ("assign", "access", "hex", "crf")
 MIN_CHARS = 8
 MARK = "[secret]"
+SCAN_BYTES = 1 << 17
+"""Bytes of text that a task scans and hands on at once: features take many times as much.  A longer text is scanned alone."""
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -433,48 +436,54 @@ def _crf_spans(begin: int, found: Tokens, tags: np.ndarray, a: int, b: int) -> l
     return out
 
 
+_FOUND = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_spans": "string", "spans": "string"}
+
+
 def find_secrets(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",), redact: str | None = None) -> DataFrame:
     """Columns ``keep`` plus n_assign, n_access, n_hex, base_spans and spans; ``redact`` adds the text with each span replaced.
 
     ``docs`` has ``text``.  Spans of the field that touch a pattern's match are
     left out.  NULL and empty texts have none; repeated rows are scanned one by one.
     """
-    names = ["n_assign", "n_access", "n_hex", "base_spans", "spans"] + (["redacted"] if redact is not None else [])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()][: len(names)]
-
-    def spans_of(text: str, begin: int, found: Tokens, tags: np.ndarray, a: int, b: int):
-        base, extra = base_spans(text), []
-        if tags[a:b].any():
-            point = _points(text)
-            for s, e in _crf_spans(begin, found, tags, a, b):
-                s, e = int(point[s]), int(point[e])
-                if e - s >= MIN_CHARS and not any(s < y and x < e for x, y, _ in base):
-                    extra.append((s, e, "crf"))
-        return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
-
-    def run(batch: pa.RecordBatch):
-        column = batch.column("_text")
-        raw, at = texts(column)
-        rows = []
-        for lo, hi in blocks(at):
-            cut = at[lo : hi + 1]
+    kinds = _FOUND | ({"redacted": "string"} if redact is not None else {})
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    schema += [f"{n} {k}" for n, k in kinds.items()]
+    return rows.mapInArrow(lambda batches: _scanned(batches, field, keep, redact), ", ".join(schema))
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], field: Field, keep: tuple[str, ...], redact: str | None) -> Iterator[pa.RecordBatch]:
+    """Rows of ``find_secrets`` for batches of the columns ``keep`` and _text, handed on as they are found."""
+    kinds = [pa.int64() if k == "long" else pa.string() for k in _FOUND.values()]
+    names, kinds = ([*_FOUND, "redacted"], [*kinds, pa.string()]) if redact is not None else ([*_FOUND], kinds)
+    for batch in batches:
+        raw, at = texts(batch.column("_text"))
+        for lo, hi in blocks(at, SCAN_BYTES):
+            cut, own, rows = at[lo : hi + 1], batch.slice(lo, hi - lo), []
             found = tokens(raw, cut)
             tags = field.decode(field.scores(found.x), found.first)
-            for r, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
+            for r, text in enumerate(own.column("_text").to_pylist()):
                 text = text or ""
-                base, all_ = spans_of(text, int(cut[r] - cut[0]), found, tags, *found.first[r : r + 2])
+                base, all_ = _spans(text, int(cut[r] - cut[0]), found, tags, *found.first[r : r + 2])
                 kind = [s[2] for s in base]
                 row = [kind.count("assign"), kind.count("access"), kind.count("hex"), written(base), written(all_)]
                 if redact is not None:
                     row.append(_replaced(text, all_, redact))
                 rows.append(row)
-        kept = [batch.column(i) for i in range(len(keep))]
-        return pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*keep, *names])
+            kept = [own.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(kept + [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[*keep, *names])
 
-    rows = docs.select(*keep, F.col("text").alias("_text"))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    schema += [f"{n} {'long' if n.startswith('n_') else 'string'}" for n in names]
-    return rows.mapInArrow(each_batch(run), ", ".join(schema))
+
+def _spans(text: str, begin: int, found: Tokens, tags: np.ndarray, a: int, b: int):
+    """The patterns' spans of a text whose tokens are a..b, and all spans."""
+    base, extra = base_spans(text), []
+    if tags[a:b].any():
+        point = _points(text)
+        for s, e in _crf_spans(begin, found, tags, a, b):
+            s, e = int(point[s]), int(point[e])
+            if e - s >= MIN_CHARS and not any(s < y and x < e for x, y, _ in base):
+                extra.append((s, e, "crf"))
+    return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def _replaced(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:

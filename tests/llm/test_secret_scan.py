@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from text_cases import frame
 
@@ -48,6 +49,23 @@ def test_base(spark, request, field, kind):
         assert [k for k, _, _ in spans if k != "crf"] == [k for k, _, _ in base(dict(docs).get(r.doc_id))] or r.doc_id in (50, 60)
 
 
+def test_scanned_a_little_at_a_time(monkeypatch):
+    """A batch is scanned and handed on in parts, longer texts alone; rows stay whole and in order."""
+    rng, held = np.random.default_rng(5), []
+    lines = [" ".join(rng.choice(["alpha", "token=abcdefgh", "été", "=", "x1"], int(rng.integers(0, 60)))) for _ in range(3000)]
+    lines[7], lines[9], lines[40] = None, "", "password: abcdef " * 20_000
+    field = ss.Field(rng.normal(0, 1, (len(ss.FEATURES), 3)), np.zeros((3, 3)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(lines)], names=["doc_id", "_text"])
+    scan = ss.tokens
+    monkeypatch.setattr(ss, "tokens", lambda raw, at: held.append((int(at[-1] - at[0]), len(at) - 1)) or scan(raw, at))
+    out = list(ss._scanned(iter([batch]), field, ("doc_id",), ss.MARK))
+    assert len(out) == len(held) > 3 and all(size <= 1 << 17 or n == 1 for size, n in held)
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["doc_id"] for r in rows] == list(range(3000)) and rows[40]["n_assign"] == 20_000 and rows[7]["redacted"] == ""
+    alone = [next(ss._scanned(iter([batch.slice(i, 1)]), field, ("doc_id",), ss.MARK)).to_pylist()[0] for i in range(0, 3000, 50)]
+    assert alone == rows[::50]
+
+
 def test_empty(spark, field):
     assert ss.secrets_digest(frame(spark, [])).count() == 0
 

@@ -1,8 +1,8 @@
 """Token ids as files of checksummed, range-coded blocks.
 
 Documents are sorted by id over all tasks.  Each task encodes its range and
-cuts the ids into blocks that the coder of ``mixing_coder`` compresses one by
-one.  A file row is a block: part (the range's number), number of the block in
+cuts the ids into blocks of some millions that the coder of ``mixing_coder``
+compresses one by one.  A file row is a block: part (the range's number), number of the block in
 its part, how many ids it holds, and its bytes.  Spark writes and commits the
 files, so a lost executor leaves none behind, and any reader of Spark's finds
 them.
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.session import scratch_path, stable
-from .mixing_coder import BLOCK, decode, encode
+from .mixing_coder import decode, encode
 from .packing import byte_bpe, byte_bpe_paths
 
 MAGIC = b"LMID"
 HEAD = "<4sIIIQI"
-LANES = 2048
-"""Blocks that a task codes in step."""
+IDS = 1 << 21
+"""Least ids of a block that is not its part's only one; a block has fewer than twice as many."""
 END = 2
 
 
@@ -80,26 +80,24 @@ class _Writer:
         self.seen += 1
 
     def blocks(self, whole: bool) -> Iterator[pa.RecordBatch]:
-        """Waiting ids as blocks, LANES at a time; a short last one only at the end."""
+        """Waiting ids as blocks, one at a time; what may still grow waits for the end."""
         ids = np.concatenate(self.waiting) if self.waiting else np.zeros(0, np.uint32)
         docs, missing = np.array(self.docs, np.int64).reshape(-1, 4), np.array(self.missing, bool)
         done = 0
-        while len(ids) - done >= LANES * BLOCK or (whole and done < len(ids)):
-            cuts = [ids[a : a + BLOCK] for a in range(done, min(done + LANES * BLOCK, len(ids)), BLOCK)]
-            rows = []
-            for block, payload in zip(cuts, encode(cuts)):
-                last = self.first + len(block)
-                a = np.searchsorted(docs[:, 2] + docs[:, 3], self.first, side="right")
-                b = np.searchsorted(docs[:, 2], last, side="left")
-                inside = docs[a:b].copy()
-                inside[:, 2] = np.maximum(self.first - inside[:, 2], 0)
-                rows.append((self.part, self.block, len(block), pack_block(block, payload, self.first, inside, missing[a:b])))
-                self.first, self.block = last, self.block + 1
-                done += len(block)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        while (left := len(ids) - done) >= 2 * IDS or (whole and left):
+            block = ids[done : done + (IDS if left >= 2 * IDS else left)]
+            last = self.first + len(block)
+            a = np.searchsorted(docs[:, 2] + docs[:, 3], self.first, side="right")
+            b = np.searchsorted(docs[:, 2], last, side="left")
+            inside = docs[a:b].copy()
+            inside[:, 2] = np.maximum(self.first - inside[:, 2], 0)
+            data = pack_block(block, encode([block])[0], self.first, inside, missing[a:b])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "block", "n_ids", "data"]
+                [pa.array([self.part], pa.int32()), pa.array([self.block]), pa.array([len(block)]), pa.array([data], pa.binary())],
+                names=["part", "block", "n_ids", "data"],
             )
+            self.first, self.block = last, self.block + 1
+            done += len(block)
         self.waiting, self.size = [ids[done:].copy()], len(ids) - done
         open_docs = docs[:, 2] + docs[:, 3] > self.first
         self.docs, self.missing = [tuple(d) for d in docs[open_docs].tolist()], missing[open_docs].tolist()
@@ -122,7 +120,7 @@ def write_ids(
         for batch in batches:
             for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
                 out.add(doc, np.append(text_ids(text or ""), np.uint32(end)))
-                if out.size >= LANES * BLOCK:
+                if out.size >= 2 * IDS:
                     yield from out.blocks(False)
         yield from out.blocks(True)
 
@@ -165,19 +163,16 @@ def read_blocks(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            part, data = batch.column("part").to_pylist(), batch.column("data")
-            for a in range(0, batch.num_rows, LANES):
-                yield from _read(part[a : a + LANES], data[a : a + LANES].to_pylist(), with_ids)
+            for part, data in zip(batch.column("part"), batch.column("data")):
+                yield from _read([part.as_py()], [data.as_py()], with_ids)  # one block at a time
 
     return blocks.select("part", "data").mapInArrow(run, schema)
 
 
 def _read(part: list[int], data: list[bytes], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    found = [unpack_block(d) for d in data]
-    order = sorted(range(len(found)), key=lambda j: -found[j][0])
-    decoded = decode([found[j][5] for j in order], [found[j][0] for j in order])
-    for j, ids in zip(order, decoded):
-        n, first, crc, docs, missing, _ = found[j]
+    for j, block in enumerate(data):
+        n, first, crc, docs, missing, payload = unpack_block(block)
+        ids = decode([payload], [n])[0]
         raw = ids.astype("<u4").tobytes()
         if zlib.crc32(raw) != crc:
             raise DamagedBlock("decoded ids do not agree with their checksum")

@@ -120,3 +120,12 @@ def test_crc_parts_add_up():
     a, b, c = b"first part", b"x" * 1000, b"end"
     parts = np.array([zlib.crc32(a), zlib.crc32(b), zlib.crc32(c)], np.uint64)
     assert int(np.bitwise_xor.reduce(id_files._shifted(parts, np.array([1003, 3, 0])))) == zlib.crc32(a + b + c)
+
+
+def test_a_large_block_shares_one_model():
+    """A block may be longer than 4,096 ids; its lanes learn from each other."""
+    rng = np.random.default_rng(6)
+    phrases = [rng.integers(0, 50257, 8).astype(np.uint32) for _ in range(3000)]
+    ids = np.concatenate([phrases[k] for k in rng.integers(0, 3000, 40_001)])[:320_005]
+    assert round_trip([ids]) < 0.8 * len(ids)  # alone, 4,096 ids hold most phrases once
+    assert round_trip([ids[:2049], ids[:1025], ids[:1]]) > 0

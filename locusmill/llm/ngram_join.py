@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..plans.session import stable
 from .components import components
 from .tables import attach
-from .words import blocks, each_batch, grams, mix, signed, texts, words
+from .words import blocks, each_part, grams, mix, signed, texts, words
 
 N = 3
 PERCENT = 90
@@ -35,7 +35,7 @@ FREQUENT = 1 << 17
 SET_BYTES = 1 << 18
 """Bytes of text whose sets a task holds at once with all that it derives from them."""
 
-_FLUSH = 1 << 22
+_FLUSH = 1 << 21
 _BANDS = 1.05
 _U = np.uint64
 
@@ -75,7 +75,7 @@ def _fingerprints(key: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarr
 def frequent_grams(docs: DataFrame, n: int = N, top: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The ``top`` most repeated n-grams, as sorted hashes with their counts.
 
-    All documents are counted; n-grams that occur once among some four million
+    All documents are counted; n-grams that occur once among some two million
     are left out of a partial count, as they cannot be among the most frequent.
     """
 
@@ -120,15 +120,13 @@ def set_sizes(docs: DataFrame, n: int = N) -> DataFrame:
 
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
-        out = []
-        for lo, hi in blocks(at, SET_BYTES):
-            out.append(_fingerprints(*_sets(raw, at[lo : hi + 1], n), hi - lo))
-        arrays = [pa.array(np.concatenate(x)) for x in zip(*out)]
         names = ["doc_id", "fp", "n_shingles", "s1", "s2"]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), *arrays], names=names)
+        for lo, hi in blocks(at, SET_BYTES):
+            arrays = [pa.array(x) for x in _fingerprints(*_sets(raw, at[lo : hi + 1], n), hi - lo)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).slice(lo, hi - lo) for c in names[:2]] + arrays, names=names)
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("fp"))
-    return hashed.mapInArrow(each_batch(run), "doc_id long, fp long, n_shingles long, s1 long, s2 long")
+    return hashed.mapInArrow(each_part(run), "doc_id long, fp long, n_shingles long, s1 long, s2 long")
 
 
 def _prefix_rows(n: int, percent: int, known: np.ndarray, count: np.ndarray):
@@ -143,7 +141,6 @@ def _prefix_rows(n: int, percent: int, known: np.ndarray, count: np.ndarray):
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        out = []
         for lo, hi in blocks(at, SET_BYTES):
             key, row = _sets(raw, at[lo : hi + 1], n)
             size, s1, s2 = _fingerprints(key, row, hi - lo)
@@ -159,13 +156,12 @@ def _prefix_rows(n: int, percent: int, known: np.ndarray, count: np.ndarray):
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, size - -(-percent * size // 100) + 1, 0))])
             full = np.flatnonzero(size > 0)
             arrays = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)).take(pa.array(full)) for v in lists]
-            out.append(pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[lo + full]), pa.array(s1[full]), pa.array(s2[full]), pa.array(size[full]), *arrays],
                 names=["doc_id", "s1", "s2", "n", "p1", "p2", "p3"],
-            ))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if sum(b.num_rows for b in out) else None
+            )
 
-    return each_batch(run)
+    return each_part(run)
 
 
 def classes(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -196,21 +192,19 @@ def _verified(pairs: DataFrame, klass: DataFrame, docs: DataFrame, n: int, perce
 
     def run(batch: pa.RecordBatch):
         raw, at = texts(batch.column("text"))
-        out = []
         for lo, hi in blocks(at, SET_BYTES):
             key, row = _sets(raw, at[lo : hi + 1], n)
             size, s1, s2 = _fingerprints(key, row, hi - lo)
             ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(key)))
-            out.append(pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").slice(lo, hi - lo), pa.array(s1), pa.array(s2), lists], names=["doc_id", "s1", "s2", "set"]
-            ))
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            )
 
     used = left.select(F.col("u").alias("cid")).union(left.select(F.col("v").alias("cid"))).distinct()
     wanted = stable(near.join(used, "cid").select("cid", "rep", "s1", "s2"))
     fetched = attach(docs, stable(wanted.select(F.col("rep").alias("doc_id")).distinct()), ["doc_id"])
-    sets = fetched.mapInArrow(each_batch(run), "doc_id long, s1 long, s2 long, set array<long>")
+    sets = fetched.mapInArrow(each_part(run), "doc_id long, s1 long, s2 long, set array<long>")
     sets = attach(sets.withColumnRenamed("doc_id", "rep"), wanted, ["rep", "s1", "s2"])
     sets = stable(sets.select("cid", "set"))  # rows that are equal in id and text come twice: links are made distinct
     compared = left.join(sets.select(F.col("cid").alias("u"), F.col("set").alias("a")), "u").join(

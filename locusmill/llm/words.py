@@ -135,3 +135,14 @@ def each_batch(fn):
                     yield out
 
     return run
+
+
+def each_part(fn):
+    """A mapInArrow function that hands on what ``fn(batch)`` yields, part by part, but empty parts."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from (out for out in fn(batch) if out.num_rows)
+
+    return run

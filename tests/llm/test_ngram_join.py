@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import components as brute
 from text_cases import frame
@@ -117,3 +118,15 @@ def test_partner_sizes(spark, percent):
             assert links(b) and not links(b + 1) and 100 * a >= percent * n > 100 * (a - 1)
         else:
             assert not any(links(size) for size in range(max(a - 1, 1), n + 2))
+
+
+def test_parts_of_a_batch_are_handed_on():
+    """No task holds the sets or prefixes of a whole batch at once."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    long = [" ".join(map(str, rng.integers(0, 10**6, 20_000))) for _ in range(12)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(12), pa.int64()), "text": pa.array(long)})
+    parts = list(ngram_join._prefix_rows(3, 90, np.zeros(0, np.uint64), np.zeros(0, np.int64))(iter([batch])))
+    assert len(parts) == 12 and max(p.num_rows for p in parts) < 3
+    assert [d for p in parts for d in p.column("doc_id").to_pylist()] == list(range(12))

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ..plans.session import scratch_path, stable
 from .mixing_coder import decode, encode
-from .packing import byte_bpe, byte_bpe_paths
+from .packing import byte_bpe_paths
+from .piece_ids import piece_ids
 
 MAGIC = b"LMID"
 HEAD = "<4sIIIQI"
@@ -116,10 +117,10 @@ def write_ids(
     paths = paths or byte_bpe_paths()
 
     def run(batches):
-        text_ids, out = byte_bpe(paths), _Writer(TaskContext.get().partitionId())
+        text_ids, out = piece_ids(paths), _Writer(TaskContext.get().partitionId())
         for batch in batches:
-            for doc, text in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist()):
-                out.add(doc, np.append(text_ids(text or ""), np.uint32(end)))
+            for doc, ids in zip(batch.column("_id").to_pylist(), text_ids(batch.column("_text"))):
+                out.add(doc, np.append(ids, np.uint32(end)))
                 if out.size >= 2 * IDS:
                     yield from out.blocks(False)
         yield from out.blocks(True)
